@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import crc_mod, table
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, predict
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    model = fit(docs, crc_mod("doc_id", 5) != 0)
+    return predict(docs, model, ["doc_id", "held_out"])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +25,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": op2_language,
         "op7_decontaminate": op7_decontaminate,
     }
 
