@@ -17,6 +17,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, ["doc_id", "held_out"])
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import interleave
+
+    return interleave(table(spark, sf_dir, "documents"), 24)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -34,6 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
+        "op5_sharding": op5_sharding,
         "op7_decontaminate": op7_decontaminate,
         "op10_bpe": op10_bpe,
     }
