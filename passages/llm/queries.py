@@ -17,6 +17,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, ["doc_id", "held_out"])
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave
 
@@ -40,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
+        "op3_secrets": op3_secrets,
         "op5_sharding": op5_sharding,
         "op7_decontaminate": op7_decontaminate,
         "op10_bpe": op10_bpe,
