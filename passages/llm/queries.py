@@ -24,6 +24,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave
 
@@ -36,6 +42,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("spans")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -55,8 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
         "op3_secrets": op3_secrets,
+        "op4_chat": op4_chat,
         "op5_sharding": op5_sharding,
         "op7_decontaminate": op7_decontaminate,
+        "op8_lines": op8_lines,
         "op9_topk": op9_topk,
         "op10_bpe": op10_bpe,
     }
@@ -78,4 +92,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    from .chat import SQL as OP4_SQL
+
+    return {"op4_chat": OP4_SQL, "op9_topk": OP9_SQL}
