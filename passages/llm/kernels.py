@@ -128,9 +128,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarr
             np.not_equal(row[1:], row[:-1], out=keep[1:])
             out.append(row[keep])
         elif b > a:
-            value = np.uint64(b - a)
-            for j, h in enumerate(hashes[a:b]):
-                value = value + h * np.uint64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
+            factors = np.array([pow(0x9FB21C651E98DF25, j + 1, 1 << 64) for j in range(b - a)], dtype=np.uint64)
+            value = (hashes[a:b] * factors).sum(dtype=np.uint64) + np.uint64(b - a)
             out.append(mix(np.array([value], dtype=np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -36,6 +36,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_chat": op4_chat,
         "op5_sharding": op5_sharding,
+        "op6_jaccard": op6_jaccard,
         "op7_decontaminate": op7_decontaminate,
         "op8_lines": op8_lines,
         "op9_topk": op9_topk,
