@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, predict
 
@@ -71,6 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": op1_html,
         "op2_language": op2_language,
         "op3_secrets": op3_secrets,
         "op4_chat": op4_chat,
