@@ -28,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import with_text
 
 #: Words kept by a worker: about 100 MB.
 KEPT_WORDS = 300_000
@@ -210,7 +211,7 @@ class Codec:
             row = end
 
 
-def tokens(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False) -> DataFrame:
+def tokens(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False, text: str = "text") -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
     schema = docs.select(*keep).schema
     more = ", ids array<int>, decoded string" if with_ids else ""
@@ -220,19 +221,20 @@ def tokens(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False)
         codec = Codec(path)
         for batch in batches:
             n, ids, decoded, raw = [], [], [], []
-            texts = batch.column(batch.num_columns - 1).fill_null("")
+            texts = batch.column(place).fill_null("")
             for a in range(0, len(texts), 256):  # few of the batch's texts are Python strings at a time
-                for count, joined, text in codec.encode_decode(texts.slice(a, 256).to_pylist()):
+                for count, joined, back in codec.encode_decode(texts.slice(a, 256).to_pylist()):
                     n.append(count)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+                    decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                     if with_ids:
-                        raw.append(([int(i) for i in joined.split()], text))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
+                        raw.append(([int(i) for i in joined.split()], back))
+            columns = [batch.column(i) for i in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns += [pa.array([r[0] for r in raw], pa.list_(pa.int32())), pa.array([r[1] for r in raw], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(code, out_schema)
+    rows, place = with_text(docs, keep, text)
+    return rows.mapInArrow(code, out_schema)

@@ -42,6 +42,13 @@ def forget(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The kept columns and the text, which is sent only once, and the text's place among them."""
+    if text in keep:
+        return docs.select(*keep), keep.index(text)
+    return docs.select(*keep, F.col(text).alias("__text")), len(keep)
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of a column's text, modulo."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import with_text
 
 WINDOW = 13
 #: Words of test phrases in one broadcast: about 64 MB on a worker.
@@ -229,12 +230,13 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list, list
         yield got.column("i").to_pylist(), got.column("t").to_pylist()
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """Columns ``keep`` of docs with n_words, spans (merged word spans) and items of each document.
 
     With one block of items this is one pass without a shuffle.
     """
     spark = docs.sparkSession
+    rows, place = with_text(docs, keep, text)
     schema = docs.select(*keep).schema
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"])
     passes = []
@@ -243,13 +245,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
 
         def shard(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts, hits, items = find(batch.column(batch.num_columns - 1), sent.value)
+                counts, hits, items = find(batch.column(place), sent.value)
                 span = pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])
-                columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i) for i in range(len(keep))]
                 columns += [pa.array(counts, pa.int64()), pa.array([_spans(h) for h in hits], pa.list_(span)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "spans", "items"])
 
-        passes.append(docs.select(*keep, F.col("text").alias("__text")).mapInArrow(shard, out_schema))
+        passes.append(rows.mapInArrow(shard, out_schema))
     if len(passes) == 1:
         return passes[0]
     # More blocks: the passes' spans of a document meet by its key; what meets is its spans, not its text.
@@ -270,9 +272,9 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
     return met.withColumn("spans", joined)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, text: str = "text") -> DataFrame:
     """keep, n_words, n_hit, n_items, items_sha256, contaminated and the merged word spans."""
-    found = contaminated_spans(docs, benchmark, keep, window)
+    found = contaminated_spans(docs, benchmark, keep, window, text=text)
     n_hit = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
     return found.select(
         *keep,

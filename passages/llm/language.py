@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import with_text
 
 SAMPLE_ROWS = 2048
 MAX_LANGUAGES = 64
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model
     return Model(languages, code, weights, bias, agree * code.shape[1] / agree.sum())
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """keep, lang_pred, score and ambiguous, for every row of docs."""
     schema = docs.select(*keep).schema
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string, score double, ambiguous boolean"])
@@ -164,12 +165,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*sent.value.languages, "und"], dtype=object)
         for batch in batches:
-            text, letters = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            texts, letters = batch.column(place), batch.column(batch.num_columns - 1)
             known = np.asarray(letters.to_numpy(zero_copy_only=False), dtype=bool)
-            best, p = sent.value.decode(sent.value.margins(text))
+            best, p = sent.value.decode(sent.value.margins(texts))
             best, p = np.where(known, best, len(names) - 1), np.where(known, p, 0.0)
-            columns = [batch.column(i) for i in range(batch.num_columns - 2)]
+            columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(names[best], pa.string()), pa.array(p, pa.float64()), pa.array(p < AMBIGUOUS)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(*keep, F.col("text").alias("__text"), has_letter(F.col("text")).alias("__letters")).mapInArrow(label, out_schema)
+    rows, place = with_text(docs, keep, text)
+    return rows.withColumn("__letters", has_letter(F.col("__text" if place == len(keep) else text))).mapInArrow(label, out_schema)
