@@ -29,10 +29,8 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 MIN_WORDS = 20
-#: Rows of the run table that may be broadcast: about 100 bytes each. Above, the join shuffles.
-BROADCAST_ROWS = 100_000
-
-_TRIM = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: White space that is trimmed from lines.
+_SPACE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 POSITION = ["d", "t", "i"]
 
 
@@ -42,7 +40,7 @@ def _key(docs: DataFrame) -> tuple[Column, Column]:
 
 def _lines(text: Column) -> Column:
     """Array of the trimmed lines; blank ones are empty strings."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, _TRIM, ""))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -56,6 +54,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(d, t, i, n): maximal runs of n non-blank lines from line i that have an earlier copy; written."""
     kept = F.filter(_lines(F.col("text")), lambda x: x != "")
     lines = docs.where(F.col("text").isNotNull()).select(*_key(docs), F.posexplode(F.transform(kept, lambda x: F.xxhash64(x))).alias("i", "name"))
+    lines = written(lines, "lines")
     levels = [written(_repeated(lines).dropDuplicates(POSITION), "lines")]
     while True:
         step, now = 1 << (len(levels) - 1), levels[-1]
@@ -89,37 +88,30 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         if k % 3 == 0 and k:
             heads = written(heads, "lines-heads")
     out = written(heads.groupBy("d", "t").agg(F.collect_set(F.struct("i", "n")).alias("runs")), "line-runs")
-    forget(best, *levels)
+    forget(lines, best, *levels)
     return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated line runs deleted from text, and n_lines, n_deleted."""
     runs = repeated_runs(docs)
-    if runs.count() <= BROADCAST_ROWS:
-        runs = F.broadcast(runs)
     d, t = _key(docs)
-    names = {c: f"`{c}`" for c in docs.columns}
-    rows = docs.select(*[F.col(x).alias(f"__c{i}") for i, x in enumerate(names.values())], d.alias("__d"), t.alias("__t"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], d.alias("__d"), t.alias("__t"))
     text = F.col(f"__c{docs.columns.index('text')}")
     runs = runs.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "runs")
-    rows = rows.join(runs, ["__d", "__t"], "left")
-    raw = F.split(text, "\n", -1)
-    # Per line: its place among the non-blank lines (0 for blank ones, else from 1) and the words up to it.
-    words = F.transform(F.filter(_lines(text), lambda x: x != ""), lambda x: F.size(F.split(x, r"[\s\p{Z}]+")))
-    rows = rows.withColumn("__w", F.when(F.col("runs").isNotNull(), words))
+    rows = rows.join(runs.hint("shuffle_hash"), ["__d", "__t"], "left").withColumn("__lines", _lines(text))
+    some = F.col("runs").isNotNull()
+    full = F.filter("__lines", lambda x: x != "")
+    words = F.transform(full, lambda x: F.size(F.split(x, r"[\s\p{Z}]+")))
+    rows = rows.withColumn("__n", F.size(full)).withColumn("__w", F.when(some, words))
     long = F.filter("runs", lambda r: F.aggregate(F.slice("__w", r["i"] + 1, r["n"]), F.lit(0), lambda a, x: a + x) >= min_words)
     gone = F.array_distinct(F.flatten(F.transform(long, lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1))))
-    rows = rows.withColumn("__gone", F.when(F.col("runs").isNotNull(), gone))
-    place = F.aggregate(
-        _lines(text),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
-        lambda a, x: F.struct((a["n"] + F.when(x == "", 0).otherwise(1)).alias("n"), F.concat(a["at"], F.array(F.when(x == "", -1).otherwise(a["n"]))).alias("at")),
-        lambda a: a["at"],
-    )
-    rest = F.filter(F.arrays_zip(raw.alias("line"), place.alias("at")), lambda x: ~F.array_contains(F.col("__gone"), x["at"]))
-    changed = F.size("__gone") > 0
-    deduped = F.when(changed, F.array_join(F.transform(rest, lambda x: x["line"]), "\n")).otherwise(text)
-    n_lines = F.size(F.filter(_lines(text), lambda x: x != ""))
+    rows = rows.withColumn("__gone", F.when(some, gone))
+    # Numbers of the raw lines that are not blank; deleted lines are counted among these.
+    numbers = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda r: F.get("__lines", r) != "")
+    rows = rows.withColumn("__numbers", F.when(F.size("__gone") > 0, numbers))
+    rows = rows.withColumn("__raw", F.array_sort(F.transform(F.when(F.size("__gone") > 0, F.col("__gone")), lambda g: F.get("__numbers", g))))
+    rest = F.filter(F.split(text, "\n", -1), lambda x, r: ~F.array_contains("__raw", r))
+    deduped = F.when(F.col("__raw").isNotNull(), F.array_join(rest, "\n")).otherwise(text)
     out = [deduped.alias(c) if c == "text" else F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return rows.select(*out, F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("runs").isNotNull(), F.size("__gone")).otherwise(0).cast("long").alias("n_deleted"))
+    return rows.select(*out, F.when(text.isNull(), 0).otherwise(F.col("__n")).cast("long").alias("n_lines"), F.when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_deleted"))
