@@ -15,8 +15,9 @@ Signatures travel packed: each task sorts its entries by bucket, so a shuffled
 row is a block of them. A group of sets with one signature gives all its pairs
 if it is small, else the pairs with its least member; after those are verified,
 groups that still hold several components are compared between these, by a
-count sketch that bounds the difference from below, and what it does not
-exclude is verified too. So no link is lost, and a large group of copies costs
+parity sketch that bounds the difference from below, and what it does not
+exclude is verified too: first so many pairs as join the components, then all
+that are left between those still apart. So no link is lost, and a large group of copies costs
 one verification per copy and signature at most. Verification compares the
 whole sets.
 
@@ -332,59 +333,68 @@ def _ident():
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, ident, n_shingles, key) of every row; written."""
+    """(doc_id, ident, hash, n_shingles, key) of every row; written."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = [], []
-            for _, rows in sets_of(batch.column(2), width):
+            for _, rows in sets_of(batch.column(3), width):
                 sizes += [len(r) for r in rows]
                 keys += fingerprint(rows).view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "ident", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "ident", "hash", "n_shingles", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", _ident().alias("ident"), "text").mapInArrow(measure, f"doc_id {kind}, ident long, n_shingles long, key long"), "members")
+    return written(docs.select("doc_id", _ident().alias("ident"), F.xxhash64("text").alias("hash"), "text").mapInArrow(measure, f"doc_id {kind}, ident long, hash long, n_shingles long, key long"), "members")
 
 
 def _sketch(row: np.ndarray) -> bytes:
-    """Counts of the set's elements in 2**k cells, about 6 elements each, 64 cells at least."""
-    cells = max(6, int(np.ceil(np.log2(max(1, len(row)) / 6))))
-    return np.minimum(np.bincount((row >> _U(48 - cells)).astype(np.int64), minlength=1 << cells), 255).astype(np.uint8).tobytes()
-
+    """Parities of the set's elements in 2**k cells, 4 to 8 for each element: two sets differ in as many cells at most as in elements."""
+    bits = max(9, int(np.ceil(np.log2(max(1, len(row))))) + 2)
+    odd = np.bincount((row >> _U(48 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches at the size of the smallest, as 64-bit words: parities of joined cells are those of both."""
+    cells = 8 * min(map(len, sketches))
+    rows = []
+    for x in sketches:
+        if 8 * len(x) > cells:
+            bits = np.unpackbits(np.frombuffer(x, np.uint8)).reshape(cells, -1)
+            rows.append(np.packbits(np.bitwise_xor.reduce(bits, axis=1)))
+        else:
+            rows.append(np.frombuffer(x, np.uint8))
+    return np.stack(rows).view(np.uint64)
 
-def _folded(x: np.ndarray, cells: int) -> np.ndarray:
-    return x.reshape(cells, -1).sum(1)
 
+def _across(group: pa.Table, forest: bool) -> pa.Table:
+    """Pairs of a large group between its components that the sketches do not exclude.
 
-def _across(group: pa.Table) -> pa.Table:
-    """Pairs of a large group between its components that the sketches do not exclude."""
-    keys = group.column("key").to_numpy()
-    roots = group.column("root").to_numpy()
-    sizes = group.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(sizes, kind="stable")
-    keys, roots, sizes = keys[order], roots[order], sizes[order]
-    blobs = [group.column("sketch")[int(i)].as_py() for i in order]
+    With ``forest`` only so many as join what may be joined: each set with the nearest of each component.
+    """
+    order = np.argsort(group.column("n").to_numpy(), kind="stable")
+    keys, roots, sizes = (group.column(c).to_numpy()[order] for c in ("key", "root", "n"))
+    sketches = _folded([group.column("sketch")[int(i)].as_py() for i in order])
+    _, part = np.unique(roots, return_inverse=True)
     left, right = [], []
-    cells = min(map(len, blobs))
-    # Folded counts may have been cut at 255 before; sums of cut counts still bound the difference from below.
-    common = np.stack([_folded(np.frombuffer(b, np.uint8).astype(np.int32), cells) for b in blobs])
     for i in range(len(keys) - 1):
         end = int(np.searchsorted(sizes, sizes[i] * 5 // 4, side="right"))
-        if end <= i + 1:
-            continue
         near = np.arange(i + 1, end)
-        near = near[roots[near] != roots[i]]
+        near = near[part[near] != part[i]]
         if not len(near):
             continue
-        apart = np.abs(common[near] - common[i]).sum(1)
-        near = near[9 * apart <= sizes[near] + sizes[i]]
-        for j in near.tolist():  # the finer sketches of both
-            a, b = np.frombuffer(blobs[i], np.uint8).astype(np.int32), np.frombuffer(blobs[j], np.uint8).astype(np.int32)
-            m = min(len(a), len(b))
-            if m == cells or 9 * np.abs(_folded(a, m) - _folded(b, m)).sum() <= sizes[i] + sizes[j]:
-                left.append(keys[i])
-                right.append(keys[j])
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        apart = np.bitwise_count(sketches[near] ^ sketches[i]).sum(1, dtype=np.int64)
+        ok = 9 * apart <= sizes[near] + sizes[i]
+        near, apart = near[ok], apart[ok]
+        if forest and len(near):
+            nearest = near[np.argsort(apart, kind="stable")]
+            parts, first = np.unique(part[nearest], return_index=True)
+            near = nearest[first]
+            part[np.isin(part, parts)] = part[i]
+        left.append(np.full(len(near), keys[i]))
+        right.append(keys[near])
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(np.concatenate([none, *left])), "b": pa.array(np.concatenate([none, *right]))})
 
 
 def links(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -399,7 +409,9 @@ def links(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
     extra = []
     large = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("key")).distinct()
     if not large.isEmpty():
-        extra.append(_between(large, first, sets))
+        # What joins the components first; then all that is left between those that are still apart.
+        extra.append(_between(large, first, sets, True))
+        extra.append(_between(large, first.unionByName(extra[0]), sets, False))
     alone = found.where("kind = 2").select(F.col("a").alias("key")).distinct()
     if not alone.isEmpty():
         extra.append(_against_all(docs, alone, width))
@@ -414,13 +426,12 @@ def links(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
     return first
 
 
-def _between(large: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
+def _between(large: DataFrame, known: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """Links between the components that large groups still hold; written."""
-    roots = components(first)
-    labelled = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    labelled = written(labelled, "labelled")
+    roots = components(known)
+    labelled = written(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
     mixed = labelled.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
-    rows = labelled.join(mixed, "g", "left_semi")
+    rows = written(labelled.join(mixed, "g", "left_semi"), "mixed")
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,10 +439,10 @@ def _between(large: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([_sketch(r) for r in rows], pa.binary())], names=["key", "n", "sketch"])
 
     sketches = sets.join(rows.select("key").distinct(), "key", "left_semi").select("key", "items").mapInArrow(sketch, "key long, n long, sketch binary").dropDuplicates(["key"])
-    crossing = rows.join(sketches, "key").select("g", "key", "root", "n", "sketch").groupBy("g").applyInArrow(_across, "a long, b long")
+    crossing = rows.join(sketches, "key").select("g", "key", "root", "n", "sketch").groupBy("g").applyInArrow(lambda group: _across(group, forest), "a long, b long")
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out = written(_verified(pairs, sets), "links")
-    forget(roots, labelled)
+    forget(roots, labelled, rows)
     return out
 
 
@@ -464,14 +475,33 @@ def _against_all(docs: DataFrame, alone: DataFrame, width: int, block: int = 100
     return out
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _rooted(docs: DataFrame, width: int) -> DataFrame:
+    """The members of docs with the root of their component."""
     members = _members(docs, width)
     edges = links(docs, members, width)
     roots = components(edges)
     forget(edges)
-    rows = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows = _rooted(docs, width)
     linked = rows.where("n_shingles > 0")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
     out = linked.join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the least doc_id, and all empty sets.
+
+    Rows with the same doc_id count as one row, whose first text by hash stays.
+    """
+    rows = _rooted(docs, width)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("ident"), F.col("hash"))
+    linked = rows.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("m")).select("m.ident", "m.hash")
+    chosen = linked.unionByName(rows.where("n_shingles = 0").select("ident", "hash"))
+    chosen = chosen.groupBy(F.col("ident").alias("__ident")).agg(F.min("hash").alias("__hash"))
+    stay = docs.withColumn("__ident", _ident()).withColumn("__hash", F.xxhash64("text")).join(chosen, ["__ident", "__hash"])
+    return stay.dropDuplicates(["__ident"]).drop("__ident", "__hash")
