@@ -43,11 +43,15 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)))
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (d, t, i, name) whose name occurs at two positions or more, with the earliest (fd, ft, fi)."""
+def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """Rows (d, t, i, name) whose name occurs at two positions or more, with the earliest (fd, ft, fi).
+
+    The names' table is written, so that a frequent name is a skewed side that the join can split.
+    """
     at = F.struct(*POSITION)
     first = rows.groupBy("name").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f < l").select("name", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), F.col("f.i").alias("fi"))
-    return rows.join(first, "name")
+    made.append(written(first, "line-names"))
+    return rows.join(made[-1], "name")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -55,11 +59,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     kept = F.filter(_lines(F.col("text")), lambda x: x != "")
     lines = docs.where(F.col("text").isNotNull()).select(*_key(docs), F.posexplode(F.transform(kept, lambda x: F.xxhash64(x))).alias("i", "name"))
     lines = written(lines, "lines")
-    levels = [written(_repeated(lines).dropDuplicates(POSITION), "lines")]
+    made: list[DataFrame] = []
+    levels = [written(_repeated(lines, made).dropDuplicates(POSITION), "lines")]
     while True:
         step, now = 1 << (len(levels) - 1), levels[-1]
         pair = now.select(*POSITION, "name").join(now.select("d", "t", (F.col("i") - step).alias("i"), F.col("name").alias("then")), POSITION)
-        following = written(_repeated(pair.select(*POSITION, F.xxhash64("name", "then").alias("name"))), "lines")
+        following = written(_repeated(pair.select(*POSITION, F.xxhash64("name", "then").alias("name")), made), "lines")
         levels.append(following)
         if following.isEmpty():
             break
@@ -88,7 +93,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         if k % 3 == 0 and k:
             heads = written(heads, "lines-heads")
     out = written(heads.groupBy("d", "t").agg(F.collect_set(F.struct("i", "n")).alias("runs")), "line-runs")
-    forget(lines, best, *levels)
+    forget(lines, best, *levels, *made)
     return out
 
 
