@@ -1,15 +1,740 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""The registered queries of the engine's own operators, over the driver's tables, and their SQL.
+
+Documents stand for sources, pages for HTML inputs, embeddings for vectors,
+benchmark for questions, and conversations for chunks (source = conv_id,
+ordinal = turn). Floats are rounded to 6 places in both engines.
+"""
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import grounding as G
+from .functions import text as X
+from .functions.vector import cosine
+from .operators import chunking, match, rank, rerank, windows
+from .plans import evaluate
+from .plans.retrieve import score_vectors
+from .schema import AnswerPolicy, ChunkingConfig, MMRConfig
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+TERMS = ("thation", "nicht", "que")
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
 
+    return put
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+# Lexical ranking
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{Co}_-]+')"
+_INDEX = f"""
+tok AS (SELECT doc_id, lang, {_TOKENS} AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS w FROM dfs, st)
+"""
+_SCORE = "-w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+
+
+def _terms_of(rows: DataFrame) -> Column:
+    return X.plain_tokens(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _lexical(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    posts = rank.postings(docs.select("doc_id", "text"), "doc_id", _terms_of(docs))
+    return rank.bm25(posts, rank.corpus_stats(docs, "doc_id", _terms_of(docs)), asked, "doc_id")
+
+
+def _one_query(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, t) for t in TERMS], "query_id long, term string")
+
+
+_IN = ", ".join(f"'{t}'" for t in TERMS)
+
+
+@_query(
+    "bm25_topk",
+    f"""WITH {_INDEX}, s AS (SELECT doc_id, sum({_SCORE}) AS s FROM post JOIN idf USING (term), st WHERE term IN ({_IN}) GROUP BY doc_id)
+    SELECT doc_id, CAST(row_number() OVER (ORDER BY round(s, 9), doc_id) AS INTEGER) AS rank, round(s, 6) AS score FROM s QUALIFY rank <= 10""",
+)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of a query of three terms."""
+    scored = _lexical(spark, sf_dir, _one_query(spark))
+    top = rank.top_by(scored, "query_id", [F.round("bm25", rank.PLACES).asc(), F.col("doc_id").asc()], 10)
+    return top.select("doc_id", "rank", F.round("bm25", 6).alias("score"))
+
+
+@_query(
+    "bm25_batch_topk",
+    f"""WITH {_INDEX}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark),
+    s AS (SELECT query_id, doc_id, sum({_SCORE}) AS s FROM q JOIN post USING (term) JOIN idf USING (term), st GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9), doc_id) AS INTEGER) AS rank, round(s, 6) AS score FROM s QUALIFY rank <= 10""",
+)
+def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark text, in one job."""
+    bench = _table(spark, sf_dir, "benchmark")
+    asked = bench.select(F.col("item_id").alias("query_id"), F.explode(_terms_of(bench)).alias("term")).distinct()
+    top = rank.top_by(_lexical(spark, sf_dir, asked), "query_id", [F.round("bm25", rank.PLACES).asc(), F.col("doc_id").asc()], 10)
+    return top.select("query_id", "doc_id", "rank", F.round("bm25", 6).alias("score"))
+
+
+@_query(
+    "bm25_filtered_lang",
+    f"""WITH {_INDEX}, s AS (SELECT doc_id, sum({_SCORE}) AS s FROM post JOIN idf USING (term), st WHERE term IN ({_IN}) GROUP BY doc_id)
+    SELECT doc_id, CAST(row_number() OVER (ORDER BY round(s, 9), doc_id) AS INTEGER) AS rank, round(s, 6) AS score
+    FROM s JOIN (SELECT doc_id FROM documents WHERE lang = 'de') USING (doc_id) QUALIFY rank <= 10""",
+)
+def bm25_filtered_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter removes rows after scoring; statistics stay those of the whole index."""
+    german = _documents(spark, sf_dir).where("lang = 'de'").select("doc_id")
+    scored = _lexical(spark, sf_dir, _one_query(spark)).join(german, "doc_id", "left_semi")
+    top = rank.top_by(scored, "query_id", [F.round("bm25", rank.PLACES).asc(), F.col("doc_id").asc()], 10)
+    return top.select("doc_id", "rank", F.round("bm25", 6).alias("score"))
+
+
+@_query("term_df_stats", f"WITH {_INDEX} SELECT term, CAST(df AS BIGINT) AS df, round(w, 6) AS idf FROM idf")
+def term_df_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    posts = rank.postings(docs.select("doc_id", "text"), "doc_id", _terms_of(docs))
+    stats = rank.corpus_stats(docs, "doc_id", _terms_of(docs))
+    return rank.term_df(posts).crossJoin(F.broadcast(stats)).select("term", "df", F.round(rank.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@_query("corpus_stats", f"WITH {_INDEX} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl FROM st")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return rank.corpus_stats(docs, "doc_id", _terms_of(docs)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _matched(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    columns = {"content": _terms_of(docs), "source": X.plain_tokens(F.coalesce(F.col("source"), F.lit("")))}
+    return match.search(docs, "doc_id", columns, expression).select("doc_id", F.round("bm25", 6).alias("score"))
+
+
+def _match_sql(counts: list[str], where: str) -> str:
+    """SQL of a match over token lists t (content) and u (source): counts of the scored phrases, and the condition."""
+    tf = ", ".join(f"{c} AS f{i}" for i, c in enumerate(counts))
+    df = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS d{i}" for i in range(len(counts)))
+    score = " + ".join(f"-(CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(counts)))
+    return f"""WITH tok AS (SELECT doc_id, {_TOKENS} AS t, regexp_extract_all(lower(coalesce(source, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}_-]+') AS u FROM documents),
+    c AS (SELECT doc_id, len(t) + len(u) AS dl, {tf}, {where} AS hit FROM tok),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c)
+    SELECT doc_id, round({score}, 6) AS score FROM c, st WHERE hit"""
+
+
+def _term_sql(term: str) -> str:
+    return f"(len(list_filter(t, lambda x: x = '{term}')) + len(list_filter(u, lambda x: x = '{term}')))"
+
+
+_HAS = "(list_contains(t, '{0}') OR list_contains(u, '{0}'))"
+_PREFIX = "(len(list_filter(t, lambda x: starts_with(x, 'thati'))) + len(list_filter(u, lambda x: starts_with(x, 'thati'))))"
+_PHRASE = "len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))"
+_MATCHES = {
+    "match_and": ("the AND nicht", _match_sql([_term_sql("the"), _term_sql("nicht")], _HAS.format("the") + " AND " + _HAS.format("nicht"))),
+    "match_or": ("nicht OR que", _match_sql([_term_sql("nicht"), _term_sql("que")], _HAS.format("nicht") + " OR " + _HAS.format("que"))),
+    "match_not": ("the NOT of", _match_sql([_term_sql("the")], _HAS.format("the") + " AND NOT " + _HAS.format("of"))),
+    "match_prefix": ("thati*", _match_sql([_PREFIX], _PREFIX + " > 0")),
+    "match_phrase": ('"of the"', _match_sql([_PHRASE], _PHRASE + " > 0")),
+    "match_column": ("source:src1", _match_sql(["len(list_filter(u, lambda x: x = 'src1'))"], "list_contains(u, 'src1')")),
+    "match_group": ("(nicht OR que) AND der", _match_sql([_term_sql("nicht"), _term_sql("que"), _term_sql("der")], f"({_HAS.format('nicht')} OR {_HAS.format('que')}) AND {_HAS.format('der')}")),
+}
+for _name, (_expression, _sql) in _MATCHES.items():
+    _query(_name, _sql)(lambda spark, sf_dir, _expression=_expression: _matched(spark, sf_dir, _expression))
+
+
+@_query("match_near")
+def match_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two terms within three tokens; tests compare it with another full-text engine."""
+    return _matched(spark, sf_dir, "NEAR(the of, 3)")
+
+
+# Vectors, fusion, diversity
+
+_COS = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+
+
+@_query(
+    "vector_topk",
+    f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, {_COS.format('embedding', 'q')} AS s FROM embeddings, q)
+    SELECT vec_id, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, round(s, 6) AS score FROM s QUALIFY rank <= 10""",
+)
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("vec").alias("query_vec"))
+    top = rank.top_by(score_vectors(rows, asked, "vec_id").drop("vec"), "query_id", [F.round("score", rank.PLACES).desc(), F.col("vec_id").asc()], 10)
+    return top.select("vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@_query(
+    "vector_topk_batch",
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, {_COS.format('embedding', 'q')} AS s FROM embeddings, q)
+    SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, round(s, 6) AS score FROM s QUALIFY rank <= 10""",
+)
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as a query against all."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    top = rank.top_by(score_vectors(rows, asked, "vec_id").drop("vec"), "query_id", [F.round("score", rank.PLACES).desc(), F.col("vec_id").asc()], 10)
+    return top.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+_POOL = f"""WITH {_INDEX}, s AS (SELECT doc_id, sum({_SCORE}) AS s FROM post JOIN idf USING (term), st WHERE term IN ({_IN}) GROUP BY doc_id),
+p AS (SELECT doc_id, s, row_number() OVER (ORDER BY round(s, 9), doc_id) AS r FROM s QUALIFY r <= 60),
+c AS (SELECT p.*, e.embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q FROM p LEFT JOIN embeddings e ON e.vec_id = p.doc_id)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
+    pooled = rank.pool(_lexical(spark, sf_dir, _one_query(spark)), 10, "doc_id")
+    asked = _vectors(spark, sf_dir).where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.col("vec").alias("query_vec"))
+    met = pooled.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").join(F.broadcast(asked), "query_id", "left")
+    met = met.withColumn("cosine", F.when(F.col("vec").isNotNull(), cosine(F.col("vec"), F.col("query_vec"))))
+    fused = rank.fuse(met).withColumnRenamed("rank", "pool_rank")
+    top = rank.top_by(fused, "query_id", [F.round("score", rank.PLACES).desc(), F.col("pool_rank").asc()], 10)
+    return top.select("doc_id", "rank", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+
+
+def _fusion_sql(vector: str) -> str:
+    return f"""{_POOL}, f AS (SELECT doc_id, r, CASE WHEN {vector} THEN {_COS.format('embedding', 'q')} END AS c,
+      CASE WHEN max(s) OVER () = min(s) OVER () THEN 1.0 ELSE (max(s) OVER () - s) / (max(s) OVER () - min(s) OVER ()) END AS b FROM c),
+    g AS (SELECT doc_id, r, c, CASE WHEN c IS NULL THEN b ELSE 0.5 * b + 0.5 * least(1.0, greatest(0.0, (c + 1) / 2)) END AS f FROM f)
+    SELECT doc_id, CAST(row_number() OVER (ORDER BY round(f, 9) DESC, r) AS INTEGER) AS rank, round(c, 6) AS cosine, round(f, 6) AS score FROM g QUALIFY rank <= 10"""
+
+
+@_query("hybrid_fusion", _fusion_sql("embedding IS NOT NULL"))
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical pool, re-scored by vectors of the same id."""
+    return _fused(spark, sf_dir, _vectors(spark, sf_dir))
+
+
+@_query("fusion_no_vector", _fusion_sql("false"))
+def fusion_no_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without vectors the fused score is the scaled lexical one, unweighted."""
+    return _fused(spark, sf_dir, _vectors(spark, sf_dir).where(F.lit(False)))
+
+
+@_query(
+    "mmr_rerank",
+    f"""WITH RECURSIVE q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+    p AS (SELECT vec_id, embedding AS e, s, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS r FROM (SELECT vec_id, embedding, {_COS.format('embedding', 'q')} AS s FROM embeddings, q WHERE vec_id <> 0) QUALIFY r <= 20),
+    sim AS (SELECT a.r AS a, b.r AS b, {_COS.format('a.e', 'b.e')} AS c FROM p a, p b),
+    pick AS (
+      SELECT 1 AS n, [CAST(1 AS BIGINT)] AS chosen
+      UNION ALL
+      SELECT n + 1, list_append(chosen, (SELECT p.r FROM p WHERE NOT list_contains(chosen, p.r)
+        ORDER BY 0.5 * p.s - 0.5 * greatest(0.0, (SELECT max(c) FROM sim WHERE sim.a = p.r AND list_contains(chosen, sim.b))) DESC, p.r LIMIT 1)) FROM pick WHERE n < 5
+    ), last AS (SELECT chosen FROM pick WHERE n = 5), u AS (SELECT unnest(range(1, 6)) AS rank, chosen FROM last)
+    SELECT CAST(u.rank AS INTEGER) AS rank, p.vec_id, round(p.s, 6) AS score FROM u JOIN p ON p.r = chosen[u.rank]""",
+)
+def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five diverse vectors of the twenty nearest to vector 0, itself left out: it would make all others tie."""
+    every = _vectors(spark, sf_dir)
+    rows, asked = every.where("vec_id <> 0"), every.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("vec").alias("query_vec"))
+    pooled = rank.top_by(score_vectors(rows, asked, "vec_id"), "query_id", [F.round("score", rank.PLACES).desc(), F.col("vec_id").asc()], 20)
+    return rerank.mmr(pooled, MMRConfig(0.5, 5), 5).select("rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@_query("mmr_whole_index")
+def mmr_whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MMR over all vectors, from pools that grow until the choice is exact."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 250 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return rerank.mmr_index(score_vectors(rows, asked, "vec_id"), MMRConfig(0.7, 5), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+# Windows and documents in part; conversations are the chunks
+
+_NEAR = "string_agg(text, chr(10) || chr(10) ORDER BY turn)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").cast("int").alias("ordinal"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.concat_ws(":", "conv_id", "role").alias("parent_id"), F.col("turn").cast("int").alias("page"), F.col("text").alias("content"))
+
+
+@_query(
+    "window_neighbors",
+    f"""SELECT a.conv_id || ':' || a.turn AS chunk_id, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(b.text, chr(10) || chr(10) ORDER BY b.turn)) AS digest
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY a.conv_id, a.turn""",
+)
+def window_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    wide = windows.neighbours(turns.withColumn("query_id", F.lit(0)), turns, 1)
+    return wide.select("chunk_id", F.col("window_size").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@_query(
+    "parent_expansion",
+    """SELECT a.conv_id || ':' || a.turn AS chunk_id, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(b.text, chr(10) || chr(10) ORDER BY b.turn)) AS digest
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = b.role GROUP BY a.conv_id, a.turn""",
+)
+def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hit's window is all chunks of its parent: here the turns of one role."""
+    turns = _turns(spark, sf_dir)
+    wide = windows.parents(turns.withColumn("query_id", F.lit(0)), turns, 1)
+    return wide.select("chunk_id", F.col("window_size").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@_query(
+    "window_dedup",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations),
+    w AS (SELECT conv_id, 0 AS r, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT conv_id FROM t)
+      UNION ALL
+      SELECT w.conv_id, t.r, CASE WHEN list_contains(used, t.turn) OR len(kept) >= 3 THEN used ELSE list_concat(used, [t.turn - 1, t.turn, t.turn + 1]) END,
+        CASE WHEN list_contains(used, t.turn) OR len(kept) >= 3 THEN kept ELSE list_append(kept, t.turn) END
+      FROM w JOIN t ON t.conv_id = w.conv_id AND t.r = w.r + 1),
+    e AS (SELECT conv_id, arg_max(kept, r) AS kept FROM w GROUP BY conv_id)
+    SELECT conv_id AS query_id, kept[i] AS turn, CAST(i AS INTEGER) AS place FROM (SELECT conv_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM e)""",
+)
+def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation the longest turns, without those in the window of an earlier kept one, three at most."""
+    turns = _turns(spark, sf_dir)
+    hits = turns.withColumn("query_id", F.col("source_id").cast("long"))
+    ranked = rank.top_by(hits, "query_id", [F.length("content").desc(), F.col("ordinal").asc()], 1000)
+    kept = rerank.window_dedup(windows.neighbours(ranked, turns, 1).select("query_id", "chunk_id", "ordinal", "rank", "window_ids"), 3)
+    return kept.select("query_id", F.col("ordinal").cast("long").alias("turn"), "place")
+
+
+@_query(
+    "fetch_from_page",
+    f"""WITH p AS (SELECT conv_id, min(turn) FILTER (turn >= 2) AS pv FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CAST(min(turn) AS BIGINT) AS start_page, CAST(max(turn) AS BIGINT) AS end_page, sha256({_NEAR}) AS digest FROM conversations JOIN p USING (conv_id) WHERE turn >= pv GROUP BY conv_id""",
+)
+def fetch_from_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document from its first chunk of page 2 or later on."""
+    rows = _table(spark, sf_dir, "conversations")
+    pivot = rows.where("turn >= 2").groupBy("conv_id").agg(F.min("turn").alias("at"))
+    kept = rows.join(pivot, "conv_id").where(F.col("turn") >= F.col("at"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n")
+    return kept.groupBy("conv_id").agg(F.min("turn").alias("start_page"), F.max("turn").alias("end_page"), F.sha2(text, 256).alias("digest"))
+
+
+@_query(
+    "fetch_anchor",
+    f"""WITH p AS (SELECT conv_id, min(turn) AS pv FROM conversations WHERE contains(lower(text), 'the') GROUP BY conv_id)
+    SELECT conv_id, CAST(pv AS BIGINT) AS anchor, CAST(count(*) AS BIGINT) AS n, sha256({_NEAR}) AS digest FROM conversations JOIN p USING (conv_id) WHERE turn BETWEEN pv - 1 AND pv + 1 GROUP BY conv_id, pv""",
+)
+def fetch_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document around its first chunk that holds the anchor."""
+    turns = _turns(spark, sf_dir)
+    first = turns.where(F.contains(F.lower("content"), F.lit("the"))).groupBy("source_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"), F.min("ordinal").alias("ordinal"))
+    wide = windows.neighbours(first.withColumn("query_id", F.lit(0)), turns, 1)
+    return wide.select(F.col("source_id").cast("long").alias("conv_id"), F.col("ordinal").cast("long").alias("anchor"), F.col("window_size").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+# Filters and joins
+
+@_query("source_listing", "SELECT source, CAST(count(*) AS BIGINT) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@_query("tag_semi_join", "SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)")
+def tag_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with any of some tags: here the label of quality."""
+    tagged = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return _documents(spark, sf_dir).join(tagged, "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@_query("page_range_filter", "SELECT conv_id, CAST(turn AS BIGINT) AS turn FROM conversations WHERE turn BETWEEN 1 AND 2")
+def page_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").where(F.col("turn").between(1, 2)).select("conv_id", "turn")
+
+
+@_query("source_scope", "SELECT doc_id FROM documents WHERE source = 'src1' OR starts_with(source, 'src1 p.')")
+def source_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source itself or one of its pages, literally: src10 is another source."""
+    from .operators.index import in_scope
+
+    return _documents(spark, sf_dir).where(in_scope(F.col("source"), "src1")).select("doc_id")
+
+
+@_query("missing_vector_anti", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = doc_id)")
+def missing_vector_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return _documents(spark, sf_dir).join(vectors, "doc_id", "left_anti").select("doc_id")
+
+
+# Loaders and text
+
+_STRIP = r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+_ENTITIES = "replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', '''')"
+_SQUEEZE = r"trim(regexp_replace({0}, '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@_query("html_to_text", f"SELECT page_id, {_SQUEEZE.format(_ENTITIES.format(_STRIP))} AS text FROM pages")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.loaders import html_text
+
+    return _table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+@_query("html_entities", f"SELECT page_id, sha256({_ENTITIES.format('html')}) AS digest FROM pages")
+def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.loaders import decode_entities
+
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(decode_entities(F.col("html")), 256).alias("digest"))
+
+
+@_query(
+    "text_normalize",
+    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(text, ' ', '-' || chr(10)), '\r\n|[\r\x{2028}\x{2029}]', chr(10), 'g'), '[-\x{2010}\x{2011}]\n([\p{L}\p{M}])', '\1', 'g'), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f}\x{feff}\x{fffc}\x{f8ff}]', '', 'g')) AS digest FROM documents""",
+)
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newlines, hyphens at line ends and controls; each space becomes such a line end first."""
+    wrapped = F.replace("text", F.lit(" "), F.lit("-\n"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(X.strip_controls(X.join_hyphens(X.newlines(wrapped))), 256).alias("digest"))
+
+
+@_query("tableish_flag", r"SELECT doc_id, regexp_matches(text, '[\t|]|[^\s\p{Z}][\s\p{Z}]{2,}[^\s\p{Z}]') AS tableish FROM documents")
+def tableish_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", X.tableish(F.col("text")).alias("tableish"))
+
+
+@_query(
+    "heading_parse",
+    r"""WITH l AS (SELECT doc_id, repeat('#', CAST(doc_id % 8 AS INTEGER)) || ' ' || text AS line FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents))
+    SELECT doc_id, CAST(length(regexp_extract(line, '^[\s\p{Z}]*(#{1,6}) +[\s\p{Z}]*[^\s\p{Z}]', 1)) AS INTEGER) AS level,
+      regexp_replace(regexp_extract(line, '^[\s\p{Z}]*#{1,6} +(.*)$', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title
+    FROM l WHERE regexp_extract(line, '^[\s\p{Z}]*(#{1,6}) +[\s\p{Z}]*[^\s\p{Z}]', 1) <> ''""",
+)
+def heading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines behind 0 to 7 marks: one to six make a heading."""
+    line = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 8).cast("int")), F.lit(" "), F.substring_index("text", "\n", 1))
+    rows = _documents(spark, sf_dir).select("doc_id", X.heading(line).alias("h")).where("h IS NOT NULL")
+    return rows.select("doc_id", "h.level", "h.title")
+
+
+@_query(
+    "running_lines",
+    """WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, string_split(text, ' ') AS w FROM conversations),
+    e AS (SELECT 'first' AS "end", w[1] AS line FROM l UNION ALL SELECT 'last', w[len(w)] FROM l)
+    SELECT "end", line, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY "end", line QUALIFY row_number() OVER (PARTITION BY "end" ORDER BY n DESC, line) <= 2""",
+)
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two most frequent first and last words of turns: the counting half of the header filter."""
+    word = F.split("text", " ")
+    ends = _table(spark, sf_dir, "conversations").select(F.explode(F.array(F.struct(F.lit("first").alias("end"), F.get(word, F.lit(0)).alias("line")), F.struct(F.lit("last").alias("end"), F.element_at(word, -1).alias("line")))).alias("e"))
+    counts = ends.groupBy("e.end", "e.line").agg(F.count("*").alias("n"))
+    return rank.top_by(counts, "end", [F.desc("n"), F.col("line").asc()], 2).select("end", "line", "n")
+
+
+@_query("header_footer_strip")
+def header_footer_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines as pages, each with a running head; tests compare with brute force."""
+    lines = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("page", "line"))
+    pages = lines.select("source_id", F.lit("n").alias("name"), F.lit("public.plain-text").alias("uti"), "page", F.concat(F.lit("Running head\n"), F.col("line")).alias("text"))
+    return chunking.strip_running_lines(pages).select("source_id", "page", F.sha2("text", 256).alias("digest"))
+
+
+_SENTENCES = r"""list_filter(list_transform(CASE WHEN regexp_matches(text, '[\t|]|[^\s\p{Z}][\s\p{Z}]{2,}[^\s\p{Z}]') THEN string_split(text, chr(10))
+  ELSE string_split(regexp_replace(text, '([.!?]+)[\s\p{Z}]+', '\1' || chr(10), 'g'), chr(10)) END, lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')"""
+
+
+@_query(
+    "chunk_pack",
+    f"""WITH RECURSIVE u AS (SELECT doc_id, {_SENTENCES} AS u, CASE WHEN regexp_matches(text, '[\\t|]|[^\\s\\p{{Z}}][\\s\\p{{Z}}]{{2,}}[^\\s\\p{{Z}}]') THEN chr(10) ELSE ' ' END AS j FROM documents),
+    f AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS out, '' AS buf FROM u
+      UNION ALL
+      SELECT f.doc_id, i + 1,
+        CASE WHEN buf <> '' AND length(buf) + 1 + length(u.u[i + 1]) > 720 THEN list_append(out, buf) ELSE out END,
+        CASE WHEN buf = '' THEN u.u[i + 1]
+          WHEN length(buf) + 1 + length(u.u[i + 1]) > 720 THEN CASE WHEN length(right(buf, 72) || chr(10) || u.u[i + 1]) > 720 THEN u.u[i + 1] ELSE right(buf, 72) || chr(10) || u.u[i + 1] END
+          ELSE buf || u.j || u.u[i + 1] END
+      FROM f JOIN u ON u.doc_id = f.doc_id WHERE i < len(u.u)),
+    e AS (SELECT doc_id, list_append(out, buf) AS c FROM f JOIN u USING (doc_id) WHERE i = len(u.u) AND buf <> '')
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, sha256(c[i]) AS digest FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM e)""",
+)
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into chunks of 720 characters at most where units allow, 72 of them shared."""
+    docs = _documents(spark, sf_dir)
+    joiner = F.when(X.tableish(F.col("text")), "\n").otherwise(" ")
+    packed = docs.select("doc_id", F.posexplode(chunking.pack(X.units(F.col("text")), joiner, ChunkingConfig(200, 20))).alias("ordinal", "c"))
+    return packed.select("doc_id", "ordinal", F.sha2("c", 256).alias("digest"))
+
+
+@_query("chunk_sections")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from pages to chunks; every line of a document that ends in 'ing.' is made a heading."""
+    marked = F.regexp_replace("text", r"(?m)^(.{1,80}ing\.)$", "## $1")
+    pages = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.lit("n").alias("name"), F.lit("public.plain-text").alias("uti"), F.lit(0).alias("page"), marked.alias("text"))
+    return chunking.chunks(pages).select("chunk_id", "ordinal", "section_title", "parent_id")
+
+
+@_query(
+    "chunk_ids",
+    r"""SELECT doc_id, source || ':' || (doc_id % 7) || ':' || substr(sha256(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), 1, 16) AS chunk_id,
+    sha256(source || '|' || -1 || '|' || text) AS cache_key FROM documents""",
+)
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = X.content_hash(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", X.chunk_id(F.col("source"), F.col("doc_id") % 7, digest).alias("chunk_id"), X.cache_key(F.col("source"), F.lit(None).cast("int"), F.col("text")).alias("cache_key"))
+
+
+@_query(
+    "context_prefix",
+    r"""WITH h AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^page\s*[0-9]+$'))[1] AS h FROM documents)
+    SELECT doc_id, '[' || source || ' · p.' || (doc_id % 9 + 1) || coalesce(' · ' || h, '') || '] - ' AS prefix FROM h""",
+)
+def context_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", chunking.rule_prefix(F.col("source"), F.col("doc_id") % 9, chunking.page_header(F.col("text"))).alias("prefix"))
+
+
+@_query(
+    "query_sanitize",
+    r"""SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{M}\p{N}]', ' ', 'g'), ' +'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')), lambda x: '"' || x || '"'), ' OR ') AS expression FROM benchmark""",
+)
+def query_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", X.sanitize(F.col("text"), compat=True).alias("expression"))
+
+
+@_query(
+    "excerpt",
+    r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM documents)
+    SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS excerpt FROM t""",
+)
+def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
+
+
+@_query("needs_ocr", r"SELECT conv_id, turn, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) = 0 AS needs FROM conversations")
+def needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", X.needs_ocr(F.col("text")).alias("needs"))
+
+
+def _loaded(spark: SparkSession, rows: DataFrame, uti: str) -> DataFrame:
+    from .sources.loaders import load
+
+    kind = rows.select("source_id", F.lit("data").alias("kind"), F.lit(uti).alias("uti"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("text"), "bytes")
+    return load(kind)
+
+
+@_query("json_flatten", "SELECT event_id, string_agg(k || ': ' || json_extract_string(props, '$.' || k), chr(10) ORDER BY k) AS text FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) GROUP BY event_id")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("source_id"), F.col("props").cast("binary").alias("bytes"))
+    return _loaded(spark, events, "public.json").select(F.col("source_id").cast("long").alias("event_id"), "text")
+
+
+@_query("csv_row_pages", "SELECT 'r' || n_regionkey AS source_id, CAST(1 AS INTEGER) AS page, 'key: ' || n_nationkey || ', name: ' || n_name AS text FROM nation WHERE n_nationkey = n_regionkey OR n_nationkey < 5")
+def csv_row_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "nation").where("n_nationkey = n_regionkey OR n_nationkey < 5")
+    table = F.concat(F.lit("key,name\r\n"), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit('"\r\n'))
+    made = rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("source_id"), table.cast("binary").alias("bytes"))
+    return _loaded(spark, made, "public.comma-separated-values-text").select("source_id", "page", "text")
+
+
+@_query("yaml_lines", "SELECT CAST(n_nationkey AS VARCHAR) AS source_id, 'name: ' || n_name || chr(10) || '- ' || n_regionkey AS text FROM nation")
+def yaml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("---\n# a nation\nname: "), F.col("n_name"), F.lit("  # its name\n\n  - "), F.col("n_regionkey").cast("string"), F.lit("\n...\n"))
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source_id"), text.cast("binary").alias("bytes"))
+    return _loaded(spark, rows, "public.yaml").select("source_id", "text")
+
+
+@_query("xml_flatten", "SELECT CAST(n_nationkey AS VARCHAR) AS source_id, 'n.@k: ' || n_nationkey || chr(10) || 'n.name: ' || n_name AS text FROM nation")
+def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("<n k='"), F.col("n_nationkey").cast("string"), F.lit("'><name> "), F.col("n_name"), F.lit(" </name></n>"))
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source_id"), text.cast("binary").alias("bytes"))
+    return _loaded(spark, rows, "public.xml").select("source_id", "text")
+
+
+@_query("rtf_load", "SELECT CAST(n_nationkey AS VARCHAR) AS source_id, n_name || ' é' || chr(10) || n_regionkey AS text FROM nation")
+def rtf_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}{\\b "), F.col("n_name"), F.lit("} \\'e9\\par "), F.col("n_regionkey").cast("string"), F.lit("}"))
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source_id"), text.cast("binary").alias("bytes"))
+    return _loaded(spark, rows, "public.rtf").select("source_id", "text")
+
+
+@_query("file_types", "SELECT * FROM (VALUES ('a.csv', 'comma-separated-values-text', 'csv'), ('b.pdf', 'pdf', 'pdf'), ('c.md', 'markdown', 'markdown'), ('d.docx', 'docx', 'docx'), ('e.png', 'image', 'image'), ('f', 'text', 'text'), ('g.JSON', 'json', 'json')) AS t(path, file_type, loader)")
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.types import file_type, loader_of, uti_of
+
+    rows = spark.createDataFrame([(p,) for p in ("a.csv", "b.pdf", "c.md", "d.docx", "e.png", "f", "g.JSON")], "path string")
+    return rows.select("path", file_type(uti_of(F.col("path"))).alias("file_type"), loader_of(uti_of(F.col("path"))).alias("loader"))
+
+
+# Answers and metrics; turns are replies, numbered marks are added
+
+def _passages(n: int) -> Column:
+    """n passages with scores .9, .5, ... and one citation each, built from the row's text."""
+    def one(i: int) -> Column:
+        cite = F.struct(F.lit(f"s{i}").alias("source_id"), F.lit(f"S{i}").alias("source_name"), F.lit("text").alias("file_type"), F.lit(0).alias("page"), F.lit(None).cast("string").alias("section_title"), F.lit(f"c{min(i, 2)}").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("x").alias("excerpt"))
+        return F.struct(F.col("text"), F.lit(round(0.9 - 0.4 * (i - 1), 1)).alias("score"), F.array(cite).alias("citations"))
+
+    return F.array(*[one(i) for i in range(1, n + 1)])
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    first, second = F.pmod(F.col("turn"), F.lit(5)), F.pmod(F.col("conv_id"), F.lit(4))
+    reply = F.concat(F.col("text"), F.lit(" ["), first.cast("string"), F.lit("]["), second.cast("string"), F.lit("] ["), first.cast("string"), F.lit("]"))
+    return rows.withColumn("reply", reply).withColumn("passages", _passages(3))
+
+
+_MARKS = "WITH m AS (SELECT conv_id, turn, list_distinct(list_filter([turn % 5, conv_id % 4], lambda x: x BETWEEN 1 AND 3)) AS d, [turn % 5, conv_id % 4] AS l FROM conversations WHERE NOT regexp_matches(text, '\\[[0-9]+\\]'))"
+
+
+@_query(
+    "citation_resolve",
+    _MARKS + """, k AS (SELECT conv_id, turn, CASE WHEN l[1] BETWEEN 1 AND 3 THEN 'c' || least(l[1], 2) END AS a, CASE WHEN l[2] BETWEEN 1 AND 3 THEN 'c' || least(l[2], 2) END AS b FROM m)
+    SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN a IS NULL THEN coalesce(b, '') WHEN b IS NULL OR a = b THEN a ELSE a || ',' || b END AS chunks FROM k""",
+)
+def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replies(spark, sf_dir).where(~F.col("text").rlike(r"\[[0-9]+\]"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform(G.resolve(F.col("reply"), F.col("passages")), lambda c: c["chunk_id"]), ",").alias("chunks"))
+
+
+@_query("confidence", _MARKS + " SELECT conv_id, CAST(turn AS BIGINT) AS turn, round(CASE WHEN len(d) = 0 THEN 0 ELSE least(1, greatest(0, list_sum(list_transform(d, lambda x: 0.9 - 0.4 * (x - 1))) / len(d))) END, 6) AS confidence FROM m")
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replies(spark, sf_dir).where(~F.col("text").rlike(r"\[[0-9]+\]"))
+    return rows.select("conv_id", "turn", F.round(G.confidence(F.col("reply"), F.col("passages")), 6).alias("confidence"))
+
+
+@_query("refusal", _MARKS + " SELECT conv_id, CAST(turn AS BIGINT) AS turn, len(d) = 0 OR list_sum(list_transform(d, lambda x: 0.9 - 0.4 * (x - 1))) / len(d) < 0.3 AS refused FROM m")
+def refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict policy on marked replies."""
+    rows = _replies(spark, sf_dir).where(~F.col("text").rlike(r"\[[0-9]+\]"))
+    cites, trust = F.size(G.resolve(F.col("reply"), F.col("passages"))), G.confidence(F.col("reply"), F.col("passages"))
+    return rows.select("conv_id", "turn", G.refused(F.col("reply"), cites, trust, F.col("text"), AnswerPolicy.strict()).alias("refused"))
+
+
+_WORD = "split_part(text, ' ', 1)"
+
+
+@_query("quote_grounding", f"SELECT conv_id, turn, CASE WHEN contains({_WORD}, '\"') OR {_WORD} = '' THEN NULL ELSE 0.5 END AS share FROM conversations")
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One quote from the text and one invented."""
+    word = F.substring_index("text", " ", 1)
+    reply = F.concat(F.lit('"'), word, F.lit('" and "zzz zzz"'))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(~(F.contains(word, F.lit('"')) | (word == "")), G.quote_grounding(reply, F.col("text"))).alias("share"))
+
+
+@_query("numeric_consistency", "SELECT conv_id, turn, CASE WHEN contains(text || ' 1985', '99.9') THEN 1.0 ELSE 0.5 END AS share FROM conversations")
+def numeric_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", G.numeric_consistency(F.lit("It was 1985, or 99.9."), F.concat("text", F.lit(" 1985"))).alias("share"))
+
+
+@_query(
+    "citation_coverage",
+    r"""WITH s AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text || ' [1]. End.', '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '[\s\p{Z}.!?]', '', 'g') <> '') AS s FROM conversations)
+    SELECT conv_id, turn, round(len(list_filter(s, lambda x: regexp_matches(x, '\[[0-9]+\]'))) / len(s), 6) AS coverage FROM s""",
+)
+def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(G.citation_coverage(F.concat("text", F.lit(" [1]. End."))), 6).alias("coverage"))
+
+
+@_query(
+    "eval_recall_mrr_precision",
+    f"""WITH {_INDEX}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark),
+    s AS (SELECT query_id, doc_id, sum({_SCORE}) AS s FROM q JOIN post USING (term) JOIN idf USING (term), st GROUP BY query_id, doc_id),
+    r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9), doc_id) AS rank FROM s QUALIFY rank <= 5),
+    m AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, split_part(b.text, '.', 1))),
+    c AS (SELECT query_id, count(*) AS n FROM m GROUP BY query_id),
+    h AS (SELECT c.query_id, c.n, count(r.rank) AS hits, coalesce(1.0 / min(r.rank), 0) AS rr FROM c LEFT JOIN m USING (query_id) LEFT JOIN r ON r.query_id = m.query_id AND r.doc_id = m.doc_id GROUP BY c.query_id, c.n)
+    SELECT CAST(count(*) AS BIGINT) AS queries, round(coalesce(avg(hits / n), 0), 6) AS recall_at_k, round(coalesce(avg(hits / 5), 0), 6) AS precision_at_k, round(coalesce(avg(rr), 0), 6) AS mrr FROM h""",
+)
+def eval_recall_mrr_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the batch search; relevant are documents that hold a benchmark text's first sentence."""
+    bench = _table(spark, sf_dir, "benchmark")
+    first = bench.select(F.col("item_id").alias("query_id"), F.substring_index("text", ".", 1).alias("s"))
+    held = _documents(spark, sf_dir).join(F.broadcast(first), F.contains("text", "s")).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("must"))
+    found = bm25_batch_topk(spark, sf_dir).where("rank <= 5").select("query_id", "rank", F.col("doc_id").cast("string").alias("source_id"))
+    out = evaluate.summary(evaluate.retrieval_metrics(found, held.withColumn("k", F.lit(5))))
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in ("recall_at_k", "precision_at_k", "mrr")])
+
+
+# Whole ways through the engine; tests check what they return
+
+def _engine(spark: SparkSession, **more):
+    from .plans.engine import Engine
+    from .sources.embedders import BagEmbedder
+
+    return Engine(spark, provider=BagEmbedder(32), **more)
+
+
+def _ingested(spark: SparkSession, sf_dir: str, **more):
+    engine = _engine(spark, **more)
+    docs = _documents(spark, sf_dir).where("length(text) > 0")
+    rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("text").alias("kind"), F.lit("public.plain-text").alias("uti"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("path"), "text", F.lit(None).cast("binary").alias("bytes"))
+    engine.ingest(rows)
+    return engine
+
+
+@_query("embed_backfill")
+def embed_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest all documents, embed all chunks; (chunk_id, dim) of the vectors."""
+    return _ingested(spark, sf_dir).store.read("vectors").select("chunk_id", "dim")
+
+
+@_query("answer_batch")
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a question to an index of all documents."""
+    from .sources.generators import FirstSentenceGenerator
+
+    engine = _ingested(spark, sf_dir, generator=FirstSentenceGenerator())
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return engine.answer(asked).select("query_id", "text", F.size("citations").alias("n_citations"), F.round("confidence", 6).alias("confidence"), "refused")
+
+
+@_query("docx_load")
+def docx_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as small word-processing documents."""
+    def packed(name: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>{name}</w:t></w:r><w:r><w:br/><w:t>end</w:t></w:r></w:p></w:body></w:document>')
+        return out.getvalue()
+
+    pack = F.udf(packed, T.BinaryType(), useArrow=True)
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source_id"), pack("n_name").alias("bytes"))
+    return _loaded(spark, rows, "org.openxmlformats.wordprocessingml.document").select("source_id", "text")
+
+
+@_query("stream_ingest")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a directory as a stream of ingests; the chunks that result."""
+    from .streaming.ingest import ingest_stream
+
+    at = tempfile.mkdtemp(prefix="passages-stream-")
+    _table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(" is a region."))).coalesce(2).write.text(f"{at}/in")
+    engine = _engine(spark)
+    ingest_stream(engine, f"{at}/in", f"{at}/checkpoint", "*.txt").awaitTermination()
+    return engine.store.read("chunks").select("ordinal", "content")

@@ -107,7 +107,7 @@ def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataF
     """
     rows = sections(pages)
     joiner = F.when(X.tableish(F.col("body")), "\n").otherwise(" ")
-    packed = rows.withColumn("texts", pack(X.units(F.col("body")), joiner, config)).where(F.size("texts") > 0).drop("body")
+    packed = rows.withColumn("texts", pack(X.units(F.col("body")), joiner, config)).drop("body")
     before = Window.partitionBy("source_id").orderBy("page", "section").rowsBetween(Window.unboundedPreceding, -1)
     numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)))
     flat = numbered.select("source_id", "name", "page", "title", "parent_id", "first", F.posexplode("texts").alias("i", "content"))

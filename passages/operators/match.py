@@ -196,62 +196,74 @@ def places(phrase: Phrase, tokens: Column) -> Column:
     return F.when((F.size(tokens) >= n) & may, F.filter(everywhere, here)).otherwise(F.array().cast("array<int>"))
 
 
-def _searched(phrase: Phrase, columns: dict[str, Column]) -> list[Column]:
-    names = phrase.columns or list(columns)
-    unknown = [n for n in names if n not in columns]
-    if unknown:
-        raise EngineError(422, f"no such column: {unknown[0]}")
-    return [columns[n] for n in names]
+class Placed:
+    """Places of all phrases of an expression in all its columns, each as a column of its own."""
+
+    def __init__(self, node, columns: list[str]) -> None:
+        self.columns = columns
+        self.phrases = _phrases(node)
+        for p in self.phrases:
+            unknown = [n for n in p.columns or [] if n not in columns]
+            if unknown:
+                raise EngineError(422, f"no such column: {unknown[0]}")
+
+    def name(self, phrase: Phrase, column: str) -> str:
+        i = next(i for i, p in enumerate(self.phrases) if p is phrase)
+        return f"__p{i}_{self.columns.index(column)}"
+
+    def expressions(self, tokens: dict[str, Column]) -> list[Column]:
+        return [places(p, tokens[c]).alias(self.name(p, c)) for p in self.phrases for c in p.columns or self.columns]
+
+    def count(self, phrase: Phrase) -> Column:
+        """How often a phrase occurs in its columns."""
+        out = F.lit(0)
+        for c in phrase.columns or self.columns:
+            out = out + F.size(self.name(phrase, c))
+        return out
 
+    def matches(self, node) -> Column:
+        """Whether a row matches."""
+        if isinstance(node, Phrase):
+            return self.count(node) > 0
+        if isinstance(node, Near):
+            out = F.lit(False)
+            for c in self.columns:
+                if any(p.columns and c not in p.columns for p in node.phrases):
+                    continue
+                found = [F.col(self.name(p, c)) for p in node.phrases]
+                for first, start in zip(node.phrases, found):
+                    out = out | F.exists(start, _near(found, len(first.terms) + node.distance))
+            return out
+        parts = [self.matches(p) for p in node.parts]
+        if node.op == "not":
+            return parts[0] & ~parts[1]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if node.op == "and" else out | p
+        return out
 
-def count(phrase: Phrase, columns: dict[str, Column]) -> Column:
-    """How often a phrase occurs in its columns."""
-    out = F.lit(0)
-    for tokens in _searched(phrase, columns):
-        out = out + F.size(places(phrase, tokens))
-    return out
 
+def _near(found: list[Column], reach: int):
+    """Whether each of the phrases has a place from s to s + reach."""
 
-def matches(node, columns: dict[str, Column]) -> Column:
-    """Whether a row matches."""
-    if isinstance(node, Phrase):
-        out = F.lit(False)
-        for tokens in _searched(node, columns):
-            if len(node.terms) == 1:
-                term = node.terms[0]
-                out = out | (F.exists(tokens, lambda x: F.startswith(x, F.lit(term))) if node.prefix else F.array_contains(tokens, term))
-            else:
-                out = out | (F.size(places(node, tokens)) > 0)
-        return out
-    if isinstance(node, Near):
-        out = F.lit(False)
-        for name, tokens in columns.items():
-            if any(p.columns and name not in p.columns for p in node.phrases):
-                continue
-            found = [places(p, tokens) for p in node.phrases]
-            for first, start in zip(node.phrases, found):
-                reach = len(first.terms) + node.distance
+    def within(s: Column) -> Column:
+        ok = F.lit(True)
+        for other in found:
+            ok = ok & F.exists(other, lambda p: (p >= s) & (p <= s + reach))
+        return ok
 
-                def within(s: Column, found=found, reach=reach) -> Column:
-                    ok = F.lit(True)
-                    for other in found:
-                        ok = ok & F.exists(other, lambda p: (p >= s) & (p <= s + reach))
-                    return ok
+    return within
 
-                out = out | F.exists(start, _one(within))
-        return out
-    parts = [matches(p, columns) for p in node.parts]
-    if node.op == "not":
-        return parts[0] & ~parts[1]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if node.op == "and" else out | p
-    return out
+
+def _phrases(node) -> list[Phrase]:
+    if isinstance(node, Phrase):
+        return [node]
+    return [x for p in (node.phrases if isinstance(node, Near) else node.parts) for x in _phrases(p)]
 
 
-def _one(test):
-    """A function of one argument only, as higher-order functions count them."""
-    return lambda s: test(s)
+def once(*columns: Column) -> Column:
+    """Columns that are computed once per row: filters on them are not pushed below, which would compute them again."""
+    return F.inline(F.array(F.struct(*columns)))
 
 
 def scored_phrases(node) -> list[Phrase]:
@@ -268,11 +280,12 @@ def scored_phrases(node) -> list[Phrase]:
 def search(rows: DataFrame, key: str, columns: dict[str, Column], expression: str) -> DataFrame:
     """(key, bm25) of the rows that match; statistics are of all rows."""
     node = parse(expression)
-    phrases = scored_phrases(node)
-    held = rows.select(key, *[c.alias(f"__c{i}") for i, c in enumerate(columns.values())])
+    phrases, placed = scored_phrases(node), Placed(node, list(columns))
+    held = rows.select(key, once(*[c.alias(f"__c{i}") for i, c in enumerate(columns.values())]))
     arrays = {name: F.col(f"__c{i}") for i, name in enumerate(columns)}
     dl = sum((F.size(c) for c in arrays.values()), F.lit(0))
-    counted = held.select(key, dl.alias("__dl"), matches(node, arrays).alias("__hit"), *[count(p, arrays).alias(f"__tf{i}") for i, p in enumerate(phrases)])
+    found = held.select(key, dl.alias("__dl"), once(*placed.expressions(arrays)))
+    counted = found.select(key, "__dl", placed.matches(node).alias("__hit"), *[placed.count(p).alias(f"__tf{i}") for i, p in enumerate(phrases)])
     stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(phrases))])
     score = F.lit(0.0)
     for i in range(len(phrases)):

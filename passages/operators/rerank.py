@@ -69,25 +69,7 @@ def mmr_index(scored: DataFrame, config: MMRConfig, limit: int, start: int = 256
 
     while True:
         pooled = top_by(todo, "query_id", [F.desc("score"), F.col(key)], size + 1)
-
-        def run(group: pa.Table, size=size) -> pa.Table:
-            group = group.sort_by("rank")
-            beyond = float(group.column("score")[size].as_py()) if group.num_rows > size else None
-            group = group.slice(0, size)
-            relevance = group.column("score").to_numpy().astype(float)
-            vectors = [None if v is None else np.asarray(v, float) for v in group.column("vec").to_pylist()]
-            chosen = mmr_order(relevance, vectors, weight, k)
-            exact = True
-            if beyond is not None:
-                picked: list[int] = []
-                for c in chosen:
-                    worst = max([_cosine(vectors[c], vectors[p]) for p in picked], default=0.0)
-                    exact &= weight * relevance[c] - (1 - weight) * max(0.0, worst) >= weight * beyond
-                    picked.append(c)
-            out = group.take(pa.array(chosen))
-            return pa.table({"query_id": out.column("query_id"), key: out.column(key), "score": pa.array(relevance[chosen]), "rank": pa.array(range(1, len(chosen) + 1), pa.int32()), "exact": pa.array([exact] * len(chosen))})
-
-        got = pooled.groupBy("query_id").applyInArrow(run, schema).persist()
+        got = pooled.groupBy("query_id").applyInArrow(_mmr_pool(key, size, weight, k), schema).persist()
         finished = got.where("exact").drop("exact")
         done = finished if done is None else done.unionByName(finished)
         open_ = got.where("NOT exact").select("query_id").distinct()
@@ -96,6 +78,27 @@ def mmr_index(scored: DataFrame, config: MMRConfig, limit: int, start: int = 256
         todo, size = scored.join(open_, "query_id", "left_semi"), size * 4
 
 
+def _mmr_pool(key: str, size: int, weight: float, k: int):
+    """MMR over the first ``size`` rows of a group, and whether the row after them could change it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        beyond = float(group.column("score")[size].as_py()) if group.num_rows > size else None
+        group = group.slice(0, size)
+        relevance = group.column("score").to_numpy().astype(float)
+        vectors = [None if v is None else np.asarray(v, float) for v in group.column("vec").to_pylist()]
+        chosen = mmr_order(relevance, vectors, weight, k)
+        exact = True
+        if beyond is not None:
+            for n, c in enumerate(chosen):
+                worst = max([_cosine(vectors[c], vectors[p]) for p in chosen[:n]], default=0.0)
+                exact &= bool(weight * relevance[c] - (1 - weight) * max(0.0, worst) >= weight * beyond)
+        out = group.take(pa.array(chosen))
+        return pa.table({"query_id": out.column("query_id"), key: out.column(key), "score": pa.array(relevance[chosen]), "rank": pa.array(range(1, len(chosen) + 1), pa.int32()), "exact": pa.array([exact] * len(chosen))})
+
+    return run
+
+
 def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float:
     if a is None or b is None:
         return 0.0

@@ -30,26 +30,22 @@ EXTENSIONS = {
 LOADERS = (("pdf", PDF), ("markdown", MARKDOWN), ("docx", DOCX), ("html", HTML), ("rtf", RTF), ("csv", CSV), ("tsv", TSV), ("json", JSON), ("xml", XML), ("yaml", YAML), ("image", IMAGE), ("text", TEXT))
 
 
+def _looked_up(value: Column, pairs: dict[str, str]) -> Column:
+    """The pair's value, null for others; a map literal, so the value is computed once."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), value)
+
+
 def uti_of(path: Column) -> Column:
     """The identifier that a path's extension stands for; unknown ones are plain text."""
-    extension = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
-    out = F.lit(TEXT[0])
-    for ext, uti in EXTENSIONS.items():
-        out = F.when(extension == ext, uti).otherwise(out)
-    return out
+    return F.coalesce(_looked_up(F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)), EXTENSIONS), F.lit(TEXT[0]))
 
 
 def loader_of(uti: Column) -> Column:
     """The loader of an identifier, null if none takes it."""
-    out = F.lit(None).cast("string")
-    for name, utis in reversed(LOADERS):
-        out = F.when(uti.isin(*utis), name).otherwise(out)
-    return out
+    return _looked_up(uti, {u: name for name, utis in reversed(LOADERS) for u in utis})
 
 
 def file_type(uti: Column) -> Column:
     """pdf, text, markdown, docx, image, or the identifier's last part."""
-    return (
-        F.when(uti.isin(*PDF), "pdf").when(uti.isin(*TEXT), "text").when(uti.isin(*MARKDOWN), "markdown").when(uti.isin(*DOCX), "docx").when(uti.isin(*IMAGE), "image")
-        .otherwise(F.element_at(F.split(uti, r"\."), -1))
-    )
+    named = {u: name for name, utis in (("pdf", PDF), ("text", TEXT), ("markdown", MARKDOWN), ("docx", DOCX), ("image", IMAGE)) for u in utis}
+    return F.coalesce(_looked_up(uti, named), F.element_at(F.split(uti, r"\."), -1))
