@@ -639,7 +639,7 @@ def refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORD = "split_part(text, ' ', 1)"
 
 
-@_query("quote_grounding", f"SELECT conv_id, turn, CASE WHEN contains({_WORD}, '\"') OR {_WORD} = '' THEN NULL ELSE 0.5 END AS share FROM conversations")
+@_query("quote_grounding", f"SELECT conv_id, turn, CASE WHEN contains({_WORD}, '\"') OR {_WORD} = '' THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS share FROM conversations")
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One quote from the text and one invented."""
     word = F.substring_index("text", " ", 1)
@@ -647,7 +647,7 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(~(F.contains(word, F.lit('"')) | (word == "")), G.quote_grounding(reply, F.col("text"))).alias("share"))
 
 
-@_query("numeric_consistency", "SELECT conv_id, turn, CASE WHEN contains(text || ' 1985', '99.9') THEN 1.0 ELSE 0.5 END AS share FROM conversations")
+@_query("numeric_consistency", "SELECT conv_id, turn, CASE WHEN contains(text || ' 1985', '99.9') THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS share FROM conversations")
 def numeric_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", G.numeric_consistency(F.lit("It was 1985, or 99.9."), F.concat("text", F.lit(" 1985"))).alias("share"))
 
