@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..schema import CHUNKS, INDEXES, PREFIXES, SOURCES, TAGS, VECTORS, EmbeddingModel, EngineError, RetrievalFilter
+from ..schema import CHUNKS, INDEXES, LENGTHS, POSTINGS, PREFIXES, SOURCES, TAGS, VECTORS, EmbeddingModel, EngineError, RetrievalFilter
 from ..sources.embedders import EmbeddingProvider, embed
 
-TABLES: dict[str, T.StructType] = {"sources": SOURCES, "chunks": CHUNKS, "tags": TAGS, "vectors": VECTORS, "indexes": INDEXES, "prefixes": PREFIXES}
+TABLES: dict[str, T.StructType] = {"sources": SOURCES, "chunks": CHUNKS, "tags": TAGS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "indexes": INDEXES, "prefixes": PREFIXES}
 
 
 class IndexStore:
@@ -50,7 +50,10 @@ class IndexStore:
         for name, rows in tables.items():
             version = f"{name}-{uuid.uuid4().hex}"
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]
-            rows.select(*columns).write.parquet(f"{self.path}/{version}")
+            rows = rows.select(*columns)
+            if name == "postings":  # a term's rows lie together, so a reader skips the row groups of other terms
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+            rows.write.parquet(f"{self.path}/{version}")
             manifest[name] = version
         fresh = self._path(f"{self.path}/manifest-{uuid.uuid4().hex}.json")
         out = self._fs.create(fresh)
@@ -73,7 +76,7 @@ def in_scope(column, source: str):
     return (column == source) | F.startswith(column, F.lit(f"{source} p."))
 
 
-def replace_sources(store: IndexStore, sources: DataFrame, chunk_rows: DataFrame, tags: DataFrame | None = None, prefixes: DataFrame | None = None) -> None:
+def replace_sources(store: IndexStore, sources: DataFrame, chunk_rows: DataFrame, tags: DataFrame | None = None, prefixes: DataFrame | None = None, index_text: str = "augmented") -> None:
     """Put new sources with their chunks in place of what the index has under their ids.
 
     imported_at stays as it was, updated_at is new; tags stay unless given; the
@@ -93,6 +96,10 @@ def replace_sources(store: IndexStore, sources: DataFrame, chunk_rows: DataFrame
         "chunks": store.read("chunks").join(ids, "source_id", "left_anti").unionByName(placed.select(*CHUNKS.names)),
         "vectors": store.read("vectors").join(ids, "source_id", "left_anti"),
     }
+    listed_terms = placed.select("chunk_id", "source_id", index_terms(index_text).alias("terms")).withColumn("dl", F.size("terms"))
+    posts = listed_terms.select("chunk_id", "source_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "source_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    for name, rows in (("postings", posts), ("lengths", listed_terms.drop("terms"))):
+        tables[name] = store.read(name).join(ids, "source_id", "left_anti").unionByName(rows.select(*TABLES[name].names))
     if tags is not None:
         tables["tags"] = store.read("tags").join(ids, "source_id", "left_anti").unionByName(_clean_tags(tags))
     if prefixes is not None:
@@ -106,12 +113,12 @@ def _clean_tags(tags: DataFrame) -> DataFrame:
 
 def delete_chunks(store: IndexStore, source: str) -> None:
     """Remove the chunks and vectors of a source and its pages; the source itself stays."""
-    store.commit({name: store.read(name).where(~in_scope(F.col("source_id"), source)) for name in ("chunks", "vectors")})
+    store.commit({name: store.read(name).where(~in_scope(F.col("source_id"), source)) for name in ("chunks", "vectors", "postings", "lengths")})
 
 
 def delete_source(store: IndexStore, source: str) -> None:
     """Remove a source with its chunks, vectors and tags; the prefix cache stays."""
-    store.commit({name: store.read(name).where(~in_scope(F.col("source_id"), source)) for name in ("sources", "chunks", "vectors", "tags")})
+    store.commit({name: store.read(name).where(~in_scope(F.col("source_id"), source)) for name in ("sources", "chunks", "vectors", "tags", "postings", "lengths")})
 
 
 def set_tags(store: IndexStore, source: str, tags: list[str]) -> None:
@@ -143,7 +150,12 @@ def index_info(store: IndexStore, index_id: str) -> tuple[str, int] | None:
     return (row.model_id, row.dimension) if row else None
 
 
-def augmented(chunk_rows: DataFrame, index_text: str = "augmented"):
+def index_terms(index_text: str = "augmented"):
+    """Terms of a chunk: its indexed text, source and section title."""
+    return F.concat(X.tokens(augmented(None, index_text)), X.tokens(F.col("source_id")), X.tokens(F.coalesce("section_title", F.lit(""))))
+
+
+def augmented(chunk_rows: DataFrame | None, index_text: str = "augmented"):
     """The text that is indexed and embedded: prefix and content, or the content alone."""
     return F.concat(F.coalesce("context_prefix", F.lit("")), F.col("content")) if index_text == "augmented" else F.col("content")
 

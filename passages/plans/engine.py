@@ -56,7 +56,7 @@ class Engine:
         tag_rows = None
         if tags is not None:
             tag_rows = self.spark.createDataFrame([(s, t) for s, ts in tags.items() for t in ts], "source_id string, tag string")
-        ix.replace_sources(self.store, sources, made, tag_rows, made_prefixes)
+        ix.replace_sources(self.store, sources, made, tag_rows, made_prefixes, self.config.indexing.index_text)
         if embed and self.provider is not None:
             say("embedding", ix.backfill(self.store, self.config.index_id, self.provider, None, self.config.indexing.index_text), None)
         out = self.store.read("sources").join(sources.select("source_id"), "source_id", "left_semi").select("source_id", "pages", "chunks")

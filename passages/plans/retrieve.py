@@ -15,26 +15,15 @@ from ..sources.embedders import EmbeddingProvider, embed
 
 
 class Searcher:
-    """An index opened for retrieval; the postings and statistics of its chunks are built once and kept."""
+    """An index opened for retrieval, as it was when opened."""
 
     def __init__(self, store: IndexStore, index_id: str = "default", provider: EmbeddingProvider | None = None, index_text: str = "augmented", compat: bool = False) -> None:
         self.store, self.index_id, self.provider, self.compat = store, index_id, provider, compat
         self.chunks = store.read("chunks")
         self.index_text = index_text
-        self._terms = F.concat(X.tokens(augmented(self.chunks, index_text)), X.tokens(F.col("source_id")), X.tokens(F.coalesce("section_title", F.lit(""))))
-        self._posts: DataFrame | None = None
-
-    @property
-    def posts(self) -> DataFrame:
-        if self._posts is None:
-            self._posts = rank.postings(self.chunks, "chunk_id", self._terms).persist()
-            self._stats = rank.corpus_stats(self.chunks, "chunk_id", self._terms).persist()
-        return self._posts
-
-    @property
-    def stats(self) -> DataFrame:
-        self.posts  # noqa: B018
-        return self._stats
+        # Postings and lengths are tables of the index; only the one row of statistics is computed here.
+        self.posts = store.read("postings").drop("source_id")
+        self.stats = store.read("lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
     def terms(self, queries: DataFrame) -> DataFrame:
         """(query_id, term): index terms of each question; a question without words has none and finds nothing."""
