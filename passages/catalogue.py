@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .functions import grounding as G
 from .functions import text as X
+from .functions.once import once
 from .functions.vector import cosine
 from .operators import chunking, match, rank, rerank, windows
 from .plans import evaluate
@@ -488,7 +489,7 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks of 720 characters at most where units allow, 72 of them shared."""
     docs = _documents(spark, sf_dir)
     joiner = F.when(X.tableish(F.col("text")), "\n").otherwise(" ")
-    packed = docs.select("doc_id", F.posexplode(chunking.pack(X.units(F.col("text")), joiner, ChunkingConfig(200, 20))).alias("ordinal", "c"))
+    packed = docs.select("doc_id", once(chunking.pack(X.units(F.col("text")), joiner, ChunkingConfig(200, 20)).alias("texts"))).select("doc_id", F.posexplode("texts").alias("ordinal", "c"))
     return packed.select("doc_id", "ordinal", F.sha2("c", 256).alias("digest"))
 
 

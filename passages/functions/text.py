@@ -51,13 +51,13 @@ def _ascii(text: Column) -> Column:
 
 
 def compose(text: Column) -> Column:
-    """NFKC; ASCII texts, which it does not change, get no trip to Python results."""
-    return F.when(_ascii(text), text).otherwise(_nfkc(text))
+    """NFKC. ASCII texts, which it does not change, are sent to Python as nulls: a condition alone would not hold them back."""
+    return F.coalesce(_nfkc(F.when(~_ascii(text), text)), text)
 
 
 def fold(text: Column) -> Column:
     """Lower case, accents removed."""
-    return F.when(_ascii(text), F.lower(text)).otherwise(_fold(text))
+    return F.coalesce(_fold(F.when(~_ascii(text), text)), F.lower(text))
 
 
 def newlines(text: Column) -> Column:

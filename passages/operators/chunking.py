@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.once import once
 from ..schema import ChunkingConfig
 
 #: Identifiers whose pages are table rows: they have no running lines.
@@ -73,7 +74,7 @@ def sections(pages: DataFrame) -> DataFrame:
     folded = F.aggregate(F.split("text", "\n"), start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
     # Pages without a heading mark, which are most, are one part and are not folded.
     parts = F.when(F.col("text").rlike(r"(?m)^[\s\p{Z}]*#{1,6} "), folded).otherwise(whole)
-    rows = pages.select("source_id", "name", "page", F.explode(parts).alias("p"))
+    rows = pages.select("source_id", "name", "page", once(parts.alias("parts"))).select("source_id", "name", "page", F.explode("parts").alias("p"))
     title = F.when(F.size("p.path") > 0, F.array_join(F.transform("p.path", lambda h: h["title"]), " > "))
     parent = F.when(F.col("p.n") > 0, F.concat(F.col("source_id"), F.lit(":p"), F.col("page").cast("string"), F.lit(":s"), F.col("p.n").cast("string")))
     body = X.trim(F.array_join("p.lines", "\n"))
@@ -107,7 +108,8 @@ def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataF
     """
     rows = sections(pages)
     joiner = F.when(X.tableish(F.col("body")), "\n").otherwise(" ")
-    packed = rows.withColumn("texts", pack(X.units(F.col("body")), joiner, config)).drop("body")
+    texts = once(pack(X.units(F.col("body")), joiner, config).alias("texts"))
+    packed = rows.select("source_id", "name", "page", "section", "title", "parent_id", texts)
     before = Window.partitionBy("source_id").orderBy("page", "section").rowsBetween(Window.unboundedPreceding, -1)
     numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)))
     flat = numbered.select("source_id", "name", "page", "title", "parent_id", "first", F.posexplode("texts").alias("i", "content"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.once import once
 from ..schema import CHUNKS, INDEXES, LENGTHS, POSTINGS, PREFIXES, SOURCES, TAGS, VECTORS, EmbeddingModel, EngineError, RetrievalFilter
 from ..sources.embedders import EmbeddingProvider, embed
 
@@ -96,7 +97,7 @@ def replace_sources(store: IndexStore, sources: DataFrame, chunk_rows: DataFrame
         "chunks": store.read("chunks").join(ids, "source_id", "left_anti").unionByName(placed.select(*CHUNKS.names)),
         "vectors": store.read("vectors").join(ids, "source_id", "left_anti"),
     }
-    listed_terms = placed.select("chunk_id", "source_id", index_terms(index_text).alias("terms")).withColumn("dl", F.size("terms"))
+    listed_terms = placed.select("chunk_id", "source_id", once(index_terms(index_text).alias("terms"))).withColumn("dl", F.size("terms"))
     posts = listed_terms.select("chunk_id", "source_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "source_id", "dl").agg(F.count("*").cast("int").alias("tf"))
     for name, rows in (("postings", posts), ("lengths", listed_terms.drop("terms"))):
         tables[name] = store.read(name).join(ids, "source_id", "left_anti").unionByName(rows.select(*TABLES[name].names))

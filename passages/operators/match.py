@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..schema import EngineError
 from .rank import bm25_term, idf
 
@@ -261,11 +262,6 @@ def _phrases(node) -> list[Phrase]:
     return [x for p in (node.phrases if isinstance(node, Near) else node.parts) for x in _phrases(p)]
 
 
-def once(*columns: Column) -> Column:
-    """Columns that are computed once per row: filters on them are not pushed below, which would compute them again."""
-    return F.inline(F.array(F.struct(*columns)))
-
-
 def scored_phrases(node) -> list[Phrase]:
     """Phrases that count for the score: all but those right of NOT."""
     if isinstance(node, Phrase):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import once
+
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Ties are decided on scores rounded so far, as sums differ in their last digits between plans.
@@ -21,13 +23,13 @@ def postings(rows: DataFrame, key: str, terms: Column) -> DataFrame:
 
     Counting happens inside the row, so building the table needs no shuffle.
     """
-    listed = rows.select(key, terms.alias("terms")).withColumn("dl", F.size("terms"))
+    listed = rows.select(key, once(terms.alias("terms"))).withColumn("dl", F.size("terms"))
     return listed.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").cast("int").alias("tf"))
 
 
 def positions(rows: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf, dl, positions) with the places of each term in the row."""
-    listed = rows.select(key, terms.alias("terms")).withColumn("dl", F.size("terms"))
+    listed = rows.select(key, once(terms.alias("terms"))).withColumn("dl", F.size("terms"))
     placed = listed.select(key, "dl", F.posexplode("terms").alias("at", "term"))
     return placed.groupBy(key, "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 

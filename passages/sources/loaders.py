@@ -64,7 +64,7 @@ def decode_entities(text: Column) -> Column:
     """The named entities in their order, then numeric ones (in Python, only for texts that have any)."""
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&#")), _numeric(text)).otherwise(text)
+    return F.coalesce(_numeric(F.when(F.contains(text, F.lit("&#")), text)), text)
 
 
 def yaml_lines(text: Column) -> Column:
