@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from .common import with_text
 
-#: Words kept by a worker: about 100 MB.
-KEPT_WORDS = 300_000
+#: Words kept by a worker: about 50 MB.
+KEPT_WORDS = 150_000
 
 _SPACE = regex.compile(r"\p{White_Space}+")
 
@@ -54,6 +54,7 @@ class Codec:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.number = {i: str(i) for i in self.token}
         self.size = max(self.token) + 1
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(split)
@@ -92,8 +93,8 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each distinct word, by the pair occurrence index."""
+    def merge(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Token ids of distinct words, by the pair occurrence index, and the bounds of each word's ids."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         data = np.frombuffer(b"".join(raw), np.uint8)
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -163,7 +164,7 @@ class Codec:
             add(np.unique(np.concatenate([before[before >= 0], at[has]])))
         left = sym >= 0
         ids, owner = sym[left], word[left]
-        return np.split(ids, np.searchsorted(owner, np.arange(1, len(raw)))) if len(raw) else []
+        return ids.tolist(), np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
@@ -172,9 +173,10 @@ class Codec:
             new = list(words)
         for a in range(0, len(new), 200_000):
             part = new[a : a + 200_000]
-            for w, ids in zip(part, self.merge(part)):
-                ids = ids.tolist()
-                self.words[w] = (" ".join(map(str, ids)), len(ids), " ".join([self.token[i] for i in ids]))
+            ids, bounds = self.merge(part)
+            for w, i, j in zip(part, bounds, bounds[1:]):
+                own = ids[i:j]
+                self.words[w] = (" ".join([self.number[x] for x in own]), j - i, " ".join([self.token[x] for x in own]))
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order; special tokens as (themselves,)."""
@@ -211,6 +213,17 @@ class Codec:
             row = end
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """The worker's codec of a file: read once, and with the words of earlier tasks."""
+    if path not in _codecs:
+        _codecs.clear()
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def tokens(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False, text: str = "text") -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
     schema = docs.select(*keep).schema
@@ -218,12 +231,12 @@ def tokens(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False,
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more])
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             n, ids, decoded, raw = [], [], [], []
             texts = batch.column(place).fill_null("")
-            for a in range(0, len(texts), 256):  # few of the batch's texts are Python strings at a time
-                for count, joined, back in codec.encode_decode(texts.slice(a, 256).to_pylist()):
+            for a in range(0, len(texts), 768):  # few of the batch's texts are Python strings at a time
+                for count, joined, back in codec.encode_decode(texts.slice(a, 768).to_pylist()):
                     n.append(count)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())

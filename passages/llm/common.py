@@ -42,8 +42,20 @@ def forget(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Rows of an Arrow batch: with texts of some kilobytes about 10 MB, in the JVM and in a worker.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Make Arrow batches small enough for rows that hold whole texts, unless the session sets their size itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
     """The kept columns and the text, which is sent only once, and the text's place among them."""
+    bounded_batches(docs.sparkSession)
     if text in keep:
         return docs.select(*keep), keep.index(text)
     return docs.select(*keep, F.col(text).alias("__text")), len(keep)

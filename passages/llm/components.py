@@ -53,3 +53,19 @@ def components(edges: DataFrame) -> DataFrame:
         if now.isEmpty():
             forget(now)
             return labels
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, root) after more edges between nodes, labelled or not; labels themselves if there are none."""
+    if edges.isEmpty():
+        return labels
+    a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = components(between)
+    step = more.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    old = labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    fresh = more.join(labels.select("node"), "node", "left_anti")
+    out = written(old.unionByName(fresh), "labels")
+    forget(labels, more)
+    return out

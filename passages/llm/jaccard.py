@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import forget, written
-from .components import components
+from .common import bounded_batches, forget, written
+from .components import components, joined
 
 WIDTH = 5
 #: Ratio of a band's largest to its smallest size.
@@ -54,7 +54,7 @@ SPARE = 1.1
 #: Groups of at most so many sets give all their pairs.
 SMALL_GROUP = 8
 #: Entries that a task gathers before it sends them, and entries of a bucket.
-FLUSH, BUCKET_ENTRIES = 1_500_000, 1_000_000
+FLUSH, BUCKET_ENTRIES = 600_000, 400_000
 #: Keys of candidate documents that may be broadcast (16 bytes each); above, texts are shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -343,6 +343,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
                 keys += fingerprint(rows).view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "ident", "hash", "n_shingles", "key"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return written(docs.select("doc_id", _ident().alias("ident"), F.xxhash64("text").alias("hash"), "text").mapInArrow(measure, f"doc_id {kind}, ident long, hash long, n_shingles long, key long"), "members")
 
@@ -397,38 +398,33 @@ def _across(group: pa.Table, forest: bool) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate([none, *left])), "b": pa.array(np.concatenate([none, *right]))})
 
 
-def links(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b): enough links between keys of different sets to give all components; written."""
+def key_roots(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, root): components of the keys of sets that are linked with another set; written."""
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(128, int(total * 0.5 / BUCKET_ENTRIES))
     found = written(_candidates(docs, buckets, width), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     keys = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = _candidate_sets(docs, members, keys, width)
-    first = written(_verified(pairs, sets), "links")
-    extra = []
+    edges = written(_verified(pairs, sets), "links")
+    roots = components(edges)
+    forget(edges)
     large = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("key")).distinct()
-    if not large.isEmpty():
-        # What joins the components first; then all that is left between those that are still apart.
-        extra.append(_between(large, first, sets, True))
-        extra.append(_between(large, first.unionByName(extra[0]), sets, False))
+    for forest in (True, False):  # what joins the components first; then all that is left between those still apart
+        if large.isEmpty():
+            break
+        edges = _between(large, roots, sets, forest)
+        roots = joined(roots, edges)
+        forget(edges)
     alone = found.where("kind = 2").select(F.col("a").alias("key")).distinct()
     if not alone.isEmpty():
-        extra.append(_against_all(docs, alone, width))
-    if extra:
-        every = first
-        for more in extra:
-            every = every.unionByName(more)
-        out = written(every, "links")
-        forget(first, found, sets, *extra)
-        return out
+        roots = joined(roots, _against_all(docs, alone, width))
     forget(found, sets)
-    return first
+    return roots
 
 
-def _between(large: DataFrame, known: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+def _between(large: DataFrame, roots: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """Links between the components that large groups still hold; written."""
-    roots = components(known)
     labelled = written(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
     mixed = labelled.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
     rows = written(labelled.join(mixed, "g", "left_semi"), "mixed")
@@ -442,7 +438,7 @@ def _between(large: DataFrame, known: DataFrame, sets: DataFrame, forest: bool)
     crossing = rows.join(sketches, "key").select("g", "key", "root", "n", "sketch").groupBy("g").applyInArrow(lambda group: _across(group, forest), "a long, b long")
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out = written(_verified(pairs, sets), "links")
-    forget(roots, labelled, rows)
+    forget(labelled, rows)
     return out
 
 
@@ -478,9 +474,7 @@ def _against_all(docs: DataFrame, alone: DataFrame, width: int, block: int = 100
 def _rooted(docs: DataFrame, width: int) -> DataFrame:
     """The members of docs with the root of their component."""
     members = _members(docs, width)
-    edges = links(docs, members, width)
-    roots = components(edges)
-    forget(edges)
+    roots = key_roots(docs, members, width)
     return members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 

@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import with_text
+from .common import bounded_batches, with_text
 
-SAMPLE_ROWS = 2048
+SAMPLE_ROWS = 1024
 MAX_LANGUAGES = 64
-BINS = 4096
+BINS = 2048
 #: A row is ambiguous if the best probability is below this.
 AMBIGUOUS = 0.6
 
@@ -48,7 +48,7 @@ def trigram_bins(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     key = folded << np.uint32(16)
     key[:-1] |= folded[1:] << np.uint32(8)
     key[:-2] |= folded[2:]
-    bins = ((key * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+    bins = ((key * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)
     for back in (1, 2):
         at = offs[1:] - back
         bins[at[(at >= 0) & (at < n)]] = BINS
@@ -108,6 +108,7 @@ def has_letter(text: Column) -> Column:
 
 def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on a bounded sample of the rows where ``train`` holds and lang is known."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.where(train & F.col("lang").isNotNull() & has_letter(F.col("text")))
     counts = [(r[0], r[1]) for r in docs.where(train & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     if not counts:
@@ -132,23 +133,31 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model
     if not got.num_rows:
         return None
     order = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist()))
-    languages = sorted({lang for lang, _ in order})
-    x = np.stack([np.frombuffer(b, np.float32) for _, b in order]).astype(np.float64)
-    y = np.array([languages.index(lang) for lang, _ in order])
-    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    x *= scale
+    del got
+    labels, x = [lang for lang, _ in order], np.frombuffer(b"".join([b for _, b in order]), np.float32).reshape(len(order), BINS).copy()
+    del order
+    languages = sorted(set(labels))
+    y = np.array([languages.index(lang) for lang in labels])
+    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5)
+    x *= scale.astype(np.float32)
     code = codewords(len(languages))
     share = np.bincount(y, minlength=len(languages)) / len(y)
     target = code[y].astype(np.float64)
     weight = (1 / (share * len(languages)))[y]  # languages count alike
-    mean_x, mean_t = np.average(x, 0, weight), np.average(target, 0, weight)
+    mean_x, mean_t = (weight / weight.sum()) @ x, np.average(target, 0, weight)
     root = np.sqrt(weight)[:, None]
-    a, b = (x - mean_x) * root, (target - mean_t) * root
-    gram = a @ a.T
-    dual = np.linalg.solve(gram + np.eye(len(a)) * (0.02 * np.trace(gram) / len(a) + 1e-9), b)
-    w = a.T @ dual
+    x -= mean_x.astype(np.float32)
+    x *= root.astype(np.float32)
+    gram = (x @ x.T).astype(np.float64)
+    gram[np.diag_indices(len(gram))] += 0.02 * np.trace(gram) / len(gram) + 1e-9
+    fitted = gram.copy()
+    dual = np.linalg.solve(gram, (target - mean_t) * root)
+    fitted[np.diag_indices(len(gram))] -= 0.02 / 1.02 * np.trace(fitted) / len(gram)
+    w = x.T @ dual.astype(np.float32)
     bias = mean_t - mean_x @ w
-    agree = np.clip(1 - 2 * np.average(np.sign(x @ w + bias) != target, 0, weight), 0.05, 1)
+    agree = np.clip(1 - 2 * np.average(np.sign(fitted @ dual / root + mean_t) != target, 0, weight), 0.05, 1)
+    del x, gram, fitted
+    pa.default_memory_pool().release_unused()
     weights = np.zeros((BINS + 1, code.shape[1]), np.float32)
     weights[:BINS] = w * scale[:, None]
     return Model(languages, code, weights, bias, agree * code.shape[1] / agree.sum())

@@ -7,8 +7,8 @@ least twice go on, so unique lines leave at once. The earliest position of each
 name is the leftmost suffix of its interval.
 
 For each position whose longest doubled run has an earlier copy, the longest
-common prefix with that copy follows by descending the levels. These maximal
-runs are deleted from the later document if they hold ``MIN_WORDS`` words or
+common prefix with that copy is at least that run and less than twice as long, and
+is found by comparing the two suffixes so far. These maximal runs are deleted from the later document if they hold ``MIN_WORDS`` words or
 more; earliest means the least (doc_id, text hash, line), so the first copy
 always stays, and a run may repeat inside one document.
 
@@ -57,43 +57,32 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(d, t, i, n): maximal runs of n non-blank lines from line i that have an earlier copy; written."""
     kept = F.filter(_lines(F.col("text")), lambda x: x != "")
-    lines = docs.where(F.col("text").isNotNull()).select(*_key(docs), F.posexplode(F.transform(kept, lambda x: F.xxhash64(x))).alias("i", "name"))
-    lines = written(lines, "lines")
+    whole = written(docs.where(F.col("text").isNotNull()).select(*_key(docs), F.transform(kept, lambda x: F.xxhash64(x)).alias("names")), "lines")
     made: list[DataFrame] = []
-    levels = [written(_repeated(lines, made).dropDuplicates(POSITION), "lines")]
-    while True:
+    first = whole.select("d", "t", F.posexplode("names").alias("i", "name"))
+    levels = [written(_repeated(first, made).dropDuplicates(POSITION), "lines")]
+    while not levels[-1].isEmpty():
         step, now = 1 << (len(levels) - 1), levels[-1]
         pair = now.select(*POSITION, "name").join(now.select("d", "t", (F.col("i") - step).alias("i"), F.col("name").alias("then")), POSITION)
-        following = written(_repeated(pair.select(*POSITION, F.xxhash64("name", "then").alias("name")), made), "lines")
-        levels.append(following)
-        if following.isEmpty():
-            break
-    later = F.struct("fd", "ft", "fi") < F.struct(*POSITION)
-    # A position's highest level with an earlier copy: what its level has, unless the next has it too.
-    best = None
-    for k, now in enumerate(levels[:-1]):
-        here = now.where(later)
-        above = levels[k + 1].where(later).select(*POSITION)
-        top = here.join(above, POSITION, "left_anti").select(*POSITION, "fd", "ft", "fi", F.lit(k).alias("k"), F.lit(1 << k).alias("n"))
-        best = top if best is None else best.unionByName(top)
-    if best is None:
-        best = levels[0].where(F.lit(False)).select(*POSITION, "fd", "ft", "fi", F.lit(0).alias("k"), F.lit(1).alias("n"))
-    best = written(best, "lines")
+        levels.append(written(_repeated(pair.select(*POSITION, F.xxhash64("name", "then").alias("name")), made), "lines"))
+    # A position's highest level with an earlier copy, and the earliest copy at that level.
+    every = None
+    for k, now in enumerate(levels):
+        later = now.where(F.struct("fd", "ft", "fi") < F.struct(*POSITION)).select(*POSITION, F.struct(F.lit(k).alias("k"), "fd", "ft", "fi").alias("copy"))
+        every = later if every is None else every.unionByName(later)
+    best = written(every.groupBy(*POSITION).agg(F.max_by("copy", "copy.k").alias("c")).select(*POSITION, "c.k", "c.fd", "c.ft", "c.fi"), "lines")
     # A run that the position before has too, with the copy one before, is part of that one.
     before = best.select("d", "t", (F.col("i") + 1).alias("i"), "fd", "ft", (F.col("fi") + 1).alias("fi"))
     heads = best.join(before, [*POSITION, "fd", "ft", "fi"], "left_anti")
-    for k in range(len(levels) - 3, -1, -1):  # extend by 2**k lines where both copies go on alike
-        names = levels[k].select(*POSITION, "name")
-        mine = names.select("d", "t", F.col("i").alias("__at"), F.col("name").alias("mine"))
-        other = names.select(F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("i").alias("__fat"), F.col("name").alias("other"))
-        open_ = heads.where(F.col("k") > k).withColumn("__at", F.col("i") + F.col("n")).withColumn("__fat", F.col("fi") + F.col("n"))
-        met = open_.join(mine, ["d", "t", "__at"], "left").join(other, ["fd", "ft", "__fat"], "left")
-        longer = met.withColumn("n", F.when(F.col("mine") == F.col("other"), F.col("n") + (1 << k)).otherwise(F.col("n")))
-        heads = longer.select(heads.columns).unionByName(heads.where(F.col("k") <= k))
-        if k % 3 == 0 and k:
-            heads = written(heads, "lines-heads")
-    out = written(heads.groupBy("d", "t").agg(F.collect_set(F.struct("i", "n")).alias("runs")), "line-runs")
-    forget(lines, best, *levels, *made)
+    # The longest common prefix of the two suffixes is below twice the level's length, so no more of them is compared.
+    ahead = F.expr("shiftleft(2, k)")
+    mine = heads.join(whole, ["d", "t"]).select(*POSITION, "fd", "ft", "fi", "k", F.slice("names", F.col("i") + 1, ahead).alias("mine"))
+    copies = whole.select(F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("names").alias("theirs"))
+    both = mine.join(copies, ["fd", "ft"]).withColumn("theirs", F.slice("theirs", F.col("fi") + 1, ahead))
+    same = F.zip_with("mine", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    n = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size("mine")).cast("int")
+    out = written(both.select(*POSITION, n.alias("n")).groupBy("d", "t").agg(F.collect_set(F.struct("i", "n")).alias("runs")), "line-runs")
+    forget(whole, best, *levels, *made)
     return out
 
 
@@ -118,5 +107,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.withColumn("__raw", F.array_sort(F.transform(F.when(F.size("__gone") > 0, F.col("__gone")), lambda g: F.get("__numbers", g))))
     rest = F.filter(F.split(text, "\n", -1), lambda x, r: ~F.array_contains("__raw", r))
     deduped = F.when(F.col("__raw").isNotNull(), F.array_join(rest, "\n")).otherwise(text)
-    out = [deduped.alias(c) if c == "text" else F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return rows.select(*out, F.when(text.isNull(), 0).otherwise(F.col("__n")).cast("long").alias("n_lines"), F.when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_deleted"))
+    # One generated struct: a filter on the counts then does not compute the lines a second time.
+    n_deleted = F.when(some, F.size("__gone")).otherwise(0).cast("long")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.col("__n")).cast("long")
+    made = F.inline(F.array(F.struct(deduped.alias("__text"), n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))))
+    rows = rows.select(*[f"__c{i}" for i, c in enumerate(docs.columns) if c != "text"], made)
+    out = [F.col("__text").alias(c) if c == "text" else F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return rows.select(*out, "n_lines", "n_deleted")
