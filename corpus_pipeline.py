@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents, further columns included. Rows:
 
-* language ID drops a document without a letter, or whose best language has a
-  probability below ``LEAST_SCORE`` (no language is near);
+* language ID drops a document that it labels ``und``, which is one without a letter;
+  short or mixed texts, whose best language is uncertain, stay;
 * line dedup deletes later copies of repeated line runs from texts, sets n_chars
   anew, and drops documents of which nothing but white space is left by that;
 * the n-gram Jaccard join keeps the document with the least doc_id of each
@@ -31,7 +31,6 @@ from passages.llm.jaccard import one_of_each
 from passages.llm.language import fit, predict
 from passages.llm.lines import dedup_lines
 
-LEAST_SCORE = 0.3
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -48,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         labelled = predict(rows, model, rows.columns)
         if model is None:  # nothing to learn from: only texts without letters can be told
             return rows.where(F.col("text").rlike(r"\p{L}"))
-        return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+        return labelled.where("lang_pred <> 'und'")
 
     return _carried(docs, op)
 
