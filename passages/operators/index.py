@@ -181,6 +181,19 @@ def backfill(store: IndexStore, index_id: str, provider: EmbeddingProvider | Non
     return n
 
 
+def put_vectors(store: IndexStore, index_id: str, model: EmbeddingModel, rows: DataFrame) -> None:
+    """Insert or replace vectors of chunks, from (chunk_id, source_id, vec); 530 if a dimension or the model differs."""
+    known = check_model(store, index_id, model)
+    size = rows.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+    if size.a is not None and (size.a, size.b) != (model.dimension, model.dimension):
+        raise EngineError(530, f"vectors of {size.a} to {size.b} components for a model of {model.dimension}")
+    fresh = rows.select("chunk_id", "source_id", F.lit(index_id).alias("index_id"), F.size("vec").alias("dim"), "vec")
+    tables = {"vectors": store.read("vectors").join(fresh.select("chunk_id", "index_id"), ["chunk_id", "index_id"], "left_anti").unionByName(fresh)}
+    if not known:
+        tables["indexes"] = store.read("indexes").unionByName(store.spark.createDataFrame([(index_id, model.model_id, model.dimension)], INDEXES))
+    store.commit(tables)
+
+
 def filtered(rows: DataFrame, store: IndexStore, where: RetrievalFilter | None, source: str | None = None, hierarchical: bool = False) -> DataFrame:
     """Rows with source_id and page that pass the filter; empty sets filter nothing, null pages fail a range."""
     if source is not None:

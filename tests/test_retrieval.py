@@ -163,6 +163,23 @@ def test_upkeep_and_errors(spark):
     assert e.chunks("b").count() == 1
 
 
+def test_put_vectors(spark):
+    from passages.operators.index import put_vectors
+    from passages.schema import EmbeddingModel
+
+    e = Engine(spark)
+    e.ingest_text("alpha", "a")
+    chunk = e.chunks("a").first().chunk_id
+    rows = lambda v: spark.createDataFrame([(chunk, "a", v)], "chunk_id string, source_id string, vec array<float>")
+    put_vectors(e.store, "i", EmbeddingModel("m", 2), rows([1.0, 2.0]))
+    put_vectors(e.store, "i", EmbeddingModel("m", 2), rows([3.0, 4.0]))
+    assert [list(r.vec) for r in e.store.read("vectors").collect()] == [[3.0, 4.0]]
+    for model, v in ((EmbeddingModel("m", 2), [1.0]), (EmbeddingModel("n", 2), [1.0, 2.0])):
+        with pytest.raises(EngineError) as err:
+            put_vectors(e.store, "i", model, rows(v))
+        assert err.value.code == 530
+
+
 def test_prefix_terms_stay_in_the_index(spark):
     e = Engine(spark)
     e.ingest_text("alpha", "first")
