@@ -10,8 +10,8 @@ spans that they cover are merged.
 
 Test phrases reach the workers by broadcast, in blocks of at most
 ``BLOCK_WORDS`` words, so its size is bounded whatever the benchmark holds:
-with more than one block, each block is one pass over the shards, and spans are
-merged by document afterwards.
+with more than one block, the rows are written once, each with a number of its
+own, each block is one pass over them, and spans are merged by that number.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words is no phrase; repeated documents or items count each for itself; a null
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import with_text
+from .common import with_text, written
 
 WINDOW = 13
 #: Words of test phrases in one broadcast: about 64 MB on a worker.
@@ -216,14 +216,15 @@ def _spans(words: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(starts, ends)]
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list, list]]:
-    """Items in blocks of bounded size; the whole benchmark is never on the driver at once.
+def _block_count(benchmark: DataFrame, block_words: int) -> int:
+    """An item's share of a block is its bytes: a word has at least two with its separator."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // (2 * block_words)))
 
-    An item's share of a block is its bytes: a word has at least two with its separator.
-    """
+
+def _blocks(benchmark: DataFrame, blocks: int) -> Iterator[tuple[list, list]]:
+    """Items in blocks of bounded size; the whole benchmark is never on the driver at once."""
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_words)))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
         got = part.toArrow()
@@ -231,37 +232,48 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list, list
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs with n_words, spans (merged word spans) and items of each document.
+    """Columns ``keep`` of docs with n_words, spans (merged word spans) and items of each row.
 
     With one block of items this is one pass without a shuffle.
     """
     spark = docs.sparkSession
+    blocks = _block_count(benchmark, block_words)
     rows, place = with_text(docs, keep, text)
-    schema = docs.select(*keep).schema
+    sent_back = keep
+    if blocks > 1:
+        # Neither doc_id nor all columns tell rows apart, and a number is stable only once it is written.
+        number = "__row"
+        while number in rows.columns:
+            number += "_"
+        numbered = written(rows.withColumn(number, F.monotonically_increasing_id()), "numbered")
+        rows, place, sent_back = numbered.select(number, F.col(rows.columns[place]).alias(f"{number}text")), 1, [number]
+    schema = rows.select(*sent_back).schema
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"])
     passes = []
-    for ids, texts in _blocks(benchmark, block_words):
+    for b, (ids, texts) in enumerate(_blocks(benchmark, blocks)):
         sent = spark.sparkContext.broadcast(Phrases(ids, texts, window))
 
-        def shard(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def shard(batches: Iterable[pa.RecordBatch], sent=sent, every=b == 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 counts, hits, items = find(batch.column(place), sent.value)
                 span = pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])
-                columns = [batch.column(i) for i in range(len(keep))]
+                columns = [batch.column(i) for i in range(len(sent_back))]
                 columns += [pa.array(counts, pa.int64()), pa.array([_spans(h) for h in hits], pa.list_(span)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "spans", "items"])
+                out = pa.RecordBatch.from_arrays(columns, names=[*sent_back, "n_words", "spans", "items"])
+                # The first pass has every row; of the others only rows with a hit say more.
+                yield out if every else out.take(pa.array([i for i, h in enumerate(hits) if len(h)], pa.int64()))
 
         passes.append(rows.mapInArrow(shard, out_schema))
     if len(passes) == 1:
         return passes[0]
-    # More blocks: the passes' spans of a document meet by its key; what meets is its spans, not its text.
+    # What meets is a row's spans, not its text.
     every = passes[0]
     for more in passes[1:]:
         every = every.unionByName(more)
-    met = every.groupBy(*keep).agg(
+    met = every.groupBy(number).agg(
         F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_set("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     joined = F.expr(
         "aggregate(array_sort(spans), cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> "
@@ -269,7 +281,9 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
         "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), "
         "concat(a, array(x))))"
     )
-    return met.withColumn("spans", joined)
+    met = met.select(F.col(number), F.col("n_words").alias(f"{number}n"), joined.alias(f"{number}spans"), F.col("items").alias(f"{number}items"))
+    back = numbered.select(*keep, number).join(met, number)
+    return back.select(*keep, F.col(f"{number}n").alias("n_words"), F.col(f"{number}spans").alias("spans"), F.col(f"{number}items").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, text: str = "text") -> DataFrame:

@@ -70,3 +70,21 @@ def test_equals_brute_force(spark):
     assert merged == {w[0]: w[2] for w in want}
     assert all(r.n_hit == 0 and not r.contaminated for r in decontaminate(df, bench.limit(0), ["doc_id"]).collect())
     assert decontaminate(df.limit(0), bench, ["doc_id"]).count() == 0
+
+
+def test_blocks_keep_rows_apart(spark):
+    from passages.llm.decontaminate import contaminated_spans
+
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(15))) for i in range(12)]
+    docs = [(None, f"a {items[0][1]} b"), (None, f"{items[1][1]} and {items[2][1]}"), (None, "clean"), (None, None)]
+    docs += [(7, f"{items[3][1]} x"), (7, f"x y {items[4][1]}"), (7, "clean too"), (8, items[5][1]), (8, items[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def rows(found):
+        return sorted((str(r.doc_id), r.n_words, tuple(map(tuple, r.spans)), tuple(r.items)) for r in found.collect())
+
+    one = rows(contaminated_spans(df, bench, ["doc_id"]))
+    assert len(one) == len(docs) and rows(contaminated_spans(df, bench, ["doc_id"], block_words=80)) == one
+    whole = contaminated_spans(df, bench, ["doc_id", "text"], block_words=80)
+    assert whole.columns == ["doc_id", "text", "n_words", "spans", "items"] and rows(whole) == one
