@@ -8,12 +8,13 @@ close, the row is flagged as ambiguous.
 
 The classifiers are fitted on a sample of about ``SAMPLE_ROWS`` labelled rows
 (``SAMPLE_ROWS / languages`` of each language, at least 32, chosen by a hash of
-the id); prediction reads the whole of every text, in one pass without a shuffle.
+the id, and at least one row of every language that has a text with a letter);
+the driver holds about 256 KB for each language above 32. Prediction reads the
+whole of every text, in one pass without a shuffle.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 so is every text if there are no labelled rows; labels that are null do not
-take part; of more than ``MAX_LANGUAGES`` labels the most frequent are learned;
-repeated rows get the same prediction each.
+take part; repeated rows get the same prediction each.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
 from .common import bounded_batches, with_text
 
 SAMPLE_ROWS = 1024
-MAX_LANGUAGES = 64
 BINS = 2048
 #: A row is ambiguous if the best probability is below this.
 AMBIGUOUS = 0.6
@@ -83,7 +83,8 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the nearest codeword, its probability) per row."""
-        loss = np.exp(-np.clip(margins[:, None, :] * self.code[None], -4, 4)) @ self.trust
+        m, plus = np.clip(margins, -4, 4), (self.code > 0).T.astype(np.float64)
+        loss = (np.exp(-m) * self.trust) @ plus + (np.exp(m) * self.trust) @ (1 - plus)
         p = np.exp(-(loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -109,15 +110,16 @@ def has_letter(text: Column) -> Column:
 def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on a bounded sample of the rows where ``train`` holds and lang is known."""
     bounded_batches(docs.sparkSession)
-    labelled = docs.where(train & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = [(r[0], r[1]) for r in docs.where(train & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    labelled = docs.where(train & F.col("lang").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)).alias("at"))
+    letters = has_letter(F.col("text"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(letters, F.col("at"))).alias("least")).where("least IS NOT NULL").orderBy("lang").collect()
     if not counts:
         return None
     each = max(32, sample_rows // len(counts))
-    chosen = F.lit(False)
-    for lang, n in counts:
-        rate = min(1.0, each / n)
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1))
+    # A language's first row is below its bound too, so that every language is learned.
+    below = [max(int(min(1.0, each / r.n) * (1 << 20)) + 1, r.least + 1) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in counts], pa.string()), "below": pa.array(below, pa.int64())}))
+    chosen = labelled.join(F.broadcast(bounds), "lang").where((F.col("at") < F.col("below")) & letters)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +130,10 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model
                     rows.append((np.bincount(bins[a:b], minlength=BINS + 1)[:BINS] / max(1, b - a)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    # Equal to 2 * sample_rows at most, whatever the hash does; ordered so that the model does not depend on tasks.
-    got = labelled.where(chosen).select("lang", "text").mapInArrow(features, "lang string, x binary").limit(4 * max(sample_rows, 32 * len(counts))).toArrow()
+    # At most 4 * each rows a language, whatever the hash does; ordered so that the model does not depend on tasks.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("text")))
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= 4 * each)
+    got = chosen.select("lang", "text").mapInArrow(features, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     order = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist()))
@@ -137,7 +141,8 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model
     labels, x = [lang for lang, _ in order], np.frombuffer(b"".join([b for _, b in order]), np.float32).reshape(len(order), BINS).copy()
     del order
     languages = sorted(set(labels))
-    y = np.array([languages.index(lang) for lang in labels])
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[lang] for lang in labels])
     scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5)
     x *= scale.astype(np.float32)
     code = codewords(len(languages))
@@ -148,15 +153,18 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model
     root = np.sqrt(weight)[:, None]
     x -= mean_x.astype(np.float32)
     x *= root.astype(np.float32)
-    gram = (x @ x.T).astype(np.float64)
-    gram[np.diag_indices(len(gram))] += 0.02 * np.trace(gram) / len(gram) + 1e-9
-    fitted = gram.copy()
-    dual = np.linalg.solve(gram, (target - mean_t) * root)
-    fitted[np.diag_indices(len(gram))] -= 0.02 / 1.02 * np.trace(fitted) / len(gram)
-    w = x.T @ dual.astype(np.float32)
+    # The same ridge solution by rows or, if there are more rows than bins, by bins.
+    by_rows = len(x) <= BINS
+    gram = (x @ x.T if by_rows else x.T @ x).astype(np.float64)
+    gram[np.diag_indices(len(gram))] += 0.02 * np.trace(gram) / len(x) + 1e-9
+    goal = (target - mean_t) * root
+    if by_rows:
+        w = x.T @ np.linalg.solve(gram, goal).astype(np.float32)
+    else:
+        w = np.linalg.solve(gram, sum(x[a : a + BINS].T.astype(np.float64) @ goal[a : a + BINS] for a in range(0, len(x), BINS)))
     bias = mean_t - mean_x @ w
-    agree = np.clip(1 - 2 * np.average(np.sign(fitted @ dual / root + mean_t) != target, 0, weight), 0.05, 1)
-    del x, gram, fitted
+    agree = np.clip(1 - 2 * np.average(np.sign((x @ w) / root + mean_t) != target, 0, weight), 0.05, 1)
+    del x, gram
     pa.default_memory_pool().release_unused()
     weights = np.zeros((BINS + 1, code.shape[1]), np.float32)
     weights[:BINS] = w * scale[:, None]

@@ -45,3 +45,16 @@ def test_nothing_to_learn(spark):
     assert predict(empty, fit(empty, F.lit(True)), ["doc_id"]).count() == 0
     one = spark.createDataFrame([(i, "ka lo", "xx", None) for i in range(9)], SCHEMA)
     assert predict(one, fit(one, F.lit(True)), ["doc_id"]).first().lang_pred == "xx"
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(6)] for i in range(80)}
+    data = [(lang, " ".join(rng.choice(ws) for _ in range(20))) for i, (lang, ws) in enumerate(words.items()) for _ in range(30 if i < 60 else 8)]
+    docs = spark.createDataFrame([(i, t, lang, None) for i, (lang, t) in enumerate(data)] + [(1, "one row only qqqq", "rare", None)], SCHEMA).repartition(4)
+    model = fit(docs, F.lit(True))
+    assert model.languages == sorted([*words, "rare"])
+    got = predict(docs, model, ["doc_id", "lang"]).collect()
+    for few in (True, False):
+        assert np.mean([r.lang == r.lang_pred for r in got if (r.lang >= "l60") == few]) >= 0.95
