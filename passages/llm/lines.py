@@ -1,16 +1,15 @@
-"""Line dedup by a suffix structure over line-ID sequences, built by distributed prefix doubling.
+"""Line dedup by the windows of line-ID sequences.
 
-A document is the sequence of the hashes of its non-blank lines (trimmed). A
-position's name at level k stands for the 2**k lines that begin there; names of
-level k + 1 come from pairs of level k, and only positions whose run occurs at
-least twice go on, so unique lines leave at once. The earliest position of each
-name is the leftmost suffix of its interval.
+A document is the sequence of the hashes of its non-blank lines (trimmed). A run
+of ``MIN_WORDS`` words or more is deleted where any earlier position has a copy of
+it; earlier means a lower (doc_id, text hash, line), so the first copy always
+stays, and a run may repeat inside one document.
 
-For each position whose longest doubled run has an earlier copy, the longest
-common prefix with that copy is at least that run and less than twice as long, and
-is found by comparing the two suffixes so far. These maximal runs are deleted from the later document if they hold ``MIN_WORDS`` words or
-more; earliest means the least (doc_id, text hash, line), so the first copy
-always stays, and a run may repeat inside one document.
+A part of a run with an earlier copy has one too, and every line of a run of
+MIN_WORDS words or more is in a window of it that has MIN_WORDS words and would have
+less without its last or without its first line. So the lines to delete are those
+of such windows with an earlier copy, however far the runs of different copies
+reach. A window has at most MIN_WORDS lines, and a line begins one and ends one.
 
 All of it is DataFrame functions on rows of one position each: no document or
 group of copies is gathered in a task, except a document's own runs.
@@ -43,8 +42,12 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)))
 
 
+def _words(line: Column) -> Column:
+    return F.size(F.split(line, r"[\s\p{Z}]+"))
+
+
 def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
-    """Rows (d, t, i, name) whose name occurs at two positions or more, with the earliest (fd, ft, fi).
+    """Rows (d, t, i, n, name) whose name occurs at two positions or more, with the earliest (fd, ft, fi).
 
     The names' table is written, so that a frequent name is a skewed side that the join can split.
     """
@@ -54,41 +57,33 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     return rows.join(made[-1], "name")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(d, t, i, n): maximal runs of n non-blank lines from line i that have an earlier copy; written."""
+def _windows(least: int) -> Column:
+    """Array of (i, n, name) of the least windows of ``least`` words from each line on and up to each line, of h (hashes) and w (words)."""
+    # Lines are reached by get(), as slice() in a lambda reads the whole array each time.
+    size = "aggregate(sequence(0, {k} - 1), struct(0 AS s, 0 AS m), (a, j) -> if(a.s >= {k} OR {at} NOT BETWEEN 0 AND size(w) - 1, a, struct(a.s + get(w, {at}) AS s, a.m + 1 AS m)), a -> if(a.s >= {k}, a.m, 0))"
+    ahead, back = size.format(k=least, at="i + j"), size.format(k=least, at="i - j")
+    # A window is the number i * (least + 1) + n, as numbers are made distinct by hash.
+    code = f"transform(sequence(0, size(w) - 1), i -> (i * {least + 1}L + {ahead})), transform(transform(sequence(0, size(w) - 1), i -> struct(i AS e, {back} AS m)), x -> ((x.e - x.m + 1) * {least + 1}L + x.m))"
+    pairs = f"transform(array_distinct(concat({code})), c -> struct(CAST(c DIV {least + 1} AS INT) AS i, CAST(c % {least + 1} AS INT) AS n))"
+    named = f"transform(filter({pairs}, x -> x.n > 0), x -> struct(x.i AS i, x.n AS n, aggregate(sequence(0, x.n - 1), CAST(x.n AS BIGINT), (a, j) -> xxhash64(a, get(h, x.i + j))) AS name))"
+    return F.expr(f"if(size(w) > 0, {named}, CAST(array() AS array<struct<i:int,n:int,name:bigint>>))")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, t, runs): windows of n non-blank lines from line i that have min_words words and an earlier copy; written."""
     kept = F.filter(_lines(F.col("text")), lambda x: x != "")
-    whole = written(docs.where(F.col("text").isNotNull()).select(*_key(docs), F.transform(kept, lambda x: F.xxhash64(x)).alias("names")), "lines")
+    whole = docs.where(F.col("text").isNotNull()).select(*_key(docs), F.inline(F.array(F.struct(F.transform(kept, lambda x: F.xxhash64(x)).alias("h"), F.transform(kept, _words).alias("w")))))
+    whole = written(whole.select("d", "t", _windows(max(1, min_words)).alias("windows")), "lines")
     made: list[DataFrame] = []
-    first = whole.select("d", "t", F.posexplode("names").alias("i", "name"))
-    levels = [written(_repeated(first, made).dropDuplicates(POSITION), "lines")]
-    while not levels[-1].isEmpty():
-        step, now = 1 << (len(levels) - 1), levels[-1]
-        pair = now.select(*POSITION, "name").join(now.select("d", "t", (F.col("i") - step).alias("i"), F.col("name").alias("then")), POSITION)
-        levels.append(written(_repeated(pair.select(*POSITION, F.xxhash64("name", "then").alias("name")), made), "lines"))
-    # A position's highest level with an earlier copy, and the earliest copy at that level.
-    every = None
-    for k, now in enumerate(levels):
-        later = now.where(F.struct("fd", "ft", "fi") < F.struct(*POSITION)).select(*POSITION, F.struct(F.lit(k).alias("k"), "fd", "ft", "fi").alias("copy"))
-        every = later if every is None else every.unionByName(later)
-    best = written(every.groupBy(*POSITION).agg(F.max_by("copy", "copy.k").alias("c")).select(*POSITION, "c.k", "c.fd", "c.ft", "c.fi"), "lines")
-    # A run that the position before has too, with the copy one before, is part of that one.
-    before = best.select("d", "t", (F.col("i") + 1).alias("i"), "fd", "ft", (F.col("fi") + 1).alias("fi"))
-    heads = best.join(before, [*POSITION, "fd", "ft", "fi"], "left_anti")
-    # The longest common prefix of the two suffixes is below twice the level's length, so no more of them is compared.
-    ahead = F.expr("shiftleft(2, k)")
-    mine = heads.join(whole, ["d", "t"]).select(*POSITION, "fd", "ft", "fi", "k", F.slice("names", F.col("i") + 1, ahead).alias("mine"))
-    copies = whole.select(F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("names").alias("theirs"))
-    both = mine.join(copies, ["fd", "ft"]).withColumn("theirs", F.slice("theirs", F.col("fi") + 1, ahead))
-    same = F.zip_with("mine", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    n = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size("mine")).cast("int")
-    out = written(both.select(*POSITION, n.alias("n")).groupBy("d", "t").agg(F.collect_set(F.struct("i", "n")).alias("runs")), "line-runs")
-    forget(whole, best, *levels, *made)
+    copies = _repeated(whole.select("d", "t", F.inline("windows")), made).where(F.struct("fd", "ft", "fi") < F.struct(*POSITION))
+    out = written(copies.groupBy("d", "t").agg(F.collect_set(F.struct("i", "n")).alias("runs")), "line-runs")
+    forget(whole, *made)
     return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated line runs deleted from text, and n_lines, n_deleted."""
-    runs = repeated_runs(docs)
+    runs = repeated_runs(docs, min_words)
     d, t = _key(docs)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], d.alias("__d"), t.alias("__t"))
     text = F.col(f"__c{docs.columns.index('text')}")
@@ -96,10 +91,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.join(runs.hint("shuffle_hash"), ["__d", "__t"], "left").withColumn("__lines", _lines(text))
     some = F.col("runs").isNotNull()
     full = F.filter("__lines", lambda x: x != "")
-    words = F.transform(full, lambda x: F.size(F.split(x, r"[\s\p{Z}]+")))
-    rows = rows.withColumn("__n", F.size(full)).withColumn("__w", F.when(some, words))
-    long = F.filter("runs", lambda r: F.aggregate(F.slice("__w", r["i"] + 1, r["n"]), F.lit(0), lambda a, x: a + x) >= min_words)
-    gone = F.array_distinct(F.flatten(F.transform(long, lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1))))
+    rows = rows.withColumn("__n", F.size(full))
+    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1))))
     rows = rows.withColumn("__gone", F.when(some, gone))
     # Numbers of the raw lines that are not blank; deleted lines are counted among these.
     numbers = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda r: F.get("__lines", r) != "")

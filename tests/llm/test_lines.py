@@ -70,3 +70,34 @@ def test_edges(spark):
     rows = [(2, f"head\n{passage}\ntail"), (None, passage), (1, f"one\n\n {passage} ")]
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, schema)).collect()}
     assert got == {None: passage, 1: "one\n", 2: "head\ntail"}
+
+
+def longest(rows, min_words):
+    """Deleted line numbers of each document by the longest match with any earlier position."""
+    docs, out = sorted(rows), {}
+    lines = [t.split("\n") for _, t in docs]
+    for o, (d, _) in enumerate(docs):
+        gone = set()
+        for i in range(len(lines[o])):
+            for p in range(o + 1):
+                for q in range(i if p == o else len(lines[p])):
+                    n = 0
+                    while i + n < len(lines[o]) and q + n < len(lines[p]) and lines[o][i + n] == lines[p][q + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[o][i : i + n]) >= min_words:
+                        gone |= set(range(i, i + n))
+        out[d] = "\n".join(x for i, x in enumerate(lines[o]) if i not in gone)
+    return out
+
+
+def test_longest_of_several_earlier_copies(spark):
+    x, y, z, p = (" ".join(f"{c}{i}" for i in range(7)) for c in "xyzp")
+    rows = [(1, f"{x}\n{y}\n{p}"), (2, f"{x}\n{y}\n{z}"), (3, f"{x}\n{y}\n{z}")]
+    rng = random.Random(8)
+    base = [" ".join(f"b{i}_{j}" for j in range(rng.randint(1, 9))) for i in range(15)]
+    for d in range(10, 50):
+        cut = [(rng.randint(0, 12), rng.randint(1, 7)) for _ in range(3)]
+        rows.append((d, "\n".join(line for a, n in cut for line in base[a : a + n])))
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[3] == "" and got[2] == rows[1][1]
+    assert got == longest(rows, 20)
