@@ -278,7 +278,7 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr_whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MMR over all vectors, from pools that grow until the choice is exact."""
     rows = _vectors(spark, sf_dir)
-    asked = rows.where("vec_id % 250 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
     return rerank.mmr_index(score_vectors(rows, asked, "vec_id"), MMRConfig(0.7, 5), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
