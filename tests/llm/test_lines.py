@@ -23,11 +23,8 @@ def brute(rows, min_words=20):
         raw, lines, full = docs[k]
         gone = set()
         for i in range(len(full)):
-            found = [(lcp((o, i), q), q) for q in pos[full[i]] if q < (o, i)]
-            if not found:
-                continue
-            level = max(n.bit_length() - 1 for n, _ in found)
-            n = lcp((o, i), min(q for n, q in found if n >= 1 << level))
+            # The definition: the longest common prefix with any earlier position, whichever that is.
+            n = max((lcp((o, i), q) for q in pos[full[i]] if q < (o, i)), default=0)
             if sum(len(x.split()) for x in full[i : i + n]) >= min_words:
                 gone |= set(range(i, i + n))
         c, rest = 0, []
