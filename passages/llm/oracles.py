@@ -67,4 +67,59 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL = {"op4_chat": OP4, "op6_jaccard": OP6, "op7_decontaminate": OP7, "op9_topk": OP9}
+#: The white space that lines are trimmed of, as in lines.py.
+_TRIMMED = "' ' || " + " || ".join(f"chr({c})" for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+# DuckDB has no crc32: one entry for each byte by the polynomial's rule, then a fold over the bytes.
+OP5 = """
+WITH poly AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS t FROM range(256) r(b)
+), bytes AS (
+  SELECT doc_id, coalesce('s' || source, '') AS stratum, encode(coalesce(text, '')) AS b FROM documents
+), sized AS (
+  SELECT doc_id, stratum, CAST(octet_length(b) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS text_crc32
+  FROM bytes, poly
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CAST('0x' || substr(md5(concat_ws('|', 17, coalesce(CAST(doc_id AS VARCHAR), ''), text_crc32, size)), 1, 13) AS BIGINT), doc_id NULLS FIRST, text_crc32, size) AS rank,
+    count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS total,
+    (CAST('0x' || substr(md5('17|' || stratum), 1, 5) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 1048576 AS inside
+  FROM sized
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (rank - 1 + inside) / n, stratum, rank) - 1 AS p FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * 24 // total AS INTEGER) AS shard, CAST(p - ((p * 24 // total) * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+
+# A window is its lines' text itself; doc_id tells documents apart and orders them.
+OP8 = rf"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM documents WHERE text IS NOT NULL
+), line AS (
+  SELECT *, len(regexp_split_to_array(x, '[\s\x0B\p{{Z}}]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i
+  FROM (SELECT *, trim(raw, {_TRIMMED}) AS x FROM raw) WHERE x <> ''
+), counted AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM line
+), span AS (
+  SELECT a.doc_id, a.i, min(b.i) AS e FROM counted a JOIN counted b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 19 WHERE b.upto - a.upto + a.words >= 20 GROUP BY a.doc_id, a.i
+  UNION
+  SELECT b.doc_id, max(a.i), b.i FROM counted a JOIN counted b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 19 WHERE b.upto - a.upto + a.words >= 20 GROUP BY b.doc_id, b.i
+), win AS (
+  SELECT s.doc_id, s.i, s.e, string_agg(c.x, chr(10) ORDER BY c.i) AS name FROM span s JOIN counted c ON c.doc_id = s.doc_id AND c.i BETWEEN s.i AND s.e GROUP BY s.doc_id, s.i, s.e
+), later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, i) AS copy FROM win) WHERE copy > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM later
+), kept AS (
+  SELECT raw.doc_id, string_agg(CASE WHEN gone.i IS NULL THEN raw.raw END, chr(10) ORDER BY raw.r) AS text, count(line.i) AS n_lines, count(gone.i) AS n_deleted
+  FROM raw LEFT JOIN line ON line.doc_id = raw.doc_id AND line.r = raw.r LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.i = line.i GROUP BY raw.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted,
+  CASE WHEN n_deleted > 0 THEN coalesce(kept.text, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+SQL = {"op4_chat": OP4, "op5_sharding": OP5, "op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_topk": OP9}

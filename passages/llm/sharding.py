@@ -19,7 +19,7 @@ empty; other columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 17
@@ -39,6 +39,11 @@ def _offsets(counts: DataFrame, group: list[str], bucket: str) -> DataFrame:
     return inside.join(blocks.drop("m"), [*group, "block"]).select(*group, bucket, (F.col("inside") + F.col("blocks_before")).alias("before"))
 
 
+def _digits(of: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a checksum, as a number."""
+    return F.conv(F.substring(F.md5(of.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
 def interleave(docs: DataFrame, shards: int = 24, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row."""
     total = docs.count()
@@ -49,16 +54,16 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = SEED) -> DataFrame
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("stratum"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
-    # The top bits of the hash, as a fraction of its range, choose the bucket, so buckets ascend with the hash.
-    rows = rows.withColumn("b", F.least(F.floor((F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))) * buckets).cast("long"), F.lit(buckets - 1)))
+    ).withColumn("h", _digits(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size"), 13))
+    # The hash, as a fraction of its range, chooses the bucket, so buckets ascend with the hash.
+    rows = rows.withColumn("b", F.least(F.floor(F.col("h").cast("double") / F.lit(float(1 << 52)) * buckets).cast("long"), F.lit(buckets - 1)))
     counts = rows.groupBy("stratum", "b").agg(F.count("*").alias("n"))
     before = _offsets(counts, ["stratum"], "b")
     strata = counts.groupBy("stratum").agg(F.sum("n").alias("stratum_rows"))
-    number = F.row_number().over(Window.partitionBy("stratum", "b").orderBy(F.shiftrightunsigned("h", 11), "h", "doc_id", "text_crc32", "size"))
+    number = F.row_number().over(Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "text_crc32", "size"))
     ranked = rows.withColumn("number", number).join(before.join(strata, "stratum"), ["stratum", "b"])
     # A place inside the rank's step, chosen by the stratum, so that small strata spread over the order.
-    inside = (F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 20)).cast("double") + 0.5) / float(1 << 20)
+    inside = (_digits(F.concat_ws("|", F.lit(seed), "stratum"), 5).cast("double") + 0.5) / float(1 << 20)
     ranked = ranked.withColumn("rank", F.col("before") + F.col("number")).withColumn("fraction", (F.col("rank") - 1 + inside) / F.col("stratum_rows"))
     ranked = ranked.select("doc_id", "stratum", "size", "text_crc32", "rank", "fraction", F.least(F.floor(F.col("fraction") * buckets).cast("long"), F.lit(buckets - 1)).alias("f"))
     # Rows of each bucket of fractions follow from the strata, but counting them is as cheap and always right.
