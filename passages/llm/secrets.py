@@ -11,8 +11,8 @@ letters, base62, base64), its characters become numbers in the alphabet, and
   one; below ``ALPHA`` the token is not random (too uneven, too even or periodic);
 * two p-values tell how well structured text explains it: the chi-squared statistic
   against the noncentral distribution that letters as frequent as in words give
-  at this length, and the changes of character class against those of words.
-  Fisher's method combines them to one p-value for each token;
+  at this length, and the changes of character class against those of words (of
+  encodings with several classes). Fisher's method combines them to one p-value;
 * these go through a Benjamini-Hochberg step in bands of length, so that long and
   short tokens each keep the false-discovery rate ``FDR``; tokens that are not
   random count there as words. The step reads a histogram of p-values (``BANDS`` x
@@ -189,7 +189,7 @@ def _battery(token: Column) -> Column:
         uniform = _normal_tail((free + x["uneven"] - chi) / F.sqrt(2.0 * (free + 2.0 * x["uneven"])))
         mixed = _normal_tail((x["changes"] - places * WORD_CHANGES - 0.5) / F.sqrt(places * WORD_CHANGES * (1 - WORD_CHANGES)))
         fair = (random >= ALPHA) & (x["encoding"] != "decimal")
-        return F.struct(x["encoding"].alias("encoding"), x["n"].cast("int").alias("n"), F.when(fair, _fisher(uniform, mixed)).otherwise(F.lit(1.0)).alias("p"))
+        return F.struct(x["encoding"].alias("encoding"), x["n"].cast("int").alias("n"), F.when(~fair, F.lit(1.0)).when(x["encoding"].isin("lower", "upper"), uniform).otherwise(_fisher(uniform, mixed)).alias("p"))
 
     few = F.struct(F.lit("").alias("encoding"), F.length(body).alias("n"), F.lit(1.0).alias("p"))  # little but padding
     return F.when(F.length(body) < CANDIDATE_LENGTH // 2, few).otherwise(_let(_let(_let(_let(body, numbered), coded), measured), judged))
