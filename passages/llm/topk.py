@@ -8,8 +8,10 @@ k-th best score (a bound that equals it goes on, as a smaller id may win the
 tie). The k best so far go from block to block, so later blocks often end at
 depth 0; what each task finds is merged by query.
 
-Components become floor(256 * x), so scores are integers and exact. Queries go
-to the workers by broadcast, in blocks of at most ``QUERY_BLOCK`` queries: one
+Components become floor(256 * x), so scores are integers. They are exact: vectors
+whose components are so large that a product could leave the integers of a double
+are scored by themselves in whole numbers of any size, batch by batch, and a score
+beyond the range of a long is given as the end of that range. Queries go to the workers by broadcast, in blocks of at most ``QUERY_BLOCK`` queries: one
 pass over the vectors for each block, never a broadcast that grows.
 
 Defined cases: vectors that are null or hold null or non-finite components take
@@ -21,6 +23,7 @@ give fewer rows; other columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,24 +36,43 @@ VECTOR_BLOCK = 8192
 DEPTHS = (0, 16, 128, 1024)
 
 
-def integers(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: ids and floor(256 * x) as float64 of the vectors that take part."""
+def integers(ids: pa.Array, vectors: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[int, list[tuple[int, list[int]]]]]:
+    """By length: ids and floor(256 * x) as float64 of the vectors that take part; and likewise those too large for exact doubles."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors, ids = vectors.combine_chunks(), ids.combine_chunks()
-    flat = vectors.flatten().cast(pa.float64())
-    known = np.isfinite(flat.fill_null(float("nan")).to_numpy(zero_copy_only=False))
-    values = np.floor(np.where(known, flat.fill_null(0.0).to_numpy(zero_copy_only=False), 0) * 256)
+    flat = vectors.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    known = np.isfinite(flat)
     lengths = np.asarray(vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     first = np.concatenate([[0], np.cumsum(lengths)])
     ok = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), bool) & (lengths > 0)
     full = np.concatenate([[0], np.cumsum(~known)])
     ok &= full[first[1:]] == full[first[:-1]]
     ident = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    out = {}
-    for d in np.unique(lengths[ok]):
+    exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    large: dict[int, list[tuple[int, list[int]]]] = {}
+    for d in np.unique(lengths[ok]).tolist():
         rows = np.flatnonzero(ok & (lengths == d))
-        out[int(d)] = ident[rows], values[first[rows][:, None] + np.arange(d)]
-    return out
+        values = flat[first[rows][:, None] + np.arange(d)]
+        # Sums of d products of two such numbers stay below 2**53.
+        far = (np.abs(values) > np.sqrt(2.0**53 / d) / 256 - 1).any(1)
+        if not far.all():
+            exact[d] = ident[rows[~far]], np.floor(values[~far] * 256)
+        if far.any():
+            # A double times 256 is a double again unless it is too large, and then it is a whole number.
+            large[d] = [(i, [int(np.floor(x * 256)) if abs(x) < 1e300 else int(x) * 256 for x in v]) for i, v in zip(ident[rows[far]].tolist(), values[far].tolist())]
+    return exact, large
+
+
+def _whole(exact: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[int, list[int]]]:
+    return [(i, [int(x) for x in v]) for i, v in zip(exact[0].tolist(), exact[1].tolist())] if exact else []
+
+
+def _in_whole_numbers(asked: list[tuple[int, list[int]]], rows: list[tuple[int, list[int]]], k: int) -> Iterator[tuple[int, int, int]]:
+    """(query, id, score) of the k best of these rows for each query."""
+    end = (1 << 63) - 1
+    for q, u in asked:
+        scored = ((-max(-end, min(end, sum(x * y for x, y in zip(u, v)))), i) for i, v in rows if i != q)
+        yield from ((q, i, -s) for s, i in heapq.nsmallest(k, scored))
 
 
 class Best:
@@ -126,19 +148,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QU
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         got = part.toArrow()
-        by_length = integers(got.column(0), got.column(1))
-        sent = spark.sparkContext.broadcast(by_length)
+        sent = spark.sparkContext.broadcast(integers(got.column(0), got.column(1)))
 
         def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {d: Best(ids, vectors, k) for d, (ids, vectors) in sent.value.items()}
+            names = ["query_id", "vec_id", "score"]
+            asked, asked_large = sent.value
+            best = {d: Best(ids, vectors, k) for d, (ids, vectors) in asked.items()}
             for batch in batches:
-                for d, (ids, vectors) in integers(batch.column(0), batch.column(1)).items():
+                exact, large = integers(batch.column(0), batch.column(1))
+                for d, (ids, vectors) in exact.items():
                     if d in best:
                         for a in range(0, len(ids), VECTOR_BLOCK):
                             best[d].block(ids[a : a + VECTOR_BLOCK], vectors[a : a + VECTOR_BLOCK])
+                found = [x for d, v in large.items() for x in _in_whole_numbers(_whole(asked.get(d)) + asked_large.get(d, []), v, k)]
+                found += [x for d, q in asked_large.items() for x in _in_whole_numbers(q, _whole(exact.get(d)), k)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
             for x in best.values():
                 q, j = np.nonzero(np.isfinite(x.scores))
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids[q]), pa.array(x.found[q, j]), pa.array(x.scores[q, j].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids[q]), pa.array(x.found[q, j]), pa.array(x.scores[q, j].astype(np.int64))], names=names)
 
         one = rows.select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, score long")
         found = one if found is None else found.unionByName(one)

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +38,20 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(two, two, 5).count() == 2
 
 
+def test_scores_of_huge_components_are_exact(spark):
+    rng = np.random.default_rng(4)
+    sizes = rng.choice([1.0, 5e4, 2.0**30, 1e20], 300)
+    vectors = (rng.normal(size=(300, 4)) * sizes[:, None]).tolist() + [[1e160, -1e160, 1.0, 0.0], [1.7e308, 0.0, 0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0 or vec_id > 299"), 5).collect()))
+    whole = [[math.floor(Fraction(x) * 256) for x in v] for v in vectors]
+    want = []
+    for q in [*range(0, 300, 50), 300, 301]:
+        scores = [(-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in enumerate(whole) if i != q]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    assert got == sorted(want)
+
+
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(9)
     vectors = np.floor(rng.normal(size=(4000, 2)) * 1000)
