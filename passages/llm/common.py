@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and survives lost executors."""
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that written() makes inside are deleted at the end; what is read of them must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        forget(*_scopes.pop())
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there and survives lost executors; ``kept`` by scratch()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _scopes and not kept:
+        _scopes[-1].append(out)
     return out
 
 

@@ -305,7 +305,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """(key, items) of the sets with these keys, one document standing for all that have it; written."""
-    chosen = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("ident", "n_shingles")).alias("d")).select("key", "d.ident")
+    # Copies meet map-side first, so a set that very many documents have is one row of a task, not all of them.
+    chosen = members.groupBy("key").agg(F.min("ident").alias("ident")).join(keys, "key", "left_semi")
     chosen = written(chosen, "chosen")
     small = chosen.count() <= BROADCAST_KEYS
     texts = docs.select("text", _ident().alias("ident"))
@@ -418,7 +419,9 @@ def key_roots(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFr
         forget(edges)
     alone = found.where("kind = 2").select(F.col("a").alias("key")).distinct()
     if not alone.isEmpty():
-        roots = joined(roots, _against_all(docs, alone, width))
+        links = _against_all(docs, members, alone, width)
+        roots = joined(roots, links)
+        forget(*links._parts)
     forget(found, sets)
     return roots
 
@@ -442,10 +445,16 @@ def _between(large: DataFrame, roots: DataFrame, sets: DataFrame, forest: bool)
     return out
 
 
-def _against_all(docs: DataFrame, alone: DataFrame, width: int, block: int = 1000) -> DataFrame:
+#: Shingles of the sets that are sent to all tasks at once, 8 bytes each; a larger set goes alone.
+SENT_SHINGLES = 2_000_000
+
+
+def _against_all(docs: DataFrame, members: DataFrame, alone: DataFrame, width: int, block: int = 1000) -> DataFrame:
     """Links of the few sets that no allocation of segments covers, each compared with all sets; written."""
-    out = None
-    blocks = max(1, -(-alone.count() // (block // 2)))
+    sizes = members.join(alone, "key", "left_semi").groupBy("key").agg(F.max("n_shingles").alias("n"))
+    size = sizes.agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).first()
+    blocks = max(1, -(-size.sets // (block // 2)), -(-(size.shingles or 0) // (SENT_SHINGLES // 2)))
+    parts = []
     for i in range(blocks):
         keys = {r[0] for r in alone.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()}
 
@@ -466,8 +475,11 @@ def _against_all(docs: DataFrame, alone: DataFrame, width: int, block: int = 100
                     got = [(k, o) for o, r in zip(fingerprint(rows).view(np.int64).tolist(), rows) if o for k, x in asked if k != o and _similar(x, r)]
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())], names=["a", "b"])
 
-        one = written(docs.select("text").mapInArrow(compare, "a long, b long").distinct(), "links")
-        out = one if out is None else out.unionByName(one)
+        parts.append(written(docs.select("text").mapInArrow(compare, "a long, b long").distinct(), "links"))
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    out._parts = parts
     return out
 
 
@@ -490,12 +502,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that stay: of each component the one with the least doc_id, and all empty sets.
 
-    Rows with the same doc_id count as one row, whose first text by hash stays.
+    Of several texts with that doc_id the first by hash stays, and of rows equal in
+    doc_id and text one; a text of another component stays whatever its doc_id.
     """
     rows = _rooted(docs, width)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("ident"), F.col("hash"))
     linked = rows.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("m")).select("m.ident", "m.hash")
-    chosen = linked.unionByName(rows.where("n_shingles = 0").select("ident", "hash"))
-    chosen = chosen.groupBy(F.col("ident").alias("__ident")).agg(F.min("hash").alias("__hash"))
-    stay = docs.withColumn("__ident", _ident()).withColumn("__hash", F.xxhash64("text")).join(chosen, ["__ident", "__hash"])
-    return stay.dropDuplicates(["__ident"]).drop("__ident", "__hash")
+    chosen = linked.unionByName(rows.where("n_shingles = 0").select("ident", "hash").distinct())
+    chosen = chosen.select(F.col("ident").alias("__ident"), F.col("hash").alias("__hash"))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    known = docs.withColumn("__ident", _ident()).withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.when(wordless, F.monotonically_increasing_id()))
+    return known.join(chosen, ["__ident", "__hash"]).dropDuplicates(["__ident", "__hash", "__row"]).drop("__ident", "__hash", "__row")

@@ -81,6 +81,12 @@ def test_edges(spark):
     assert sorted((r.doc_id or -1, r.key or "") for r in kept) == [(-1, ""), (3, "x"), (9, "")]
 
 
+def test_other_texts_with_the_same_id_stay(spark):
+    rows = [(1, "a b c d e f g"), (1, "other words that stand here alone"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (3, None), (4, " ")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], *rows[4:]], key=repr)
+
+
 def test_sets_without_enough_segments_are_compared_with_all(spark, monkeypatch):
     """With one segment for everything and no deletions, nearly every set is beyond the allocation."""
     real = jaccard._bands
@@ -96,5 +102,5 @@ def test_sets_without_enough_segments_are_compared_with_all(spark, monkeypatch):
     monkeypatch.undo()
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(58))), (3, "x y z a b c")], "doc_id long, text string")
     members = jaccard._members(docs, 5)
-    links = jaccard._against_all(docs, members.select("key").where("n_shingles > 0"), 5).collect()
+    links = jaccard._against_all(docs, members, members.select("key").where("n_shingles > 0"), 5).collect()
     assert {frozenset((r.a, r.b)) for r in links} == {frozenset(r.key for r in members.collect() if r.doc_id in (1, 2))}
