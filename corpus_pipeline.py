@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.llm.bpe import tokens
-from passages.llm.common import crc_mod, shared_dir
+from passages.llm.common import crc_mod, forget, scratch, written
 from passages.llm.decontaminate import decontaminate
 from passages.llm.jaccard import one_of_each
 from passages.llm.language import fit, predict
@@ -87,12 +87,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
-    import uuid
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages applied to documents, each written to the shared folder and read again.
+
+    A stage's own tables go when it is written, and its predecessor's output then too.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch():
+            docs = written(stage(spark, docs, sf_dir), "pipeline", kept=True)
+        forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
