@@ -33,8 +33,8 @@ from . import kernels
 from .common import with_text, written
 
 WINDOW = 13
-#: Words of test phrases in one broadcast: about 64 MB on a worker.
-BLOCK_WORDS = 2_000_000
+#: Words of test phrases in one broadcast. A phrase takes 13 * 8 bytes, its length and its items: about 100 MB on a worker, and as much on the driver.
+BLOCK_WORDS = 500_000
 #: One suffix position in this many is kept.
 SAMPLE = 8
 

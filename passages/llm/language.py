@@ -14,7 +14,9 @@ whole of every text, in one pass without a shuffle.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 so is every text if there are no labelled rows; labels that are null do not
-take part; repeated rows get the same prediction each.
+take part, nor do rows without a letter count for a label's rate; of equally near
+codewords the first label in order wins; a label with few rows is learned from
+those; very long texts are read whole; repeated rows get the same prediction each.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Model
     bounded_batches(docs.sparkSession)
     labelled = docs.where(train & F.col("lang").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)).alias("at"))
     letters = has_letter(F.col("text"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(letters, F.col("at"))).alias("least")).where("least IS NOT NULL").orderBy("lang").collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.when(letters, 1)).alias("n"), F.min(F.when(letters, F.col("at"))).alias("least")).where("least IS NOT NULL").orderBy("lang").collect()
     if not counts:
         return None
     each = max(32, sample_rows // len(counts))

@@ -58,3 +58,11 @@ def test_more_than_64_languages(spark):
     got = predict(docs, model, ["doc_id", "lang"]).collect()
     for few in (True, False):
         assert np.mean([r.lang == r.lang_pred for r in got if (r.lang >= "l60") == few]) >= 0.95
+
+
+def test_rows_without_letters_do_not_count_for_a_label(spark):
+    data = [("12 34 ?!", "xx")] * 3000 + [(t, lang) for _, t, lang, _ in rows(120)]
+    docs = spark.createDataFrame([(i, t, lang, None) for i, (t, lang) in enumerate(data)], SCHEMA).repartition(4)
+    model = fit(docs, F.lit(True))
+    got = predict(docs.where("doc_id >= 3000"), model, ["doc_id", "lang"]).collect()
+    assert model.languages == ["xx", "yy", "zz"] and np.mean([r.lang == r.lang_pred for r in got]) >= 0.95
