@@ -37,11 +37,11 @@ def scratch() -> Iterator[None]:
         forget(*_scopes.pop())
 
 
-def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, kept: bool = False, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and survives lost executors; ``kept`` by scratch()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     if _scopes and not kept:
@@ -59,15 +59,15 @@ def forget(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-#: Rows of an Arrow batch: with texts of some kilobytes about 10 MB, in the JVM and in a worker.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, in the JVM and in a worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Make Arrow batches small enough for rows that hold whole texts, unless the session sets their size itself."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, usual, bound in (("maxRecordsPerBatch", None, BATCH_ROWS), ("maxBytesPerBatch", "64MB", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in (None, usual, str(64 << 20)):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
 
 
 def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
