@@ -15,8 +15,8 @@ Signatures travel packed: each task sorts its entries by bucket, so a shuffled
 row is a block of them. A group of sets with one signature gives all its pairs
 if it is small, else the pairs with its least member; after those are verified,
 groups that still hold several components are compared between these, by a
-parity sketch that bounds the difference from below, and what it does not
-exclude is verified too: first so many pairs as join the components, then all
+parity sketch that bounds the difference from below (two parts of ``PART`` sets of a
+group meet in a task, never the whole of it), and what it does not exclude is verified too: first so many pairs as join the components, then all
 that are left between those still apart. So no link is lost, and a large group of copies costs
 one verification per copy and signature at most. Verification compares the
 whole sets.
@@ -53,6 +53,8 @@ DOUBLES = 4
 SPARE = 1.1
 #: Groups of at most so many sets give all their pairs.
 SMALL_GROUP = 8
+#: Sets in a part of a larger group; two parts meet in a task.
+PART = 1024
 #: Entries that a task gathers before it sends them, and entries of a bucket.
 FLUSH, BUCKET_ENTRIES = 600_000, 400_000
 #: Keys of candidate documents that may be broadcast (16 bytes each); above, texts are shuffled.
@@ -370,12 +372,13 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
 
 
 def _across(group: pa.Table, forest: bool) -> pa.Table:
-    """Pairs of a large group between its components that the sketches do not exclude.
+    """Pairs of two parts of a large group, or of one, between its components that the sketches do not exclude.
 
     With ``forest`` only so many as join what may be joined: each set with the nearest of each component.
     """
+    two = group.column("x")[0].as_py() != group.column("y")[0].as_py()
     order = np.argsort(group.column("n").to_numpy(), kind="stable")
-    keys, roots, sizes = (group.column(c).to_numpy()[order] for c in ("key", "root", "n"))
+    keys, roots, sizes, own = (group.column(c).to_numpy()[order] for c in ("key", "root", "n", "own"))
     sketches = _folded([group.column("sketch")[int(i)].as_py() for i in order])
     _, part = np.unique(roots, return_inverse=True)
     left, right = [], []
@@ -383,6 +386,8 @@ def _across(group: pa.Table, forest: bool) -> pa.Table:
         end = int(np.searchsorted(sizes, sizes[i] * 5 // 4, side="right"))
         near = np.arange(i + 1, end)
         near = near[part[near] != part[i]]
+        if two:
+            near = near[own[near] != own[i]]
         if not len(near):
             continue
         apart = np.bitwise_count(sketches[near] ^ sketches[i]).sum(1, dtype=np.int64)
@@ -429,8 +434,8 @@ def key_roots(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFr
 def _between(large: DataFrame, roots: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """Links between the components that large groups still hold; written."""
     labelled = written(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
-    mixed = labelled.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("g")
-    rows = written(labelled.join(mixed, "g", "left_semi"), "mixed")
+    mixed = labelled.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x != y").select("g", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    rows = written(labelled.join(mixed, "g"), "mixed")
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,7 +443,10 @@ def _between(large: DataFrame, roots: DataFrame, sets: DataFrame, forest: bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([_sketch(r) for r in rows], pa.binary())], names=["key", "n", "sketch"])
 
     sketches = sets.join(rows.select("key").distinct(), "key", "left_semi").select("key", "items").mapInArrow(sketch, "key long, n long, sketch binary").dropDuplicates(["key"])
-    crossing = rows.join(sketches, "key").select("g", "key", "root", "n", "sketch").groupBy("g").applyInArrow(lambda group: _across(group, forest), "a long, b long")
+    # A group is dealt out by a hash, and a task gets two parts of it, or one with itself.
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("g", "key", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    crossing = dealt.join(sketches, "key").select("g", "x", "y", "own", "key", "root", "n", "sketch").groupBy("g", "x", "y").applyInArrow(lambda group: _across(group, forest), "a long, b long")
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out = written(_verified(pairs, sets), "links")
     forget(labelled, rows)

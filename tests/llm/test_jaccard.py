@@ -71,6 +71,13 @@ def test_components_equal_brute_force(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows) and len(got) == len(rows)
 
 
+def test_large_groups_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 7)
+    rows = corpus(3)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, key string, root string"
     assert jaccard.jaccard_components(spark.createDataFrame([], schema)).count() == 0
