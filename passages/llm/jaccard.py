@@ -491,20 +491,26 @@ def _against_all(docs: DataFrame, members: DataFrame, alone: DataFrame, width: i
     return out
 
 
-def _rooted(docs: DataFrame, width: int) -> DataFrame:
-    """The members of docs with the root of their component."""
+def _chosen(docs: DataFrame, width: int, order) -> tuple[DataFrame, DataFrame]:
+    """The members of docs, and (key, root, first): the least ``order`` of each component of sets; written.
+
+    Rows meet by their set first, map-side, so neither copies nor a large component come to a task row by row.
+    """
     members = _members(docs, width)
     roots = key_roots(docs, members, width)
-    return members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sets = members.where("n_shingles > 0").groupBy("key").agg(F.min(order).alias("first"))
+    sets = sets.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return members, written(sets, "set-roots")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows = _rooted(docs, width)
-    linked = rows.where("n_shingles > 0")
-    least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = linked.join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    members, sets = _chosen(docs, width, F.col("doc_id"))
+    least = written(sets.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    # Both sides of each join are tables, so a key that very many rows share can be split.
+    named = written(sets.select("key", "root").join(least, "root").select("key", "component_id"), "named")
+    out = members.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -513,10 +519,10 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Of several texts with that doc_id the first by hash stays, and of rows equal in
     doc_id and text one; a text of another component stays whatever its doc_id.
     """
-    rows = _rooted(docs, width)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("ident"), F.col("hash"))
-    linked = rows.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("m")).select("m.ident", "m.hash")
-    chosen = linked.unionByName(rows.where("n_shingles = 0").select("ident", "hash").distinct())
+    members, sets = _chosen(docs, width, order)
+    linked = sets.groupBy("root").agg(F.min("first").alias("m")).select("m.ident", "m.hash")
+    chosen = linked.unionByName(members.where("n_shingles = 0").select("ident", "hash").distinct())
     chosen = chosen.select(F.col("ident").alias("__ident"), F.col("hash").alias("__hash"))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     known = docs.withColumn("__ident", _ident()).withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.when(wordless, F.monotonically_increasing_id()))
