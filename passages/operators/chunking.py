@@ -48,56 +48,107 @@ def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, mi
     return marked.select(*[text.alias("text") if c == "text" else F.col(c) for c in pages.columns])
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """(source_id, name, page, section, title, parent_id, body): a page's parts between headings.
 
     The title is the path of headings above; text before the first heading has
     none, and no parent. Parts without text are dropped; numbers of parents
     restart on each page and count every heading.
+
+    Only the headings are folded; a part's text is put together once, from its
+    first line to the line before the next heading.
     """
     none = F.lit(None).cast("string")
-    part = "struct<n:int,path:array<struct<level:int,title:string>>,lines:array<string>>"
-    start = F.struct(
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<level:int,title:string>>").alias("path"), F.array().cast("array<string>").alias("lines")).cast(part).alias("now"),
-        F.array().cast(f"array<{part}>").alias("done"),
-    )
-
-    def step(acc: Column, line: Column) -> Column:
-        head = X.heading(line)
-        now = acc["now"]
-        path = F.concat(F.filter(now["path"], lambda h: h["level"] < head["level"]), F.array(head))
-        opened = F.struct((now["n"] + 1).alias("n"), path.alias("path"), F.array().cast("array<string>").alias("lines")).cast(part)
-        grown = F.struct(now["n"].alias("n"), now["path"].alias("path"), F.concat(now["lines"], F.array(line)).alias("lines")).cast(part)
-        return F.when(head.isNotNull(), F.struct(opened.alias("now"), F.concat(acc["done"], F.array(now)).alias("done"))).otherwise(F.struct(grown.alias("now"), acc["done"].alias("done")))
-
-    whole = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<level:int,title:string>>").alias("path"), F.split("text", "\n").alias("lines")).cast(part))
-    folded = F.aggregate(F.split("text", "\n"), start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    # Pages without a heading mark, which are most, are one part and are not folded.
-    parts = F.when(F.col("text").rlike(r"(?m)^[\s\p{Z}]*#{1,6} "), folded).otherwise(whole)
-    rows = pages.select("source_id", "name", "page", once(parts.alias("parts"))).select("source_id", "name", "page", F.explode("parts").alias("p"))
-    title = F.when(F.size("p.path") > 0, F.array_join(F.transform("p.path", lambda h: h["title"]), " > "))
+    path_of = "array<struct<level:int,title:string>>"
+    part = "struct<n:int,titles:array<string>,start:int,stop:int>"
+
+    def located(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), X.heading(x).alias("h")))
+        return F.struct(lines.alias("lines"), F.filter(marked, lambda m: m["h"].isNotNull()).alias("heads"))
+
+    def parts(x: Column) -> Column:
+        heads, last = x["heads"], F.size(x["lines"])
+
+        def step(acc: Column, i: Column) -> Column:
+            head = F.get(heads, i)
+            path = F.concat(F.filter(acc["path"], lambda h: h["level"] < head["h"]["level"]), F.array(head["h"].cast("struct<level:int,title:string>")))
+            stop = F.coalesce(F.get(heads, i + 1)["at"], last)
+            made = _let(path, lambda p: F.struct(p.alias("path"), F.struct((i + 1).alias("n"), F.transform(p, lambda h: h["title"]).alias("titles"), (head["at"] + 1).alias("start"), stop.alias("stop")).cast(part).alias("part")))
+            return _let(made, lambda m: F.struct(m["path"].alias("path"), F.concat(acc["done"], F.array(m["part"])).alias("done")))
+
+        before = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("titles"), F.lit(0).alias("start"), F.coalesce(F.get(heads, F.lit(0))["at"], last).alias("stop")).cast(part)
+        begin = F.struct(F.array().cast(path_of).alias("path"), F.array(before).alias("done"))
+        folded = F.aggregate(F.sequence(F.lit(0), F.size(heads) - 1), begin, step, lambda acc: acc["done"])
+        listed = F.when(F.size(heads) > 0, folded).otherwise(F.array(before))
+        body = lambda p: F.when(p["stop"] > p["start"], F.array_join(F.transform(F.sequence(p["start"], p["stop"] - 1), lambda i: F.get(x["lines"], i)), "\n")).otherwise("")
+        return F.transform(listed, lambda p: F.struct(p["n"].alias("n"), p["titles"].alias("titles"), body(p).alias("body")))
+
+    # Pages without a heading mark, which are most, are one part and are not split.
+    whole = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("titles"), F.col("text").alias("body")))
+    cut = F.when(F.col("text").rlike(r"(?m)^[\s\p{Z}]*#{1,6} "), _let(_let(F.split("text", "\n"), located), parts)).otherwise(whole)
+    rows = pages.select("source_id", "name", "page", once(cut.alias("parts"))).select("source_id", "name", "page", F.explode("parts").alias("p"))
+    title = F.when(F.size("p.titles") > 0, F.array_join("p.titles", " > "))
     parent = F.when(F.col("p.n") > 0, F.concat(F.col("source_id"), F.lit(":p"), F.col("page").cast("string"), F.lit(":s"), F.col("p.n").cast("string")))
-    body = X.trim(F.array_join("p.lines", "\n"))
-    return rows.select("source_id", "name", "page", F.col("p.n").alias("section"), F.coalesce(title, none).alias("title"), parent.alias("parent_id"), body.alias("body")).where("body <> ''")
+    return rows.select("source_id", "name", "page", F.col("p.n").alias("section"), F.coalesce(title, none).alias("title"), parent.alias("parent_id"), X.trim(F.col("p.body")).alias("body")).where("body <> ''")
 
 
 def pack(units: Column, joiner: Column, config: ChunkingConfig = ChunkingConfig()) -> Column:
-    """Units to chunk texts, greedily; a new chunk begins with the end of the last one if that fits."""
+    """Units to chunk texts, greedily; a new chunk begins with the end of the last one if that fits.
+
+    The fold over the units holds lengths and places only; texts are joined
+    once for each chunk.
+    """
     top, overlap = config.max_chars, config.overlap_chars
 
-    def step(acc: Column, u: Column) -> Column:
-        buffer = acc["buffer"]
-        tail = F.concat(F.substring(buffer, -overlap, overlap), F.lit("\n"), u) if overlap else u
-        begun = F.when(F.length(tail) > top, u).otherwise(tail)
-        full = F.length(buffer) + 1 + F.length(u) > top
-        return (
-            F.when(buffer == "", F.struct(acc["out"].alias("out"), u.alias("buffer")))
-            .when(full, F.struct(F.concat(acc["out"], F.array(buffer)).alias("out"), begun.alias("buffer")))
-            .otherwise(F.struct(acc["out"].alias("out"), F.concat(buffer, joiner, u).alias("buffer")))
-        )
+    def cuts(sizes: Column) -> Column:
+        """2 * the first unit of each chunk, and 1 more if the end of the chunk before goes ahead of it."""
+
+        def step(acc: Column, i: Column) -> Column:
+            size = F.get(sizes, i)
+            begun = F.least(F.lit(overlap), acc["held"]) + 1 + size
+            fits = F.lit(bool(overlap)) & (begun <= top)
+            opened = F.struct(F.when(fits, begun).otherwise(size).alias("held"), F.concat(acc["out"], F.array(2 * i + fits.cast("int"))).alias("out"))
+            grown = F.struct((acc["held"] + 1 + size).alias("held"), acc["out"].alias("out"))
+            return F.when(acc["held"] + 1 + size > top, opened).otherwise(grown)
+
+        start = F.struct(F.get(sizes, F.lit(0)).alias("held"), F.array(F.lit(0)).alias("out"))
+        folded = F.aggregate(F.sequence(F.lit(1), F.size(sizes) - 1), start, step, lambda acc: acc["out"])
+        return F.when(F.size(sizes) > 1, folded).when(F.size(sizes) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+
+    def own(x: Column) -> Column:
+        """(tail, own text) of each chunk."""
+
+        def one(c: Column, k: Column) -> Column:
+            start, stop = F.floor(c / 2).cast("int"), F.coalesce(F.floor(F.get(x["cuts"], k + 1) / 2).cast("int"), F.size(x["units"]))
+            lines = F.transform(F.sequence(start, stop - 1), lambda i: F.get(x["units"], i))
+            return F.struct((c % 2 == 1).alias("tail"), F.call_function("array_join", lines, joiner).alias("own"))
+
+        return F.transform(x["cuts"], one)
+
+    def texts(parts: Column) -> Column:
+        """Each chunk with the end of the one before; only these ends are folded."""
+
+        def step(acc: Column, p: Column) -> Column:
+            whole = F.when(p["tail"], F.concat(acc["end"], F.lit("\n"), p["own"])).otherwise(p["own"])
+            return F.struct(F.substring(whole, -overlap, overlap).alias("end"), F.concat(acc["ends"], F.array(acc["end"])).alias("ends"))
+
+        start = F.struct(F.lit("").alias("end"), F.array().cast("array<string>").alias("ends"))
+        ends = F.aggregate(parts, start, step, lambda acc: acc["ends"])
+        return F.zip_with(parts, ends, lambda p, e: F.when(p["tail"], F.concat(e, F.lit("\n"), p["own"])).otherwise(p["own"]))
+
+    def packed(u: Column) -> Column:
+        return _let(F.struct(u.alias("units"), cuts_of(u).alias("cuts")), own)
+
+    def cuts_of(u: Column) -> Column:
+        return _let(F.transform(u, lambda x: F.length(x)), cuts)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buffer"))
-    return F.aggregate(units, start, step, lambda acc: F.when(acc["buffer"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buffer"]))))
+    parts = _let(units, packed)
+    return _let(parts, texts) if overlap else F.transform(parts, lambda p: p["own"])
 
 
 def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
