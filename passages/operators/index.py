@@ -1,17 +1,24 @@
-"""The index: tables in snapshot directories, and a manifest that names the current ones.
-
-A commit writes new directories and then replaces the manifest by a rename, so
-readers see the old or the new state, never half of one; what it replaces stays
-until vacuum(). Changes are copy-on-write: rows of the touched sources leave by
-an anti join, and new rows come by a union.
+"""The index: tables in buckets of sources, and numbered manifests that name the current files.
+
+A source and its pages are in one of ``BUCKETS`` buckets, and a change writes
+only the touched buckets of a table anew: its rows that stay, by an anti join, and
+the new ones. A commit then puts the next manifest beside the last one by a rename.
+Readers take the manifest with the highest number, so they see the old or the new
+state and never half of one, also if a writer dies at any step; of two writers that
+began with the same manifest the later one fails with code 409. What is replaced
+stays until vacuum().
+
+Postings are dealt out by source too, sorted by term in each file, so a search
+reads of every bucket the row groups of its terms.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +26,23 @@ from ..functions import text as X
 from ..functions.once import once
 from ..schema import CHUNKS, INDEXES, LENGTHS, POSTINGS, PREFIXES, SOURCES, TAGS, VECTORS, EmbeddingModel, EngineError, RetrievalFilter
 from ..sources.embedders import EmbeddingProvider, embed
+from .rank import term_groups
 
 TABLES: dict[str, T.StructType] = {"sources": SOURCES, "chunks": CHUNKS, "tags": TAGS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "indexes": INDEXES, "prefixes": PREFIXES}
 
 
+BUCKETS = 32  # a listing of more paths is a job of its own
+_MANIFEST = re.compile(r"manifest-([0-9]{12})\.json")
+
+
+def bucket(table: str) -> Column:
+    """The bucket of a row: by its source without the page, or by the key of a cached prefix."""
+    if table == "indexes":
+        return F.lit(0)
+    key = F.col("key") if table == "prefixes" else F.substring_index("source_id", " p.", 1)
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 class IndexStore:
     """The tables under one directory of any file system that Spark reads."""
 
@@ -33,43 +53,65 @@ class IndexStore:
         self._fs = self._path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         self._fs.mkdirs(self._path(self.path))
 
-    def _manifest(self) -> dict[str, str]:
-        at = self._path(f"{self.path}/manifest.json")
-        if not self._fs.exists(at):
-            return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+    def _names(self) -> list[str]:
+        return [status.getPath().getName() for status in self._fs.listStatus(self._path(self.path))]
+
+    def version(self) -> int:
+        """The number of the newest manifest, 0 before the first commit."""
+        return max((int(m[1]) for m in map(_MANIFEST.fullmatch, self._names()) if m), default=0)
 
-    def read(self, table: str) -> DataFrame:
-        version = self._manifest().get(table)
-        if version is None:
+    def _manifest(self, version: int | None = None) -> dict[str, dict[str, str]]:
+        """By table and bucket, the directory of its rows."""
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        stream = self._fs.open(self._path(f"{self.path}/manifest-{version:012d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def read(self, table: str, touched: set[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
+        parts = [f"{self.path}/{at}/__b={b}" for b, at in self._manifest().get(table, {}).items() if touched is None or int(b) in touched]
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{version}")
+        return self.spark.read.schema(TABLES[table]).parquet(*parts)
+
+    def touched(self, rows: DataFrame, table: str = "sources") -> set[int]:
+        """The buckets of rows that have a source_id (or a key, for prefixes): BUCKETS numbers at most."""
+        return {r[0] for r in rows.select(bucket(table)).distinct().collect()}
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write the tables anew and switch to them together."""
-        manifest = self._manifest()
-        for name, rows in tables.items():
+    def of(self, source: str) -> set[int]:
+        return self.touched(self.spark.range(1).select(F.lit(source).alias("source_id")))
+
+    def commit(self, tables: dict[str, tuple[DataFrame, set[int]]], base: int) -> None:
+        """Write these buckets of the tables anew and switch to them together; ``base`` is the version they were made from."""
+        manifest = self._manifest(base)
+        for name, (rows, touched) in tables.items():
             version = f"{name}-{uuid.uuid4().hex}"
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]
-            rows = rows.select(*columns)
-            if name == "postings":  # a term's rows lie together, so a reader skips the row groups of other terms
-                rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
-            rows.write.parquet(f"{self.path}/{version}")
-            manifest[name] = version
-        fresh = self._path(f"{self.path}/manifest-{uuid.uuid4().hex}.json")
+            rows = rows.withColumn("__b", bucket(name)).select(*columns, "__b").hint("rebalance", "__b")
+            order = ["term", "chunk_id"] if name == "postings" else []  # a term's rows lie together, so a reader skips the row groups of other terms
+            rows.sortWithinPartitions("__b", *order).write.partitionBy("__b").parquet(f"{self.path}/{version}")
+            made = {status.getPath().getName() for status in self._fs.listStatus(self._path(f"{self.path}/{version}"))}
+            kept = {b: at for b, at in manifest.get(name, {}).items() if int(b) not in touched}
+            manifest[name] = kept | {str(b): version for b in sorted(touched) if f"__b={b}" in made}
+        fresh, target = self._path(f"{self.path}/fresh-{uuid.uuid4().hex}"), self._path(f"{self.path}/manifest-{base + 1:012d}.json")
         out = self._fs.create(fresh)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        at = self._path(f"{self.path}/manifest.json")
-        self._fs.delete(at, False)
-        self._fs.rename(fresh, at)
+        if self.version() != base or self._fs.exists(target) or not self._fs.rename(fresh, target):
+            self._fs.delete(fresh, False)
+            raise EngineError(409, "another writer has changed the index")
 
     def vacuum(self) -> None:
-        """Delete the directories that the manifest does not name."""
-        live = {*self._manifest().values(), "manifest.json"}
-        for status in self._fs.listStatus(self._path(self.path)):
-            if status.getPath().getName() not in live:
-                self._fs.delete(status.getPath(), True)
+        """Delete what the newest manifest does not name; no writer may be at work."""
+        version = self.version()
+        live = {at for parts in self._manifest(version).values() for at in parts.values()} | {f"manifest-{version:012d}.json"}
+        for name in self._names():
+            if name not in live:
+                self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
 
 def in_scope(column, source: str):
@@ -81,50 +123,59 @@ def replace_sources(store: IndexStore, sources: DataFrame, chunk_rows: DataFrame
     """Put new sources with their chunks in place of what the index has under their ids.
 
     imported_at stays as it was, updated_at is new; tags stay unless given; the
-    vectors of replaced chunks go.
+    vectors of replaced chunks go. Only the buckets of these sources are written.
     """
+    base = store.version()
     ids = sources.select("source_id").distinct()
-    old = store.read("sources")
+    buckets = store.touched(ids)
+    old = store.read("sources", buckets)
     kept = old.select("source_id", F.col("imported_at").alias("__imported"))
-    base = old.agg(F.coalesce(F.max("ingest_seq"), F.lit(0)).alias("m"))
-    seq = F.col("m") + 1  # one number for all sources of an ingest: no global order is needed
     counts = chunk_rows.groupBy("source_id").agg(F.count("*").alias("__chunks"))
-    fresh = sources.crossJoin(F.broadcast(base)).withColumn("ingest_seq", seq).drop("m").join(kept, "source_id", "left").join(counts, "source_id", "left")
+    # The commit's number, one for all sources of an ingest: no global order is needed.
+    fresh = sources.withColumn("ingest_seq", F.lit(base + 1).cast("long")).join(kept, "source_id", "left").join(counts, "source_id", "left")
     fresh = fresh.withColumn("imported_at", F.coalesce("__imported", F.current_timestamp())).withColumn("updated_at", F.current_timestamp()).withColumn("chunks", F.coalesce("__chunks", F.lit(0)))
-    placed = chunk_rows.join(fresh.select("source_id", "ingest_seq"), "source_id")
-    tables = {
-        "sources": old.join(ids, "source_id", "left_anti").unionByName(fresh.select(*SOURCES.names), allowMissingColumns=True),
-        "chunks": store.read("chunks").join(ids, "source_id", "left_anti").unionByName(placed.select(*CHUNKS.names)),
-        "vectors": store.read("vectors").join(ids, "source_id", "left_anti"),
-    }
-    listed_terms = placed.select("chunk_id", "source_id", once(index_terms(index_text).alias("terms"))).withColumn("dl", F.size("terms"))
-    posts = listed_terms.select("chunk_id", "source_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "source_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    for name, rows in (("postings", posts), ("lengths", listed_terms.drop("terms"))):
-        tables[name] = store.read(name).join(ids, "source_id", "left_anti").unionByName(rows.select(*TABLES[name].names))
-    if tags is not None:
-        tables["tags"] = store.read("tags").join(ids, "source_id", "left_anti").unionByName(_clean_tags(tags))
+    placed = chunk_rows.withColumn("ingest_seq", F.lit(base + 1).cast("long"))
+    listed_terms = placed.select("chunk_id", "source_id", once(index_terms(index_text).alias("placed"))).withColumn("dl", F.size("placed"))
+    posts = listed_terms.select("chunk_id", "source_id", "dl", F.inline(term_groups(F.col("placed")))).withColumn("tf", F.size("spots"))
+    new = {
+        "sources": fresh.select(*SOURCES.names), "chunks": placed.select(*CHUNKS.names), "vectors": None,
+        "postings": posts.select(*POSTINGS.names), "lengths": listed_terms.select(*LENGTHS.names), "tags": _clean_tags(tags) if tags is not None else None,
+    }
+    tables = {}
+    for name, rows in new.items():
+        if name == "tags" and rows is None:
+            continue
+        stay = store.read(name, buckets).join(ids, "source_id", "left_anti")
+        tables[name] = (stay if rows is None else stay.unionByName(rows, allowMissingColumns=True), buckets)
     if prefixes is not None:
-        tables["prefixes"] = store.read("prefixes").join(prefixes.select("key"), "key", "left_anti").unionByName(prefixes.select(*PREFIXES.names))
-    store.commit(tables)
+        keys = store.touched(prefixes, "prefixes")
+        tables["prefixes"] = (store.read("prefixes", keys).join(prefixes.select("key"), "key", "left_anti").unionByName(prefixes.select(*PREFIXES.names)), keys)
+    store.commit(tables, base)
 
 
 def _clean_tags(tags: DataFrame) -> DataFrame:
     return tags.select("source_id", X.trim(F.col("tag")).alias("tag")).where("tag <> ''").distinct()
 
 
+def _without(store: IndexStore, source: str, names: tuple[str, ...]) -> None:
+    base, buckets = store.version(), store.of(source)
+    store.commit({name: (store.read(name, buckets).where(~in_scope(F.col("source_id"), source)), buckets) for name in names}, base)
+
+
 def delete_chunks(store: IndexStore, source: str) -> None:
     """Remove the chunks and vectors of a source and its pages; the source itself stays."""
-    store.commit({name: store.read(name).where(~in_scope(F.col("source_id"), source)) for name in ("chunks", "vectors", "postings", "lengths")})
+    _without(store, source, ("chunks", "vectors", "postings", "lengths"))
 
 
 def delete_source(store: IndexStore, source: str) -> None:
     """Remove a source with its chunks, vectors and tags; the prefix cache stays."""
-    store.commit({name: store.read(name).where(~in_scope(F.col("source_id"), source)) for name in ("sources", "chunks", "vectors", "tags", "postings", "lengths")})
+    _without(store, source, ("sources", "chunks", "vectors", "tags", "postings", "lengths"))
 
 
 def set_tags(store: IndexStore, source: str, tags: list[str]) -> None:
+    base, buckets = store.version(), store.of(source)
     rows = store.spark.createDataFrame([(source, t) for t in tags], TAGS)
-    store.commit({"tags": store.read("tags").where(F.col("source_id") != source).unionByName(_clean_tags(rows))})
+    store.commit({"tags": (store.read("tags", buckets).where(F.col("source_id") != source).unionByName(_clean_tags(rows)), buckets)}, base)
 
 
 def tags_of(store: IndexStore, source: str) -> list[str]:
@@ -151,9 +202,20 @@ def index_info(store: IndexStore, index_id: str) -> tuple[str, int] | None:
     return (row.model_id, row.dimension) if row else None
 
 
+#: What is added to a term's place in a chunk for each column of MATCH_COLUMNS before its own, so that no phrase reaches from one into the next.
+GAP = 700_000_000
+MATCH_COLUMNS = ("content", "source_id", "section_title")
+
+
 def index_terms(index_text: str = "augmented"):
-    """Terms of a chunk: its indexed text, source and section title."""
-    return F.concat(X.tokens(augmented(None, index_text)), X.tokens(F.col("source_id")), X.tokens(F.coalesce("section_title", F.lit(""))))
+    """Array of (term, spot) of a chunk: its indexed text, source and section title."""
+    columns = (augmented(None, index_text), F.col("source_id"), F.coalesce("section_title", F.lit("")))
+    return F.concat(*[spotted(X.tokens(c), k) for k, c in enumerate(columns)])
+
+
+def spotted(terms: Column, column: int) -> Column:
+    """Array of (term, spot) of the terms of a column of MATCH_COLUMNS."""
+    return F.transform(terms, lambda t, i: F.struct(t.alias("term"), (i + column * GAP).alias("spot")))
 
 
 def augmented(chunk_rows: DataFrame | None, index_text: str = "augmented"):
@@ -165,33 +227,41 @@ def backfill(store: IndexStore, index_id: str, provider: EmbeddingProvider | Non
     """Embed the chunks that lack a vector, in one job; the number of them."""
     if provider is None:
         raise EngineError(410, "no embedding provider")
+    base = store.version()
     known = check_model(store, index_id, provider.model)
-    vectors = store.read("vectors")
-    missing = store.read("chunks").join(vectors.where(F.col("index_id") == index_id).select("chunk_id"), "chunk_id", "left_anti")
+    missing = store.read("chunks").join(store.read("vectors").where(F.col("index_id") == index_id).select("chunk_id"), "chunk_id", "left_anti")
     if source is not None:
         missing = missing.where(in_scope(F.col("source_id"), source))
     fresh = embed(missing.select("chunk_id", "source_id", augmented(missing, index_text).alias("text")), provider, "text").select("chunk_id", "source_id", F.lit(index_id).alias("index_id"), F.size("vec").alias("dim"), "vec")
     fresh = fresh.persist()
     n = fresh.count()
-    tables = {"vectors": vectors.unionByName(fresh)}
+    buckets = store.touched(fresh)
+    tables = {"vectors": (store.read("vectors", buckets).unionByName(fresh), buckets)}
     if not known:
-        tables["indexes"] = store.read("indexes").unionByName(store.spark.createDataFrame([(index_id, provider.model.model_id, provider.model.dimension)], INDEXES))
-    store.commit(tables)
+        tables |= _registered(store, index_id, provider.model)
+    store.commit(tables, base)
     fresh.unpersist()
     return n
 
 
 def put_vectors(store: IndexStore, index_id: str, model: EmbeddingModel, rows: DataFrame) -> None:
     """Insert or replace vectors of chunks, from (chunk_id, source_id, vec); 530 if a dimension or the model differs."""
+    base = store.version()
     known = check_model(store, index_id, model)
     size = rows.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
     if size.a is not None and (size.a, size.b) != (model.dimension, model.dimension):
         raise EngineError(530, f"vectors of {size.a} to {size.b} components for a model of {model.dimension}")
     fresh = rows.select("chunk_id", "source_id", F.lit(index_id).alias("index_id"), F.size("vec").alias("dim"), "vec")
-    tables = {"vectors": store.read("vectors").join(fresh.select("chunk_id", "index_id"), ["chunk_id", "index_id"], "left_anti").unionByName(fresh)}
+    buckets = store.touched(fresh)
+    tables = {"vectors": (store.read("vectors", buckets).join(fresh.select("chunk_id", "index_id"), ["chunk_id", "index_id"], "left_anti").unionByName(fresh), buckets)}
     if not known:
-        tables["indexes"] = store.read("indexes").unionByName(store.spark.createDataFrame([(index_id, model.model_id, model.dimension)], INDEXES))
-    store.commit(tables)
+        tables |= _registered(store, index_id, model)
+    store.commit(tables, base)
+
+
+def _registered(store: IndexStore, index_id: str, model: EmbeddingModel) -> dict[str, tuple[DataFrame, set[int]]]:
+    """The list of vector indexes with this one."""
+    return {"indexes": (store.read("indexes").unionByName(store.spark.createDataFrame([(index_id, model.model_id, model.dimension)], INDEXES)), {0})}
 
 
 def filtered(rows: DataFrame, store: IndexStore, where: RetrievalFilter | None, source: str | None = None, hierarchical: bool = False) -> DataFrame:

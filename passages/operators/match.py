@@ -282,8 +282,52 @@ def search(rows: DataFrame, key: str, columns: dict[str, Column], expression: st
     dl = sum((F.size(c) for c in arrays.values()), F.lit(0))
     found = held.select(key, dl.alias("__dl"), once(*placed.expressions(arrays)))
     counted = found.select(key, "__dl", placed.matches(node).alias("__hit"), *[placed.count(p).alias(f"__tf{i}") for i, p in enumerate(phrases)])
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(phrases))])
+    stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *_frequencies(phrases))
+    return _scored(counted, stats, phrases, key)
+
+
+def _frequencies(phrases: list[Phrase]) -> list[Column]:
+    return [F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(phrases))]
+
+
+def _scored(counted: DataFrame, stats: DataFrame, phrases: list[Phrase], key: str) -> DataFrame:
     score = F.lit(0.0)
     for i in range(len(phrases)):
         score = score + bm25_term(F.col(f"__tf{i}"), F.col("__dl"), F.col("__avg"), idf(F.col("__n"), F.col(f"__df{i}")))
     return counted.where("__hit").crossJoin(F.broadcast(stats)).select(key, score.alias("bm25"))
+
+
+def search_postings(posts: DataFrame, stats: DataFrame, key: str, columns: tuple[str, ...], gap: int, expression: str) -> DataFrame:
+    """As search(), from an index: posts (term, key, dl, spots) and the row of stats (n, avgdl).
+
+    Only postings of the expression's terms are read; those of a row meet by its
+    key, and places tell columns apart by multiples of ``gap``.
+    """
+    node = parse(expression)
+    phrases, placed = scored_phrases(node), Placed(node, list(columns))
+    terms = list(dict.fromkeys((t, p.prefix and j == len(p.terms) - 1) for p in placed.phrases for j, t in enumerate(p.terms)))
+    is_term = [F.startswith("term", F.lit(t)) if prefix else F.col("term") == t for t, prefix in terms]
+    some = F.lit(False)
+    for one in is_term:
+        some = some | one
+    spots = [F.flatten(F.collect_list(F.when(one, F.col("spots")))).alias(f"__s{j}") for j, one in enumerate(is_term)]
+    met = posts.where(some).groupBy(key).agg(F.first("dl").alias("__dl"), *spots)
+
+    def begins(phrase: Phrase, column: str) -> Column:
+        if not phrase.terms:
+            return F.array().cast("array<int>")
+        low = columns.index(column) * gap
+        lists = [F.col(f"__s{terms.index((t, phrase.prefix and j == len(phrase.terms) - 1))}") for j, t in enumerate(phrase.terms)]
+
+        def here(p: Column) -> Column:
+            out = (p >= low) & (p < low + gap)
+            for j, other in enumerate(lists[1:], 1):
+                out = out & F.array_contains(other, p + j)
+            return out
+
+        return F.filter(lists[0], here)
+
+    found = met.select(key, "__dl", once(*[begins(p, c).alias(placed.name(p, c)) for p in placed.phrases for c in p.columns or columns]))
+    counted = found.select(key, "__dl", placed.matches(node).alias("__hit"), *[placed.count(p).alias(f"__tf{i}") for i, p in enumerate(phrases)])
+    whole = stats.select(F.col("n").alias("__n"), F.col("avgdl").alias("__avg"))
+    return _scored(counted, counted.agg(*_frequencies(phrases)).crossJoin(F.broadcast(whole)), phrases, key)

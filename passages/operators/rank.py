@@ -18,20 +18,48 @@ LEAST_IDF = 1e-6
 PLACES = 9
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def term_groups(placed: Column) -> Column:
+    """Array of (term, spots) of the distinct terms of an array of (term, spot), by sorting it in the row: no shuffle."""
+
+    def cut(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["term"] != F.get(x, i - 1)["term"]))
+        return F.struct(x.alias("placed"), starts.alias("starts"))
+
+    def grouped(y: Column) -> Column:
+        def one(a: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(y["starts"], k + 1), F.size(y["placed"]))
+            return F.struct(F.get(y["placed"], a)["term"].alias("term"), F.transform(F.sequence(a, stop - 1), lambda i: F.get(y["placed"], i)["spot"]).alias("spots"))
+
+        return F.transform(y["starts"], one)
+
+    return F.when(F.size(placed) > 0, _let(_let(F.sort_array(placed), cut), grouped))
+
+
+def term_counts(terms: Column) -> Column:
+    """Array of (term, tf) of the distinct terms of an array, likewise."""
+
+    def cut(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+        return F.struct(x.alias("terms"), starts.alias("starts"))
+
+    def counted(y: Column) -> Column:
+        return F.transform(y["starts"], lambda a, k: F.struct(F.get(y["terms"], a).alias("term"), (F.coalesce(F.get(y["starts"], k + 1), F.size(y["terms"])) - a).alias("tf")))
+
+    return F.when(F.size(terms) > 0, _let(_let(F.sort_array(terms), cut), counted))
+
+
 def postings(rows: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf, dl): one row for each distinct term of a row.
 
     Counting happens inside the row, so building the table needs no shuffle.
     """
-    listed = rows.select(key, once(terms.alias("terms"))).withColumn("dl", F.size("terms"))
-    return listed.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").cast("int").alias("tf"))
-
-
-def positions(rows: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf, dl, positions) with the places of each term in the row."""
-    listed = rows.select(key, once(terms.alias("terms"))).withColumn("dl", F.size("terms"))
-    placed = listed.select(key, "dl", F.posexplode("terms").alias("at", "term"))
-    return placed.groupBy(key, "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    listed = rows.select(key, once(terms.alias("terms"))).select(key, F.size("terms").alias("dl"), once(term_counts(F.col("terms")).alias("counts")))
+    return listed.select(key, "dl", F.inline("counts")).select(key, "term", "tf", "dl")
 
 
 def corpus_stats(rows: DataFrame, key: str, terms: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vector import cosine
 from ..operators import match, rank, windows
-from ..operators.index import IndexStore, augmented, filtered
+from ..operators.index import GAP, MATCH_COLUMNS, IndexStore, filtered
 from ..operators.rerank import mmr, mmr_index, window_dedup
 from ..schema import CITATION, EngineError, MMRConfig, RetrievalFilter
 from ..sources.embedders import EmbeddingProvider, embed
@@ -42,8 +42,8 @@ class Searcher:
 
     def matched(self, expression: str, limit: int, where: RetrievalFilter | None = None, source: str | None = None, hierarchical: bool = True) -> DataFrame:
         """The pool of one match expression, as query 0."""
-        columns = {"content": X.tokens(augmented(self.chunks, self.index_text)), "source_id": X.tokens(F.col("source_id")), "section_title": X.tokens(F.coalesce("section_title", F.lit("")))}
-        scored = match.search(self.chunks, "chunk_id", columns, expression).withColumn("query_id", F.lit(0)).join(self.chunks, "chunk_id")
+        found = match.search_postings(self.posts, self.stats, "chunk_id", MATCH_COLUMNS, GAP, expression)
+        scored = found.withColumn("query_id", F.lit(0)).join(self.chunks, "chunk_id")
         return self._pooled(filtered(scored, self.store, where, source, hierarchical), limit)
 
     def search(self, expression: str, limit: int = 10, where: RetrievalFilter | None = None, source: str | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ CHUNKS = _struct(
     "chunk_id string, source_id string, ordinal int, page int, content string, section_title string, "
     "context_prefix string, parent_id string, content_hash string, ingest_seq bigint"
 )
-POSTINGS = _struct("term string, chunk_id string, source_id string, tf int, dl int")
+POSTINGS = _struct("term string, chunk_id string, source_id string, tf int, dl int, spots array<int>")
 LENGTHS = _struct("chunk_id string, source_id string, dl int")
 VECTORS = _struct("chunk_id string, source_id string, index_id string, dim int, vec array<float>")
 INDEXES = _struct("index_id string, model_id string, dimension int")
