@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,12 +186,30 @@ def rule_prefix(name: Column, page: Column, header: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(" · ", name, at, F.when(header != "", header)), F.lit("] - "))
 
 
+def _asked(context_fn, chunks: list[dict]) -> list[str | None]:
+    """The function's answers, by one call for all if it has ``many``; None where it fails."""
+    if hasattr(context_fn, "many"):
+        try:
+            answers = list(context_fn.many(chunks)) if chunks else []
+            return answers if len(answers) == len(chunks) else [None] * len(chunks)
+        except Exception:  # noqa: BLE001  whatever a plugged-in model raises
+            return [None] * len(chunks)
+    out = []
+    for chunk in chunks:
+        try:
+            out.append(context_fn(chunk))
+        except Exception:  # noqa: BLE001
+            out.append(None)
+    return out
+
+
 def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Chunks with context_prefix, and the new rows of the prefix cache.
 
     Without a function the rule gives the prefix. With one, the cache is asked
-    first and the function only for what it lacks; a failure or an empty answer
-    falls back to the rule, and what results is cached either way. A cached
+    first and the function only for what it lacks, an Arrow batch at a time if it
+    has ``many(list of dicts)``; one with ``prompted`` set is a model, and gets a
+    prompt with the text before and after. A failure or an empty answer falls back to the rule, and what results is cached either way. A cached
     prefix is used even without a function.
     """
     heads = pages.select("source_id", "page", page_header(F.col("text")).alias("__header"))
@@ -202,17 +223,27 @@ def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cach
     if context_fn is None:
         return rows.withColumn("context_prefix", F.coalesce("__cached", "__rule")).drop("__rule", "__key", "__cached", "__header"), None
 
-    def ask(content: str, name: str, page: int | None, header: str | None, cached: str | None) -> str | None:
-        if cached is not None:
-            return None
-        try:
-            text = context_fn({"text": content, "name": name, "page": page, "header": header})
-        except Exception:  # noqa: BLE001  whatever a plugged-in model raises
-            return None
-        flat = (text or "").replace("\n", " ").strip()[:600]
-        return flat or None
-
-    asked = F.udf(ask, "string", useArrow=True)("content", "name", "page", "__header", "__cached")
+    if getattr(context_fn, "prompted", False):  # a model: it is asked with the neighbouring text
+        order = Window.partitionBy("source_id").orderBy("ordinal")
+        left, right = F.coalesce(F.lag("content").over(order), F.lit("")), F.coalesce(F.lead("content").over(order), F.lit(""))
+        rows = rows.withColumn("__prompt", X.clip_prompt(left, F.col("content"), right))
+    else:
+        rows = rows.withColumn("__prompt", F.lit(None).cast("string"))
+
+    @F.pandas_udf("string")
+    def ask(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        names = ("text", "name", "page", "header", "prompt")
+        for content, name, page, header, prompt, cached in parts:
+            places = [i for i, c in enumerate(cached) if c is None]
+            columns = [x.astype(object).where(x.notna(), None).tolist() for x in (content, name, page, header, prompt)]
+            asked = [dict(zip(names, (c[i] for c in columns))) for i in places]
+            out = pd.Series([None] * len(content), dtype=object)
+            out.iloc[places] = _asked(context_fn, asked)
+            yield out
+
+    raw = ask("content", "name", "page", "__header", "__prompt", "__cached")
+    flat = F.substring(X.trim(F.replace(raw, F.lit("\n"), F.lit(" "))), 1, 600)
+    asked = F.when(flat != "", X.clean_prefix(flat) if getattr(context_fn, "prompted", False) else flat)
     rows = rows.withColumn("context_prefix", F.coalesce("__cached", asked, "__rule"))
     made = rows.where("__cached IS NULL").select(F.col("__key").alias("key"), F.col("context_prefix").alias("value"), F.to_json(F.struct("source_id", "page")).alias("meta"), F.current_timestamp().alias("created_at"))
-    return rows.drop("__rule", "__key", "__cached", "__header"), made.dropDuplicates(["key"])
+    return rows.drop("__rule", "__key", "__cached", "__header", "__prompt"), made.dropDuplicates(["key"])

@@ -6,7 +6,9 @@ chunks on the source, so texts of other sources are not gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import string
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -43,11 +45,15 @@ def parents(hits: DataFrame, chunk_rows: DataFrame, expand: int) -> DataFrame:
     return own.unionByName(neighbours(hits.where("parent_id IS NULL"), chunk_rows, expand))
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def anchor_chunk(chunk_rows: DataFrame, source_id: str, anchor: str) -> int | None:
-    """The first ordinal whose text holds the anchor in any case; none for a blank anchor."""
+    """The first ordinal whose text holds the anchor; a-z match A-Z, other letters only themselves; none for a blank anchor."""
     if not anchor.strip():
         return None
-    found = chunk_rows.where((F.col("source_id") == source_id) & F.contains(F.lower("content"), F.lit(anchor.lower())))
+    found = chunk_rows.where((F.col("source_id") == source_id) & F.contains(ascii_lower(F.col("content")), ascii_lower(F.lit(anchor))))
     return found.agg(F.min("ordinal")).first()[0]
 
 
@@ -68,13 +74,12 @@ def fetch_document(chunk_rows: DataFrame, source_id: str, anchor: str | None = N
         pivot = own.where(F.coalesce("page", F.lit(0)) >= start_page).agg(F.min("ordinal")).first()[0]
         own = own.where(F.lit(pivot is not None) & (F.col("ordinal") >= F.lit(pivot)))
     pages = own.agg(F.min("page").alias("a"), F.max("page").alias("b")).first()
-    ids, parts, size = [], [], 0
-    for row in own.orderBy("ordinal").select("chunk_id", "content").toLocalIterator():
-        ids.append(row.chunk_id)
-        if size <= max_chars:
-            parts.append(row.content)
-            size += len(row.content) + 2
-    return {"source_id": source_id, "text": "\n\n".join(parts)[:max_chars], "start_page": pages.a, "end_page": pages.b, "chunk_ids": ids}
+    # One source's chunks, by their lengths; of those beyond the clip only the ids come to the driver.
+    before = F.coalesce(F.sum(F.length("content") + 2).over(Window.partitionBy("source_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = own.withColumn("__before", before).select("ordinal", "chunk_id", F.when(F.col("__before") <= max_chars, F.substring("content", 1, max_chars)).alias("content")).collect()
+    rows.sort(key=lambda r: r.ordinal)
+    text = "\n\n".join(r.content for r in rows if r.content is not None)[:max_chars]
+    return {"source_id": source_id, "text": text, "start_page": pages.a, "end_page": pages.b, "chunk_ids": [r.chunk_id for r in rows]}
 
 
 def snippet(text, terms, width: int = 18):

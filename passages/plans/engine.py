@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, windows
 from ..operators import index as ix
+from ..session import scratch_dir
 from ..schema import AnswerPolicy, EngineConfig, EngineError, MMRConfig, RetrievalFilter
 from ..sources import loaders
 from ..sources.embedders import EmbeddingProvider
 from ..sources.generators import TextGenerator
 from ..sources.types import file_type
+from . import evaluate as ev
 from .answer import answer, answer_stream
 from .retrieve import Searcher
 
@@ -22,18 +25,53 @@ from .retrieve import Searcher
 Progress = Callable[[str, int, int | None], None]
 
 
+class Task:
+    """A call in a thread of its own, whose Spark jobs can be cancelled together."""
+
+    def __init__(self, spark: SparkSession, call: Callable[[], object]) -> None:
+        self._context, self._group, self._cancelled = spark.sparkContext, f"passages-{uuid.uuid4().hex}", False
+        self._result: object = None
+        self._error: BaseException | None = None
+
+        def run() -> None:
+            self._context.setJobGroup(self._group, "passages", interruptOnCancel=True)
+            try:
+                self._result = call()
+            except BaseException as e:  # noqa: BLE001  handed to result()
+                self._error = e
+
+        self._thread = InheritableThread(target=run, daemon=True)
+        self._thread.start()
+
+    def done(self) -> bool:
+        return not self._thread.is_alive()
+
+    def cancel(self) -> None:
+        self._cancelled = True
+        while self._thread.is_alive():  # a call may be between two jobs
+            self._context.cancelJobGroup(self._group)
+            self._thread.join(0.1)
+
+    def result(self, timeout: float | None = None) -> object:
+        """What the call returned; code 499 if it was cancelled before its end."""
+        self._thread.join(timeout)
+        if self._thread.is_alive():
+            raise TimeoutError
+        if self._error is not None:
+            raise EngineError(499, "cancelled") if self._cancelled else self._error
+        return self._result
+
+
 class Engine:
-    """An index at a path, or in a temporary directory for use in local mode."""
+    """An index at a path, or in a folder of its own under spark.checkpoint.dir (in local mode, where that is unset, a temporary one)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, provider: EmbeddingProvider | None = None, generator: TextGenerator | None = None, config: EngineConfig = EngineConfig(), pdf=None, ocr=None) -> None:
-        if path is None and not spark.sparkContext.master.startswith("local["):
-            raise EngineError(401, "an index on a cluster needs a path that all executors share")
         self.spark, self.provider, self.generator, self.config, self.pdf, self.ocr = spark, provider, generator, config, pdf, ocr
-        self.store = ix.IndexStore(spark, path or tempfile.mkdtemp(prefix="passages-"))
+        self.store = ix.IndexStore(spark, path or scratch_dir(spark, "index"))
 
     # ingest
 
-    def ingest(self, rows: DataFrame | Iterable[dict], tags: dict[str, list[str]] | None = None, embed: bool = True, progress: Progress | None = None) -> DataFrame:
+    def ingest(self, rows: DataFrame | Iterable[dict], tags: dict[str, list[str]] | DataFrame | None = None, embed: bool = True, progress: Progress | None = None) -> DataFrame:
         """Load, clean, chunk and store inputs, replacing sources of the same id; (source_id, pages, chunks) of each."""
         say = progress or (lambda *a: None)
         inputs = rows if isinstance(rows, DataFrame) else loaders.inputs(self.spark, rows)
@@ -54,7 +92,9 @@ class Engine:
             "source_id", F.col("name").alias("display_name"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("url"), "uti", file_type(F.col("uti")).alias("file_type")
         ).dropDuplicates(["source_id"]).join(counts, "source_id", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
         tag_rows = None
-        if tags is not None:
+        if isinstance(tags, DataFrame):
+            tag_rows = tags.select("source_id", "tag")
+        elif tags is not None:
             tag_rows = self.spark.createDataFrame([(s, t) for s, ts in tags.items() for t in ts], "source_id string, tag string")
         ix.replace_sources(self.store, sources, made, tag_rows, made_prefixes, self.config.indexing.index_text)
         if embed and self.provider is not None:
@@ -64,6 +104,10 @@ class Engine:
         made.unpersist()
         return out
 
+    def ingest_async(self, rows: DataFrame | Iterable[dict], **options) -> Task:
+        """ingest() in a thread; cancel() of the task stops its Spark jobs, and the index stays as it was."""
+        return Task(self.spark, lambda: self.ingest(rows, **options))
+
     def ingest_text(self, text: str, name: str = "text", tags: list[str] | None = None) -> str:
         self.ingest([{"source_id": name, "text": text, "name": name}], {name: tags} if tags is not None else None)
         return name
@@ -135,3 +179,20 @@ class Engine:
 
     def answer_stream(self, question: str, policy: AnswerPolicy = AnswerPolicy(), limit: int = 5, strict: bool = False):
         return answer_stream(self.searcher(), question, self.generator, policy, limit, strict)
+
+    def evaluate(self, path: str, policy: AnswerPolicy = AnswerPolicy(), limit: int = 5) -> dict[str, float]:
+        """Ingest a fixture's documents with their tags, ask all its queries in one job, and measure what is found and answered."""
+        fix = ev.fixture(self.spark, path).persist()
+        docs = ev.fixture_documents(fix)
+        inputs = docs.select("source_id", F.lit("text").alias("kind"), F.lit("public.plain-text").alias("uti"), "name", F.lit(None).cast("string").alias("path"), "text", F.lit(None).cast("binary").alias("bytes"))
+        self.ingest(inputs, docs.select("source_id", F.explode("tags").alias("tag")))
+        asked = ev.fixture_queries(fix)
+        widest = max(limit, asked.agg(F.max("limit")).first()[0] or 0)
+        found = self.retrieve(asked.select("query_id", "question"), widest).select("query_id", "rank", "source_id")
+        judged = asked.select("query_id", F.col("must_cite_source_ids").alias("must"), F.col("limit").alias("k"))
+        out = ev.summary(ev.retrieval_metrics(found, judged)).first().asDict()
+        if self.generator is not None:
+            answers = self.answer(asked.select("query_id", "question"), policy, limit)
+            out |= ev.answer_metrics(answers, asked.select("query_id", "expected_answer_contains", "must_refuse"), policy.refusal_text).first().asDict()
+        fix.unpersist()
+        return out

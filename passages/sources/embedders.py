@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EmbeddingModel, EngineError
+from .generators import loaded
 
 
 class EmbeddingProvider(Protocol):
@@ -103,6 +104,24 @@ class PromptEmbedder:
         return out
 
 
+class LocalEmbedder:
+    """A model in the worker process: ``factory`` loads it on first use, and it maps a list of texts to vectors.
+
+    Vectors are cut to the model's dimension and scaled to unit length, as models with nested dimensions allow.
+    """
+
+    def __init__(self, model: EmbeddingModel, factory, query_prefix: str = "", batch: int = 32) -> None:
+        self.model, self.factory, self.query_prefix, self.batch = model, factory, query_prefix, batch
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        encode, out = loaded(self.model.model_id, self.factory), []
+        for a in range(0, len(texts), self.batch):
+            for v in np.asarray(encode([self.query_prefix + t for t in texts[a : a + self.batch]]), np.float32)[:, : self.model.dimension]:
+                size = np.linalg.norm(v)
+                out.append((v / size if size else v).tolist())
+        return out
+
+
 def embed(rows: DataFrame, provider: EmbeddingProvider, text: str, out: str = "vec") -> DataFrame:
     """rows with a column of vectors of the text; fails with 411 if the provider gives another number of them."""
     names = rows.columns

@@ -93,3 +93,46 @@ class ChatGenerator:
                 for choice in json.loads(data).get("choices", []):
                     if piece := (choice.get("delta") or {}).get("content"):
                         yield piece
+
+
+#: What a worker has loaded, by the name of its model.
+_LOADED: dict[str, object] = {}
+
+
+def loaded(name: str, factory):
+    """The object that factory makes, made once in each worker process."""
+    if name not in _LOADED:
+        _LOADED[name] = factory()
+    return _LOADED[name]
+
+
+class LocalGenerator:
+    """A generator in the worker process: ``factory`` loads a model on first use, which has generate() and perhaps stream()."""
+
+    def __init__(self, name: str, factory) -> None:
+        self.name, self.factory = name, factory
+
+    def generate(self, messages: list[Message]) -> str:
+        return loaded(self.name, self.factory).generate(messages)
+
+    def stream(self, messages: list[Message]) -> Iterator[str]:
+        model = loaded(self.name, self.factory)
+        yield from model.stream(messages) if hasattr(model, "stream") else re.findall(r"\S+\s*", model.generate(messages))
+
+
+class ModelPrefix:
+    """Context prefixes of chunks by a text generator, for IndexingConfig.context_fn."""
+
+    prompted = True
+
+    def __init__(self, generator: TextGenerator, system: str = "Reply with one short sentence and nothing else.") -> None:
+        self.generator, self.system = generator, system
+
+    def many(self, chunks: list[dict]) -> list[str | None]:
+        out: list[str | None] = []
+        for chunk in chunks:
+            try:
+                out.append(self.generator.generate([("system", self.system), ("user", chunk["prompt"])]))
+            except Exception:  # noqa: BLE001  the rule gives the prefix instead
+                out.append(None)
+        return out

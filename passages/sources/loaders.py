@@ -92,8 +92,9 @@ def _parsed(rows: DataFrame, parse: Callable[[bytes], list[tuple[int, str]]]) ->
 
 def load(rows: DataFrame, pdf: PdfPages | None = None, ocr: Ocr | None = None, check: bool = True) -> DataFrame:
     """Pages of all inputs. ``check`` fails with 400 if some row has no loader (one small job)."""
-    rows = rows.withColumn("loader", F.when(F.col("kind") == "text", F.when(loader_of(F.col("uti")).isNull(), "text").otherwise(loader_of(F.col("uti")))).otherwise(loader_of(F.col("uti"))))
-    kinds = {r[0] for r in rows.select("loader").distinct().collect()}  # one of a dozen names each
+    chosen = F.when(F.col("kind") == "text", F.when(loader_of(F.col("uti")).isNull(), "text").otherwise(loader_of(F.col("uti")))).otherwise(loader_of(F.col("uti")))
+    kinds = {r[0] for r in rows.select("kind", "uti").select(chosen.alias("loader")).distinct().collect()}  # one of a dozen names each; no bytes are read
+    rows = rows.withColumn("loader", chosen)
     if check and None in kinds:
         raise EngineError(400, "no loader takes this type of input")
 
