@@ -8,7 +8,6 @@ ordinal = turn). Floats are rounded to 6 places in both engines.
 from __future__ import annotations
 
 import io
-import tempfile
 import zipfile
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from .functions.vector import cosine
 from .operators import chunking, match, rank, rerank, windows
 from .plans import evaluate
 from .plans.retrieve import score_vectors
+from .session import scratch_dir, spread
 from .schema import AnswerPolicy, ChunkingConfig, MMRConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +76,8 @@ def _terms_of(rows: DataFrame) -> Column:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    posts = rank.postings(docs.select("doc_id", "text"), "doc_id", _terms_of(docs))
+    docs = spread(_documents(spark, sf_dir).select("doc_id", "text"))
+    posts = rank.postings(docs, "doc_id", _terms_of(docs))
     return rank.bm25(posts, rank.corpus_stats(docs, "doc_id", _terms_of(docs)), asked, "doc_id")
 
 
@@ -130,8 +130,8 @@ def bm25_filtered_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("term_df_stats", f"WITH {_INDEX} SELECT term, CAST(df AS BIGINT) AS df, round(w, 6) AS idf FROM idf")
 def term_df_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    posts = rank.postings(docs.select("doc_id", "text"), "doc_id", _terms_of(docs))
+    docs = spread(_documents(spark, sf_dir).select("doc_id", "text"))
+    posts = rank.postings(docs, "doc_id", _terms_of(docs))
     stats = rank.corpus_stats(docs, "doc_id", _terms_of(docs))
     return rank.term_df(posts).crossJoin(F.broadcast(stats)).select("term", "df", F.round(rank.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
@@ -143,7 +143,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
+    docs = spread(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     columns = {"content": _terms_of(docs), "source": X.plain_tokens(F.coalesce(F.col("source"), F.lit("")))}
     return match.search(docs, "doc_id", columns, expression).select("doc_id", F.round("bm25", 6).alias("score"))
 
@@ -179,9 +179,12 @@ for _name, (_expression, _sql) in _MATCHES.items():
     _query(_name, _sql)(lambda spark, sf_dir, _expression=_expression: _matched(spark, sf_dir, _expression))
 
 
-@_query("match_near")
+_NEAR_AT = "len(list_filter(range(1, len({0}) + 1), lambda i: {0}[i] = 'the' AND list_contains(list_slice({0}, greatest(1, i - 4), i + 4), 'of'))) > 0"
+
+
+@_query("match_near", _match_sql([_term_sql("the"), _term_sql("of")], f"({_NEAR_AT.format('t')}) OR ({_NEAR_AT.format('u')})"))
 def match_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two terms within three tokens; tests compare it with another full-text engine."""
+    """Two terms with three tokens between them at most, in one column; tests compare it with another full-text engine."""
     return _matched(spark, sf_dir, "NEAR(the of, 3)")
 
 
@@ -208,13 +211,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "vector_topk_batch",
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, {_COS.format('embedding', 'q')} AS s FROM embeddings, q)
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, {_COS.format('embedding', 'q')} AS s FROM embeddings, q)
     SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, round(s, 6) AS score FROM s QUALIFY rank <= 10""",
 )
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector as a query against all."""
+    """All vectors with an id divisible by 50 as queries against all."""
     rows = _vectors(spark, sf_dir)
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
     top = rank.top_by(score_vectors(rows, asked, "vec_id").drop("vec"), "query_id", [F.round("score", rank.PLACES).desc(), F.col("vec_id").asc()], 10)
     return top.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
@@ -274,7 +277,19 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.mmr(pooled, MMRConfig(0.5, 5), 5).select("rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@_query("mmr_whole_index")
+@_query(
+    "mmr_whole_index",
+    f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    c AS (SELECT q.vec_id AS query_id, v.vec_id, v.e, {_COS.format('v.e', 'q.e')} AS s FROM v q JOIN v ON q.vec_id % 50 = 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS r FROM c),
+    step AS (
+      SELECT 1 AS n, query_id, vec_id, e, s, r, CAST(0 AS DOUBLE) AS near, CASE WHEN r = 1 THEN 1 END AS picked FROM o
+      UNION ALL
+      SELECT n + 1, query_id, vec_id, e, s, r, near2, CASE WHEN picked IS NOT NULL THEN picked WHEN row_number() OVER (PARTITION BY query_id ORDER BY picked IS NOT NULL, 0.7 * s - 0.3 * near2 DESC, r) = 1 THEN n + 1 END
+      FROM (SELECT *, greatest(near, {_COS.format('e', 'last')}) AS near2 FROM (SELECT *, first_value(e) OVER (PARTITION BY query_id ORDER BY CASE WHEN picked = n THEN 0 ELSE 1 END) AS last FROM step WHERE n < 5))
+    )
+    SELECT query_id, CAST(picked AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM step WHERE n = 5 AND picked IS NOT NULL""",
+)
 def mmr_whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MMR over all vectors, from pools that grow until the choice is exact."""
     rows = _vectors(spark, sf_dir)
@@ -459,7 +474,19 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top_by(counts, "end", [F.desc("n"), F.col("line").asc()], 2).select("end", "line", "n")
 
 
-@_query("header_footer_strip")
+_TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+@_query(
+    "header_footer_strip",
+    f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
+    l AS (SELECT *, list_filter(['Running head', {_TRIM.format('line')}], lambda x: x <> '') AS ls, count(*) OVER (PARTITION BY doc_id) AS pages FROM p),
+    feet AS (SELECT doc_id, ls[-1] AS foot FROM l WHERE pages >= 3 GROUP BY doc_id, ls[-1] HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(page), ls[-1]) <= 2),
+    f AS (SELECT doc_id, list(foot) AS feet FROM feet GROUP BY doc_id),
+    c AS (SELECT l.*, list_filter(range(1, len(ls) + 1), lambda i: ls[i] <> 'Running head')[1] AS a, list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(coalesce(feet, []), ls[i]))[-1] AS b FROM l LEFT JOIN f USING (doc_id))
+    SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(page AS INTEGER) AS page,
+      sha256(CASE WHEN pages < 3 THEN 'Running head' || chr(10) || line WHEN a IS NULL OR b IS NULL OR b < a THEN '' ELSE array_to_string(ls[a : b], chr(10)) END) AS digest FROM c""",
+)
 def header_footer_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines as pages, each with a running head; tests compare with brute force."""
     lines = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("page", "line"))
@@ -487,13 +514,46 @@ _SENTENCES = r"""list_filter(list_transform(CASE WHEN regexp_matches(text, '[\t|
 )
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks of 720 characters at most where units allow, 72 of them shared."""
-    docs = _documents(spark, sf_dir)
+    docs = spread(_documents(spark, sf_dir).select("doc_id", "text"))
     joiner = F.when(X.tableish(F.col("text")), "\n").otherwise(" ")
     packed = docs.select("doc_id", once(chunking.pack(X.units(F.col("text")), joiner, ChunkingConfig(200, 20)).alias("texts"))).select("doc_id", F.posexplode("texts").alias("ordinal", "c"))
     return packed.select("doc_id", "ordinal", F.sha2("c", 256).alias("digest"))
 
 
-@_query("chunk_sections")
+def _pack_sql(rows: str, top: int, overlap: int) -> str:
+    """CTEs ``parts`` (source_id, section, title, body, i, content): the rows (source_id, section, title, body) cut into chunks."""
+    table = r"regexp_matches(body, '[\t|]|[^\s\p{Z}][\s\p{Z}]{2,}[^\s\p{Z}]')"
+    return f"""b AS ({rows}),
+    u AS (SELECT *, {_SENTENCES.replace('text', 'body')} AS u, CASE WHEN {table} THEN chr(10) ELSE ' ' END AS j FROM b),
+    f AS (SELECT source_id, section, 0 AS i, CAST([] AS VARCHAR[]) AS out, '' AS buf FROM u
+      UNION ALL
+      SELECT f.source_id, f.section, i + 1,
+        CASE WHEN buf <> '' AND length(buf) + 1 + length(u.u[i + 1]) > {top} THEN list_append(out, buf) ELSE out END,
+        CASE WHEN buf = '' THEN u.u[i + 1]
+          WHEN length(buf) + 1 + length(u.u[i + 1]) > {top} THEN CASE WHEN length(right(buf, {overlap}) || chr(10) || u.u[i + 1]) > {top} THEN u.u[i + 1] ELSE right(buf, {overlap}) || chr(10) || u.u[i + 1] END
+          ELSE buf || u.j || u.u[i + 1] END
+      FROM f JOIN u ON u.source_id = f.source_id AND u.section = f.section WHERE i < len(u.u)),
+    e AS (SELECT u.*, list_append(out, buf) AS c FROM f JOIN u ON u.source_id = f.source_id AND u.section = f.section WHERE i = len(u.u) AND buf <> ''),
+    parts AS (SELECT source_id, section, title, unnest(c) AS content, generate_subscripts(c, 1) AS i FROM e)"""
+
+
+#: CTEs up to ``chunk``: the chunks of ingested documents, one page each, with their ids and rule prefixes.
+_INGESTED = f"""{_pack_sql("SELECT 'd' || doc_id AS source_id, 0 AS section, CAST(NULL AS VARCHAR) AS title, " + _TRIM.format('text') + " AS body FROM documents WHERE length(text) > 0", 2340, 288)},
+chunk AS (SELECT source_id, i - 1 AS ordinal, content, source_id || ':' || (i - 1) || ':' || substr(sha256({_TRIM.format('content')}), 1, 16) AS chunk_id,
+  '[' || source_id || ' · p.1' || coalesce(' · ' || h, '') || '] - ' AS prefix
+  FROM parts JOIN (SELECT 'd' || doc_id AS source_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^page\\s*[0-9]+$'))[1] AS h FROM documents) USING (source_id))"""
+
+
+@_query(
+    "chunk_sections",
+    f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM documents),
+    h AS (SELECT *, regexp_full_match(line, '.{{1,80}}ing[.]') AS head FROM l),
+    n AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY r) AS section FROM h),
+    s AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, section, max(CASE WHEN head THEN {_TRIM.format('line')} END) AS title, {_TRIM.format("coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY r), '')")} AS body FROM n GROUP BY doc_id, section),
+    {_pack_sql("SELECT * FROM s WHERE body <> ''", 2340, 288)},
+    o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY section, i) - 1 AS ordinal FROM parts)
+    SELECT source_id || ':' || ordinal || ':' || substr(sha256({_TRIM.format('content')}), 1, 16) AS chunk_id, CAST(ordinal AS INTEGER) AS ordinal, title AS section_title, CASE WHEN section > 0 THEN source_id || ':p0:s' || section END AS parent_id FROM o""",
+)
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from pages to chunks; every line of a document that ends in 'ing.' is made a heading."""
     marked = F.regexp_replace("text", r"(?m)^(.{1,80}ing\.)$", "## $1")
@@ -555,11 +615,11 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, events, "public.json").select(F.col("source_id").cast("long").alias("event_id"), "text")
 
 
-@_query("csv_row_pages", "SELECT 'r' || n_regionkey AS source_id, CAST(1 AS INTEGER) AS page, 'key: ' || n_nationkey || ', name: ' || n_name AS text FROM nation WHERE n_nationkey = n_regionkey OR n_nationkey < 5")
+@_query("csv_row_pages", "SELECT 'n' || n_nationkey AS source_id, CAST(1 AS INTEGER) AS page, 'key: ' || n_nationkey || ', name: ' || n_name AS text FROM nation")
 def csv_row_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "nation").where("n_nationkey = n_regionkey OR n_nationkey < 5")
+    rows = _table(spark, sf_dir, "nation")
     table = F.concat(F.lit("key,name\r\n"), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit('"\r\n'))
-    made = rows.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("source_id"), table.cast("binary").alias("bytes"))
+    made = rows.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source_id"), table.cast("binary").alias("bytes"))
     return _loaded(spark, made, "public.comma-separated-values-text").select("source_id", "page", "text")
 
 
@@ -691,21 +751,108 @@ def _engine(spark: SparkSession, **more):
     return Engine(spark, provider=BagEmbedder(32), **more)
 
 
-def _ingested(spark: SparkSession, sf_dir: str, **more):
+def _ingested(spark: SparkSession, sf_dir: str, embed: bool = True, **more):
     engine = _engine(spark, **more)
     docs = _documents(spark, sf_dir).where("length(text) > 0")
     rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("text").alias("kind"), F.lit("public.plain-text").alias("uti"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("path"), "text", F.lit(None).cast("binary").alias("bytes"))
-    engine.ingest(rows)
+    engine.ingest(rows, embed=embed)
     return engine
 
 
-@_query("embed_backfill")
+@_query("embed_backfill", f"WITH RECURSIVE {_INGESTED} SELECT chunk_id, CAST(32 AS INTEGER) AS dim FROM chunk")
 def embed_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest all documents, embed all chunks; (chunk_id, dim) of the vectors."""
     return _ingested(spark, sf_dir).store.read("vectors").select("chunk_id", "dim")
 
 
-@_query("answer_batch")
+# The chunk index in SQL: terms of prefix, text and source, then the pool of each benchmark question.
+_FOLDED = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}\p{{Co}}_-]+')"
+_CHUNK_INDEX = f"""{_INGESTED},
+tk AS (SELECT *, list_concat({_FOLDED.format('prefix || content')}, {_FOLDED.format('source_id')}) AS t FROM chunk),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk),
+post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY chunk_id, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS w FROM dfs, st)"""
+_POOLED = f"""WITH RECURSIVE {_CHUNK_INDEX},
+asked AS (SELECT query_id, strip_accents(lower(w)) AS term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]', ' ', 'g'), ' +'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS w FROM benchmark) GROUP BY ALL),
+hit AS (SELECT query_id, chunk_id, sum(times * ({_SCORE})) AS bm25 FROM asked JOIN post USING (term) JOIN idf USING (term), st GROUP BY query_id, chunk_id),
+pool AS (SELECT query_id, chunk_id, source_id, ordinal, prefix, content, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), source_id, ordinal) AS r FROM hit JOIN chunk USING (chunk_id) QUALIFY r <= 60)"""
+_WINDOW = "(SELECT string_agg(c.content, chr(10) || chr(10) ORDER BY c.ordinal) FROM chunk c WHERE c.source_id = {0}.source_id AND c.ordinal BETWEEN {0}.ordinal - 1 AND {0}.ordinal + 1)"
+
+
+def _bag_sql(name: str, rows: str) -> str:
+    """CTE ``name`` (id, v): BagEmbedder(32) of the rows (id, text)."""
+    return f"""{name}_w AS (SELECT id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 32 AS k, CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) & 1 = 1 THEN 1 ELSE -1 END AS x FROM (SELECT id, sha256(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM ({rows}))),
+    {name}_s AS (SELECT id, k, sum(x) AS x FROM {name}_w GROUP BY id, k),
+    {name}_n AS (SELECT id, sqrt(sum(x * x)) AS n FROM {name}_s GROUP BY id),
+    {name} AS (SELECT i.id, list(CASE WHEN n > 0 THEN CAST(CAST(coalesce(s.x, 0) / n AS FLOAT) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ORDER BY d.k) AS v FROM {name}_n i CROSS JOIN (SELECT range AS k FROM range(32)) d LEFT JOIN {name}_s s ON s.id = i.id AND s.k = d.k GROUP BY i.id)"""
+
+
+_HYBRID = f"""{_POOLED},
+{_bag_sql('cv', "SELECT DISTINCT chunk_id AS id, prefix || content AS text FROM pool")},
+{_bag_sql('qv', 'SELECT item_id AS id, text FROM benchmark')},
+sim AS (SELECT pool.*, list_cosine_similarity(cv.v, qv.v) AS cosine, min(bm25) OVER p AS low, max(bm25) OVER p AS high FROM pool JOIN cv ON cv.id = chunk_id JOIN qv ON qv.id = query_id WINDOW p AS (PARTITION BY query_id)),
+fused AS (SELECT *, 0.5 * CASE WHEN high = low THEN 1.0 ELSE (high - bm25) / (high - low) END + 0.5 * least(1.0, greatest(0.0, (cosine + 1) / 2)) AS score FROM sim),
+best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) = 1),
+top AS (SELECT query_id, source_id, bm25, cosine, score, {_WINDOW.format('best')} AS text FROM best)"""
+
+
+@_query("engine_search", f"""WITH RECURSIVE {_CHUNK_INDEX}, s AS (SELECT chunk_id, sum({_SCORE}) AS s FROM post JOIN idf USING (term), st WHERE term IN ('nicht', 'que') GROUP BY chunk_id)
+    SELECT source_id, CAST(0 AS INTEGER) AS page, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY round(s, 9), source_id, ordinal) AS INTEGER) AS rank FROM s JOIN chunk USING (chunk_id) QUALIFY rank <= 10""")
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest all documents and answer a match expression from the postings."""
+    found = _ingested(spark, sf_dir, embed=False).search("nicht OR que", 10)
+    return found.select("source_id", "page", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(
+    "engine_context",
+    f"""{_POOLED},
+    walk AS (SELECT query_id, 0 AS r, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM pool)
+      UNION ALL
+      SELECT walk.query_id, pool.r, CASE WHEN list_contains(used, source_id || ':' || ordinal) OR len(kept) >= 3 THEN used ELSE list_concat(used, [source_id || ':' || (ordinal - 1), source_id || ':' || ordinal, source_id || ':' || (ordinal + 1)]) END,
+        CASE WHEN list_contains(used, source_id || ':' || ordinal) OR len(kept) >= 3 THEN kept ELSE list_append(kept, pool.r) END
+      FROM walk JOIN pool ON pool.query_id = walk.query_id AND pool.r = walk.r + 1),
+    fin AS (SELECT query_id, arg_max(kept, r) AS kept FROM walk GROUP BY query_id),
+    place AS (SELECT query_id, unnest(kept) AS r, generate_subscripts(kept, 1) AS rank FROM fin)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, pool.source_id, round(bm25, 6) AS score, sha256({_WINDOW.format('pool')}) AS digest FROM place JOIN pool USING (query_id, r)""",
+)
+def engine_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest all documents; three passages with their neighbours for every benchmark text, by words alone."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = _ingested(spark, sf_dir, embed=False).search_with_context(asked, 3, 1)
+    return found.select("query_id", "rank", "source_id", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("digest"))
+
+
+@_query("engine_hybrid", f"{_HYBRID} SELECT query_id, source_id, round(bm25, 6) AS bm25, round(cosine, 6) AS cosine, round(score, 6) AS score, sha256(text) AS digest FROM top")
+def engine_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest and embed all documents; the best passage by words and vectors for every benchmark text."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = _ingested(spark, sf_dir).search_hybrid(asked, 1, 1)
+    return found.select("query_id", "source_id", *[F.round(c, 6).alias(c) for c in ("bm25", "cosine", "score")], F.sha2("text", 256).alias("digest"))
+
+
+@_query(
+    "engine_upkeep",
+    f"""WITH RECURSIVE {_INGESTED}, n AS (SELECT source_id, count(*) AS chunks FROM chunk GROUP BY source_id)
+    SELECT source_id, CAST(CASE WHEN source_id = 'd1' THEN 1 ELSE chunks END AS INTEGER) AS chunks, CAST(CASE WHEN source_id = 'd1' THEN 2 ELSE 0 END AS BIGINT) AS tags FROM n WHERE source_id <> 'd0'""",
+)
+def engine_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest all documents, delete one source, put another text and tags in place of a second, and list the sources."""
+    engine = _ingested(spark, sf_dir, embed=False)
+    engine.delete("d0")
+    engine.set_tags("d1", ["red", "blue", "red"])
+    engine.ingest_text("Another text altogether.", "d1")  # tags stay
+    tags = engine.store.read("tags").groupBy("source_id").agg(F.count("*").alias("tags"))
+    return engine.store.read("sources").join(tags, "source_id", "left").select("source_id", "chunks", F.coalesce("tags", F.lit(0)).alias("tags"))
+
+
+@_query(
+    "answer_batch",
+    f"""{_HYBRID}, w AS (SELECT query_id, score, split_part(text, chr(10), 1) AS line FROM top)
+    SELECT query_id, trim(CASE WHEN regexp_matches(line, '^.+?[.!?](\\s|$)') THEN regexp_extract(line, '^(.+?[.!?])(\\s|$)', 1) ELSE line END) || ' [1]' AS text,
+      CAST(1 AS INTEGER) AS n_citations, round(least(1, greatest(0, score)), 6) AS confidence, false AS refused FROM w""",
+)
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a question to an index of all documents."""
     from .sources.generators import FirstSentenceGenerator
@@ -715,7 +862,7 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.answer(asked).select("query_id", "text", F.size("citations").alias("n_citations"), F.round("confidence", 6).alias("confidence"), "refused")
 
 
-@_query("docx_load")
+@_query("docx_load", "SELECT CAST(n_nationkey AS VARCHAR) AS source_id, n_name || chr(10) || 'end' AS text FROM nation")
 def docx_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as small word-processing documents."""
     def packed(name: str) -> bytes:
@@ -729,13 +876,13 @@ def docx_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, rows, "org.openxmlformats.wordprocessingml.document").select("source_id", "text")
 
 
-@_query("stream_ingest")
+@_query("stream_ingest", "SELECT CAST(0 AS INTEGER) AS ordinal, r_name || ' is a region.' AS content FROM region")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a directory as a stream of ingests; the chunks that result."""
     from .streaming.ingest import ingest_stream
 
-    at = tempfile.mkdtemp(prefix="passages-stream-")
-    _table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(" is a region."))).coalesce(2).write.text(f"{at}/in")
+    at = scratch_dir(spark, "stream")
+    _table(spark, sf_dir, "region").repartitionByRange(5, "r_regionkey").select(F.concat("r_name", F.lit(" is a region."))).write.text(f"{at}/in")
     engine = _engine(spark)
     ingest_stream(engine, f"{at}/in", f"{at}/checkpoint", "*.txt").awaitTermination()
     return engine.store.read("chunks").select("ordinal", "content")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vector import cosine
+from ..functions.vector import cosine, norm
 from ..operators import match, rank, windows
 from ..operators.index import GAP, MATCH_COLUMNS, IndexStore, filtered
 from ..operators.rerank import mmr, mmr_index, window_dedup
@@ -133,9 +133,15 @@ def score_vectors(rows: DataFrame, query_vectors: DataFrame, key: str, block: in
     """
     n = query_vectors.count()
     blocks = max(1, -(-n // block))
+    # Lengths are computed once for each vector, not for each pair.
+    rows = rows.select(key, "vec", norm(F.col("vec")).alias("__n"))
+    asked = query_vectors.select("query_id", "query_vec", norm(F.col("query_vec")).alias("__q"))
+    same, both = F.size("vec") == F.size("query_vec"), F.col("__n") * F.col("__q")
+    inner = F.aggregate(F.zip_with("vec", "query_vec", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    score = F.when(~same, cosine(F.col("vec"), F.col("query_vec"))).when(both > 0, inner / both).otherwise(F.lit(0.0))
     out = None
     for b in range(blocks):
-        part = query_vectors if blocks == 1 else query_vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        one = rows.crossJoin(F.broadcast(part)).select("query_id", key, "vec", cosine(F.col("vec"), F.col("query_vec")).alias("score"))
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        one = rows.crossJoin(F.broadcast(part)).select("query_id", key, "vec", score.alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
