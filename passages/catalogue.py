@@ -23,7 +23,7 @@ from .operators import chunking, match, rank, rerank, windows
 from .plans import evaluate
 from .plans.retrieve import score_vectors
 from .session import scratch_dir, spread
-from .schema import AnswerPolicy, ChunkingConfig, MMRConfig
+from .schema import AnswerPolicy, ChunkingConfig, MMRConfig, RetrievalFilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -751,11 +751,11 @@ def _engine(spark: SparkSession, **more):
     return Engine(spark, provider=BagEmbedder(32), **more)
 
 
-def _ingested(spark: SparkSession, sf_dir: str, embed: bool = True, **more):
+def _ingested(spark: SparkSession, sf_dir: str, embed: bool = True, tags=None, **more):
     engine = _engine(spark, **more)
-    docs = _documents(spark, sf_dir).where("length(text) > 0")
+    docs = spread(_documents(spark, sf_dir).where("length(text) > 0"))  # an empty text has no chunk
     rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("text").alias("kind"), F.lit("public.plain-text").alias("uti"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("path"), "text", F.lit(None).cast("binary").alias("bytes"))
-    engine.ingest(rows, embed=embed)
+    engine.ingest(rows, tags(docs) if tags else None, embed=embed)
     return engine
 
 
@@ -886,3 +886,152 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _engine(spark)
     ingest_stream(engine, f"{at}/in", f"{at}/checkpoint", "*.txt").awaitTermination()
     return engine.store.read("chunks").select("ordinal", "content")
+
+
+@_query(
+    "engine_filters",
+    f"""WITH RECURSIVE {_CHUNK_INDEX}, s AS (SELECT chunk_id, sum({_SCORE}) AS s FROM post JOIN idf USING (term), st WHERE term IN ('nicht', 'que') GROUP BY chunk_id),
+    kept AS (SELECT source_id, CASE WHEN CAST(substr(source_id, 2) AS BIGINT) % 3 = 0 THEN 'tags' ELSE 'scope' END AS filter, s, ordinal FROM s JOIN chunk USING (chunk_id)
+      WHERE CAST(substr(source_id, 2) AS BIGINT) % 3 = 0 OR CAST(substr(source_id, 2) AS BIGINT) < 150)
+    SELECT filter, source_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY filter ORDER BY round(s, 9), source_id, ordinal) AS INTEGER) AS rank FROM kept QUALIFY rank <= 10""",
+)
+def engine_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters by tag, and by a set of sources with a range of pages and file types; statistics stay those of all chunks."""
+    engine = _ingested(spark, sf_dir, embed=False, tags=lambda docs: docs.where("doc_id % 3 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("third").alias("tag")))
+    kinds = {"tags": RetrievalFilter(tags={"third", "none"}), "scope": RetrievalFilter(source_ids={f"d{i}" for i in range(150) if i % 3}, page_range=(0, 3), file_types={"text"})}
+    found = [engine.search("nicht OR que", 10, where).select(F.lit(name).alias("filter"), "source_id", F.round("score", 6).alias("score"), "rank") for name, where in kinds.items()]
+    return found[0].unionByName(found[1])
+
+
+@_query(
+    "engine_vectors",
+    f"""WITH RECURSIVE {_INGESTED}, {_bag_sql('cv', "SELECT chunk_id AS id, prefix || content AS text FROM chunk")}, {_bag_sql('qv', 'SELECT item_id AS id, text FROM benchmark')},
+    sim AS (SELECT qv.id AS query_id, source_id, ordinal, chunk_id, list_cosine_similarity(cv.v, qv.v) AS score FROM qv, cv JOIN chunk ON chunk_id = cv.id),
+    best AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) = 1)
+    SELECT query_id, source_id, round(score, 6) AS score, sha256({_WINDOW.format('best')}) AS digest FROM best""",
+)
+def engine_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best passage by vectors alone for every benchmark text."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = _ingested(spark, sf_dir).search_vectors(asked, 1, 1)
+    return found.select("query_id", "source_id", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("digest"))
+
+
+@_query(
+    "prefix_by_model",
+    f"""WITH RECURSIVE {_INGESTED}, n AS (SELECT *, coalesce(lag(content) OVER w, '') AS l, coalesce(lead(content) OVER w, '') AS r FROM chunk WINDOW w AS (PARTITION BY source_id ORDER BY ordinal))
+    SELECT chunk_id, length(right(l, 800)) || ' ' || length(left(content, 1600)) || ' ' || length(left(r, 800)) AS prefix FROM n""",
+)
+def prefix_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context prefixes by a generator that counts the characters of the prompt's three parts."""
+    from .schema import EngineConfig, IndexingConfig
+    from .sources.generators import ModelPrefix
+
+    class Counting:
+        def generate(self, messages):
+            before, rest = messages[-1][1].split("\nBefore:\n", 1)[1].split("\nPassage:\n", 1)
+            passage, after = rest.rsplit("\nAfter:\n", 1)
+            return f"Answer: {len(before)} {len(passage)} {len(after)}."
+
+    engine = _ingested(spark, sf_dir, embed=False, config=EngineConfig(indexing=IndexingConfig(context_fn=ModelPrefix(Counting()))))
+    return engine.store.read("chunks").select("chunk_id", F.col("context_prefix").alias("prefix"))
+
+
+@_query("fake_vectors", "SELECT doc_id, list_transform(range(4), lambda i: CAST(CAST(0.01 * i + CAST('0x' || substr(sha256(text), 1, 2) AS BIGINT) + 1 AS FLOAT) AS DOUBLE)) AS vec FROM documents")
+def fake_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.embedders import ConstantEmbedder, embed
+
+    return embed(_documents(spark, sf_dir).select("doc_id", "text"), ConstantEmbedder(4), "text").select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
+
+
+@_query("local_embedder", "SELECT doc_id, [CAST(0.6 AS FLOAT)::DOUBLE, CAST(0.8 AS FLOAT)::DOUBLE] AS vec FROM documents")
+def local_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that each worker loads once; vectors are cut to the dimension and scaled to unit length."""
+    from .schema import EmbeddingModel
+    from .sources.embedders import LocalEmbedder, embed
+
+    provider = LocalEmbedder(EmbeddingModel("three-four", 2), lambda: lambda texts: [[3.0, 4.0, 12.0]] * len(texts))
+    return embed(_documents(spark, sf_dir).select("doc_id", "text"), provider, "text").select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def _as_bytes(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    return _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), text.cast("binary").alias("bytes"))
+
+
+_PLAIN = r"replace(text, ' ', chr(13) || chr(10))"
+
+
+@_query("load_plain", f"SELECT CAST(doc_id AS VARCHAR) AS source_id, sha256(replace(replace({_PLAIN}, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents")
+def load_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text with other line ends."""
+    rows = _as_bytes(spark, sf_dir, F.replace("text", F.lit(" "), F.lit("\r\n")))
+    return _loaded(spark, rows, "public.plain-text").select("source_id", F.sha2("text", 256).alias("digest"))
+
+
+@_query("load_markdown", "SELECT CAST(doc_id AS VARCHAR) AS source_id, sha256('# ' || replace(text, ' ', '-' || chr(10))) AS digest FROM documents")
+def load_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown keeps its marks, and hyphens at line ends."""
+    rows = _as_bytes(spark, sf_dir, F.concat(F.lit("# "), F.replace("text", F.lit(" "), F.lit("-\r\n"))))
+    return _loaded(spark, rows, "net.daringfireball.markdown").select("source_id", F.sha2("text", 256).alias("digest"))
+
+
+@_query(
+    "load_pdf",
+    """WITH p AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), [''])) AS t, generate_subscripts(list_concat(string_split(text, chr(10)), ['']), 1) - 1 AS page FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(page AS INTEGER) AS page, sha256(CASE WHEN length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) = 0 THEN 'read ' || page
+      WHEN length(regexp_replace(t, '[\\s\\p{Z}]', '', 'g')) >= 64 AND length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) < 0.1 * length(regexp_replace(t, '[\\s\\p{Z}]', '', 'g')) THEN 'read ' || page ELSE t END) AS digest FROM p""",
+)
+def load_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that takes lines for pages, and a recogniser for those without text."""
+    from .sources.loaders import load
+
+    rows = _as_bytes(spark, sf_dir, F.concat("text", F.lit("\n")))
+    made = rows.select("source_id", F.lit("data").alias("kind"), F.lit("com.adobe.pdf").alias("uti"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("text"), "bytes")
+    pages = load(made, pdf=lambda data: data.decode().replace("a", "\xada").split("\n"), ocr=lambda data, page: f"read {page}")
+    return pages.select("source_id", "page", F.sha2("text", 256).alias("digest"))
+
+
+@_query("load_image", "SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(0 AS INTEGER) AS page, CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(octet_length(encode(text)) AS VARCHAR) END AS text FROM documents WHERE text <> ''")
+def load_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recogniser that tells the size of an image, and fails for some."""
+    from .sources.loaders import load
+
+    rows = _documents(spark, sf_dir).where("text <> ''").select(F.col("doc_id").cast("string").alias("source_id"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("!"), "text")).otherwise(F.col("text")).cast("binary").alias("bytes"))
+    made = rows.select("source_id", F.lit("data").alias("kind"), F.lit("public.png").alias("uti"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("text"), "bytes")
+
+    def size(data: bytes) -> str:
+        if data[:1] == b"!":
+            raise ValueError("unreadable")
+        return str(len(data))
+
+    return load(made, ocr=size).select("source_id", "page", "text")
+
+
+_WORDS = r"string_split(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ')"
+
+
+@_query(
+    "snippet",
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), l AS (SELECT doc_id, w, list_transform(w, lambda x: lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}_-]', '', 'g'))) AS f FROM w),
+    s AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 18) + 1)) AS a, f FROM l),
+    c AS (SELECT doc_id, w, a, len(list_filter({list(TERMS)}, lambda t: list_contains(f[a + 1 : a + 18], t))) AS n FROM s),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a) = 1)
+    SELECT doc_id, CASE WHEN a > 0 THEN '…' ELSE '' END || array_to_string(w[a + 1 : a + 18], ' ') || CASE WHEN a + 18 < len(w) THEN '…' ELSE '' END AS snippet FROM b""",
+)
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eighteen words of each document with the most of three terms."""
+    terms = F.array(*[F.lit(t) for t in TERMS])
+    return spread(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", windows.snippet(F.col("text"), terms).alias("snippet"))
+
+
+@_query("answer_metrics", """WITH a AS (SELECT conv_id % 2 = 0 AS must, turn % 3 = 0 AS no, contains(lower(text), 'the') AS the, conv_id % 5 = 0 AS asked FROM conversations)
+    SELECT CAST(count(*) AS BIGINT) AS queries, round(coalesce(avg(CASE WHEN NOT no THEN 0.5 END), 0), 6) AS citation_coverage,
+      round(coalesce(avg(CASE WHEN asked THEN CASE WHEN the AND NOT no THEN 1.0 ELSE 0.0 END END), 0), 6) AS expected_contained, round(avg(CASE WHEN no = must THEN 1.0 ELSE 0.0 END), 6) AS refusal_correct FROM a""")
+def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of replies of two sentences of which one is marked, or of refusals."""
+    rows = _table(spark, sf_dir, "conversations").withColumn("query_id", F.concat_ws(":", "conv_id", "turn"))
+    flat = F.regexp_replace("text", r"[.!?\[\]]", " ")
+    answers = rows.select("query_id", F.when(F.col("turn") % 3 == 0, F.lit("sorry, no")).otherwise(F.concat(flat, F.lit(" x. Marked [1]."))).alias("text"))
+    judged = rows.select("query_id", F.when(F.col("conv_id") % 5 == 0, F.array(F.lit("THE"))).alias("expected_answer_contains"), (F.col("conv_id") % 2 == 0).alias("must_refuse"))
+    out = evaluate.answer_metrics(answers, judged, "sorry, no")
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in ("citation_coverage", "expected_contained", "refusal_correct")])

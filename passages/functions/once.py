@@ -14,3 +14,8 @@ def once(*columns: Column) -> Column:
     expressions a second time.
     """
     return F.inline(F.array(F.struct(*columns)))
+
+
+def let(value: Column, then) -> Column:
+    """then(value) inside an expression, with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.once import once
+from ..functions.once import let, once
 from ..schema import ChunkingConfig
 
 #: Identifiers whose pages are table rows: they have no running lines.
@@ -51,11 +51,6 @@ def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, mi
     return marked.select(*[text.alias("text") if c == "text" else F.col(c) for c in pages.columns])
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def sections(pages: DataFrame) -> DataFrame:
     """(source_id, name, page, section, title, parent_id, body): a page's parts between headings.
 
@@ -81,8 +76,8 @@ def sections(pages: DataFrame) -> DataFrame:
             head = F.get(heads, i)
             path = F.concat(F.filter(acc["path"], lambda h: h["level"] < head["h"]["level"]), F.array(head["h"].cast("struct<level:int,title:string>")))
             stop = F.coalesce(F.get(heads, i + 1)["at"], last)
-            made = _let(path, lambda p: F.struct(p.alias("path"), F.struct((i + 1).alias("n"), F.transform(p, lambda h: h["title"]).alias("titles"), (head["at"] + 1).alias("start"), stop.alias("stop")).cast(part).alias("part")))
-            return _let(made, lambda m: F.struct(m["path"].alias("path"), F.concat(acc["done"], F.array(m["part"])).alias("done")))
+            made = let(path, lambda p: F.struct(p.alias("path"), F.struct((i + 1).alias("n"), F.transform(p, lambda h: h["title"]).alias("titles"), (head["at"] + 1).alias("start"), stop.alias("stop")).cast(part).alias("part")))
+            return let(made, lambda m: F.struct(m["path"].alias("path"), F.concat(acc["done"], F.array(m["part"])).alias("done")))
 
         before = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("titles"), F.lit(0).alias("start"), F.coalesce(F.get(heads, F.lit(0))["at"], last).alias("stop")).cast(part)
         begin = F.struct(F.array().cast(path_of).alias("path"), F.array(before).alias("done"))
@@ -93,7 +88,7 @@ def sections(pages: DataFrame) -> DataFrame:
 
     # Pages without a heading mark, which are most, are one part and are not split.
     whole = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("titles"), F.col("text").alias("body")))
-    cut = F.when(F.col("text").rlike(r"(?m)^[\s\p{Z}]*#{1,6} "), _let(_let(F.split("text", "\n"), located), parts)).otherwise(whole)
+    cut = F.when(F.col("text").rlike(r"(?m)^[\s\p{Z}]*#{1,6} "), let(let(F.split("text", "\n"), located), parts)).otherwise(whole)
     rows = pages.select("source_id", "name", "page", once(cut.alias("parts"))).select("source_id", "name", "page", F.explode("parts").alias("p"))
     title = F.when(F.size("p.titles") > 0, F.array_join("p.titles", " > "))
     parent = F.when(F.col("p.n") > 0, F.concat(F.col("source_id"), F.lit(":p"), F.col("page").cast("string"), F.lit(":s"), F.col("p.n").cast("string")))
@@ -145,13 +140,13 @@ def pack(units: Column, joiner: Column, config: ChunkingConfig = ChunkingConfig(
         return F.zip_with(parts, ends, lambda p, e: F.when(p["tail"], F.concat(e, F.lit("\n"), p["own"])).otherwise(p["own"]))
 
     def packed(u: Column) -> Column:
-        return _let(F.struct(u.alias("units"), cuts_of(u).alias("cuts")), own)
+        return let(F.struct(u.alias("units"), cuts_of(u).alias("cuts")), own)
 
     def cuts_of(u: Column) -> Column:
-        return _let(F.transform(u, lambda x: F.length(x)), cuts)
+        return let(F.transform(u, lambda x: F.length(x)), cuts)
 
-    parts = _let(units, packed)
-    return _let(parts, texts) if overlap else F.transform(parts, lambda p: p["own"])
+    parts = let(units, packed)
+    return let(parts, texts) if overlap else F.transform(parts, lambda p: p["own"])
 
 
 def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:

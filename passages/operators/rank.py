@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.once import once
+from ..functions.once import let, once
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -18,11 +18,6 @@ LEAST_IDF = 1e-6
 PLACES = 9
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def term_groups(placed: Column) -> Column:
     """Array of (term, spots) of the distinct terms of an array of (term, spot), by sorting it in the row: no shuffle."""
 
@@ -37,7 +32,7 @@ def term_groups(placed: Column) -> Column:
 
         return F.transform(y["starts"], one)
 
-    return F.when(F.size(placed) > 0, _let(_let(F.sort_array(placed), cut), grouped))
+    return F.when(F.size(placed) > 0, let(let(F.sort_array(placed), cut), grouped))
 
 
 def term_counts(terms: Column) -> Column:
@@ -50,7 +45,7 @@ def term_counts(terms: Column) -> Column:
     def counted(y: Column) -> Column:
         return F.transform(y["starts"], lambda a, k: F.struct(F.get(y["terms"], a).alias("term"), (F.coalesce(F.get(y["starts"], k + 1), F.size(y["terms"])) - a).alias("tf")))
 
-    return F.when(F.size(terms) > 0, _let(_let(F.sort_array(terms), cut), counted))
+    return F.when(F.size(terms) > 0, let(let(F.sort_array(terms), cut), counted))
 
 
 def postings(rows: DataFrame, key: str, terms: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.once import let
 from ..schema import EngineError
 
 
@@ -82,12 +83,24 @@ def fetch_document(chunk_rows: DataFrame, source_id: str, anchor: str | None = N
     return {"source_id": source_id, "text": text, "start_page": pages.a, "end_page": pages.b, "chunk_ids": [r.chunk_id for r in rows]}
 
 
-def snippet(text, terms, width: int = 18):
-    """The run of at most ``width`` words with the most distinct terms, the earliest of equals; … at cut ends."""
-    words = F.split(X.collapse(text), " ")
-    folded = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_-]", "")))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - width))
-    scored = F.transform(starts, lambda s: F.struct((-F.size(F.array_intersect(F.slice(folded, s + 1, width), terms))).alias("misses"), s.alias("at")))
-    best = F.array_min(scored)["at"]
-    shown = F.array_join(F.slice(words, best + 1, width), " ")
-    return F.concat(F.when(best > 0, "…").otherwise(""), shown, F.when(best + width < F.size(words), "…").otherwise(""))
+def snippet(text: Column, terms: Column, width: int = 18) -> Column:
+    """The run of at most ``width`` words with the most distinct terms, the earliest of equals; … at cut ends.
+
+    A run gains a term only where its last word is one, so only such runs, and the first, are looked at.
+    """
+
+    def found(words: Column) -> Column:
+        folded = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_-]", "")).alias("term")))
+        return F.struct(words.alias("words"), F.filter(folded, lambda x: F.array_contains(terms, x["term"])).alias("hits"))
+
+    def chosen(x: Column) -> Column:
+        starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(x["hits"], lambda h: F.greatest(F.lit(0), h["at"] - width + 1))))
+        inside = lambda s: F.size(F.filter(terms, lambda t: F.exists(x["hits"], lambda h: (h["term"] == t) & h["at"].between(s, s + width - 1))))
+        best = F.array_min(F.transform(starts, lambda s: F.struct((-inside(s)).alias("misses"), s.alias("at"))))
+        return F.struct(x["words"].alias("words"), best["at"].alias("at"))
+
+    def shown(x: Column) -> Column:
+        run = F.array_join(F.slice(x["words"], x["at"] + 1, F.lit(width)), " ")
+        return F.concat(F.when(x["at"] > 0, "…").otherwise(""), run, F.when(x["at"] + width < F.size(x["words"]), "…").otherwise(""))
+
+    return let(let(let(F.split(X.collapse(text), " "), found), chosen), shown)
