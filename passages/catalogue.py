@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .functions import grounding as G
 from .functions import text as X
 from .functions.once import once
-from .functions.vector import cosine
+from .functions.vector import cosine, from_blob, to_blob
 from .operators import chunking, match, rank, rerank, windows
 from .plans import evaluate
 from .plans.retrieve import score_vectors
@@ -448,30 +448,32 @@ def tableish_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "heading_parse",
-    r"""WITH l AS (SELECT doc_id, repeat('#', CAST(doc_id % 8 AS INTEGER)) || ' ' || text AS line FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents))
-    SELECT doc_id, CAST(length(regexp_extract(line, '^[\s\p{Z}]*(#{1,6}) +[\s\p{Z}]*[^\s\p{Z}]', 1)) AS INTEGER) AS level,
+    r"""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    l AS (SELECT doc_id, line_no, repeat('#', CAST((doc_id + line_no) % 8 AS INTEGER)) || ' ' || text AS line FROM t)
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(regexp_extract(line, '^[\s\p{Z}]*(#{1,6}) +[\s\p{Z}]*[^\s\p{Z}]', 1)) AS INTEGER) AS level,
       regexp_replace(regexp_extract(line, '^[\s\p{Z}]*#{1,6} +(.*)$', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title
     FROM l WHERE regexp_extract(line, '^[\s\p{Z}]*(#{1,6}) +[\s\p{Z}]*[^\s\p{Z}]', 1) <> ''""",
 )
 def heading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines behind 0 to 7 marks: one to six make a heading."""
-    line = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 8).cast("int")), F.lit(" "), F.substring_index("text", "\n", 1))
-    rows = _documents(spark, sf_dir).select("doc_id", X.heading(line).alias("h")).where("h IS NOT NULL")
-    return rows.select("doc_id", "h.level", "h.title")
+    """All lines behind 0 to 7 marks: one to six make a heading."""
+    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    line = F.concat(F.repeat(F.lit("#"), ((F.col("doc_id") + F.col("line_no")) % 8).cast("int")), F.lit(" "), "text")
+    rows = lines.select("doc_id", "line_no", X.heading(line).alias("h")).where("h IS NOT NULL")
+    return rows.select("doc_id", "line_no", "h.level", "h.title")
 
 
 @_query(
     "running_lines",
-    """WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, string_split(text, ' ') AS w FROM conversations),
-    e AS (SELECT 'first' AS "end", w[1] AS line FROM l UNION ALL SELECT 'last', w[len(w)] FROM l)
-    SELECT "end", line, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY "end", line QUALIFY row_number() OVER (PARTITION BY "end" ORDER BY n DESC, line) <= 2""",
+    r"""WITH l AS (SELECT list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+    e AS (SELECT 'first' AS "end", l[1] AS line FROM l UNION ALL SELECT 'last', l[len(l)] FROM l)
+    SELECT "end", line, CAST(count(*) AS BIGINT) AS n FROM e WHERE line IS NOT NULL GROUP BY "end", line QUALIFY row_number() OVER (PARTITION BY "end" ORDER BY n DESC, line) <= 10""",
 )
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two most frequent first and last words of turns: the counting half of the header filter."""
-    word = F.split("text", " ")
-    ends = _table(spark, sf_dir, "conversations").select(F.explode(F.array(F.struct(F.lit("first").alias("end"), F.get(word, F.lit(0)).alias("line")), F.struct(F.lit("last").alias("end"), F.element_at(word, -1).alias("line")))).alias("e"))
-    counts = ends.groupBy("e.end", "e.line").agg(F.count("*").alias("n"))
-    return rank.top_by(counts, "end", [F.desc("n"), F.col("line").asc()], 2).select("end", "line", "n")
+    """The ten most frequent first and last lines of documents: the counting half of the header filter."""
+    lines = X.lines(F.col("text"))
+    ends = _documents(spark, sf_dir).select(once(lines.alias("l"))).select(F.explode(F.array(F.struct(F.lit("first").alias("end"), F.get("l", F.lit(0)).alias("line")), F.struct(F.lit("last").alias("end"), F.when(F.size("l") > 0, F.element_at("l", -1)).alias("line")))).alias("e"))
+    counts = ends.where("e.line IS NOT NULL").groupBy("e.end", "e.line").agg(F.count("*").alias("n"))
+    return rank.top_by(counts, "end", [F.desc("n"), F.col("line").asc()], 10).select("end", "line", "n")
 
 
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -761,7 +763,7 @@ def _ingested(spark: SparkSession, sf_dir: str, embed: bool = True, tags=None, *
 
 @_query("embed_backfill", f"WITH RECURSIVE {_INGESTED} SELECT chunk_id, CAST(32 AS INTEGER) AS dim FROM chunk")
 def embed_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest all documents, embed all chunks; (chunk_id, dim) of the vectors."""
+    """Ingest all documents (an empty text has no chunk), embed all chunks; (chunk_id, dim) of the vectors."""
     return _ingested(spark, sf_dir).store.read("vectors").select("chunk_id", "dim")
 
 
@@ -1035,3 +1037,10 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rows.select("query_id", F.when(F.col("conv_id") % 5 == 0, F.array(F.lit("THE"))).alias("expected_answer_contains"), (F.col("conv_id") % 2 == 0).alias("must_refuse"))
     out = evaluate.answer_metrics(answers, judged, "sorry, no")
     return out.select("queries", *[F.round(c, 6).alias(c) for c in ("citation_coverage", "expected_contained", "refusal_correct")])
+
+
+@_query("vector_blob", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE embedding IS NOT NULL")
+def vector_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors to little-endian blobs and back."""
+    rows = _vectors(spark, sf_dir).where("vec IS NOT NULL")
+    return rows.select("vec_id", from_blob(to_blob(F.col("vec"))).cast("array<double>").alias("vec"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +29,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def from_blob(blob: Column) -> Column:
     """array<float> of a little-endian float32 blob; used only where such blobs are imported."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def read(x: pd.Series) -> pd.Series:
         return x.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
@@ -38,9 +37,6 @@ def from_blob(blob: Column) -> Column:
 
 
 def to_blob(vec: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def write(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

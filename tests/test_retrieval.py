@@ -197,11 +197,11 @@ def check(spark, reply, passages, fn):
 
 def test_grounding(spark):
     two = [("It opened in 1985 here", 0.9, "c1"), ("other", 0.5, "c2")]
-    assert check(spark, "A [1]. B [1][2].", two, G.confidence) == pytest.approx(0.7)
+    assert check(spark, "It runs [2]. It stops [2], as told [1].", two, G.confidence) == pytest.approx(0.7)
     assert check(spark, "[9]", two, G.confidence) == 0 and check(spark, "[99999999999]", two, G.confidence) == 0
     three = [*two, ("x", 2.0, "c3")]
-    assert [c.chunk_id for c in check(spark, "[2] [1] [2] [3]", three, G.resolve)] == ["c2", "c1", "c3"]
-    assert [c.chunk_id for c in check(spark, "[42] [1]", two[:1], G.resolve)] == ["c1"]
+    assert [c.chunk_id for c in check(spark, "Rain [3], wind [1] and rain [3] again, or sun [2]", three, G.resolve)] == ["c3", "c1", "c2"]
+    assert [c.chunk_id for c in check(spark, "Fog [17] or hail [1]", two[:1], G.resolve)] == ["c1"]
     text = lambda p: F.array_join(F.transform(p, lambda x: x["text"]), "\n")
     assert check(spark, '"opened in 1985" and "invented"', two, lambda a, p: G.quote_grounding(a, text(p))) == 0.5
     assert check(spark, "1985 or 9999", two, lambda a, p: G.numeric_consistency(a, text(p))) == 0.5

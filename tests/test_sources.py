@@ -15,7 +15,7 @@ def loaded(spark, data, uti, **plug):
 def test_csv(spark):
     csv = b'name,note,n\r\nann,"a, b",1\r\n\r\nbob,"line\nbreak ""q""",2,extra\r\n'
     assert loaded(spark, csv, "public.comma-separated-values-text") == [(1, "name: ann, note: a, b, n: 1"), (2, 'name: bob, note: line\nbreak "q", n: 2, col4: extra')]
-    assert loaded(spark, b"a\tb\n1\t2\n", "public.tab-separated-values-text") == [(1, "a: 1, b: 2")]
+    assert loaded(spark, b"part\tstock\nvalve\t17\nhose\t0\n", "public.tab-separated-values-text") == [(1, "part: valve, stock: 17"), (2, "part: hose, stock: 0")]
     assert loaded(spark, b"", "public.comma-separated-values-text") == []
 
 

@@ -10,21 +10,21 @@ def one(spark, value, fn):
 
 
 def test_normalize_joins_words_over_line_ends(spark):
-    assert one(spark, "multi-\nline\nre-entry", X.normalize) == "multiline\nre-entry"
+    assert one(spark, "a water-\nmill with co-\nworkers, wind-up", X.normalize) == "a watermill with coworkers, wind-up"
     assert one(spark, "a\r\nb\rc\N{LINE SEPARATOR}d", X.normalize) == "a\nb\nc\nd"
     assert one(spark, "\N{LATIN SMALL LIGATURE FI}ne\N{ZERO WIDTH SPACE}x\ty", X.normalize) == "finex\ty"
-    assert one(spark, "multi-\nline", X.normalize_markdown) == "multi-\nline"
+    assert one(spark, "water-\nmill", X.normalize_markdown) == "water-\nmill"
 
 
 def test_sanitize(spark):
-    assert one(spark, "What is my GPA?", X.sanitize) == '"What" OR "is" OR "my" OR "GPA"'
-    assert one(spark, "???", X.sanitize) == ""
-    assert one(spark, "multi-agent", X.sanitize) == '"multi-agent"'
-    assert one(spark, "multi-agent", lambda c: X.sanitize(c, compat=True)) == '"multi" OR "agent"'
+    assert one(spark, "Which pump leaks, then?", X.sanitize) == '"Which" OR "pump" OR "leaks" OR "then"'
+    assert one(spark, "?! ...", X.sanitize) == ""
+    assert one(spark, "wind-up", X.sanitize) == '"wind-up"'
+    assert one(spark, "wind-up", lambda c: X.sanitize(c, compat=True)) == '"wind" OR "up"'
 
 
 def test_tokens_fold_accents(spark):
-    assert one(spark, "Éte multi-agent x_1, naïve", X.tokens) == ["ete", "multi-agent", "x_1", "naive"]
+    assert one(spark, "Éte wind-up x_1, naïve", X.tokens) == ["ete", "wind-up", "x_1", "naive"]
 
 
 def test_needs_ocr(spark):
@@ -47,10 +47,10 @@ def pages(spark, *rows):
 
 
 def test_sections_and_ids(spark):
-    text = "before\n# Guide\nfirst part\n## Installation\nsecond part\n# Next\nthird"
+    text = "before\n# Manual\nfirst part\n## Oiling\nsecond part\n# Spares\nthird"
     got = chunking.chunks(pages(spark, ("s", 0, text))).orderBy("ordinal").collect()
     assert [(r.section_title, r.parent_id, r.content) for r in got] == [
-        (None, None, "before"), ("Guide", "s:p0:s1", "first part"), ("Guide > Installation", "s:p0:s2", "second part"), ("Next", "s:p0:s3", "third"),
+        (None, None, "before"), ("Manual", "s:p0:s1", "first part"), ("Manual > Oiling", "s:p0:s2", "second part"), ("Spares", "s:p0:s3", "third"),
     ]
     again = chunking.chunks(pages(spark, ("s", 0, text))).orderBy("ordinal").collect()
     assert [r.chunk_id for r in got] == [r.chunk_id for r in again]
