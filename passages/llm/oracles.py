@@ -70,6 +70,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 #: The white space that lines are trimmed of, as in lines.py.
 _TRIMMED = "' ' || " + " || ".join(f"chr({c})" for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
+# Pages with an article, as all of the tables have: its text without inline marks, with a space for each other mark.
+OP1 = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '(?s)<!--.*?-->|<(script|style|nav|aside|form|footer)\b.*?</(script|style|nav|aside|form|footer)>', ' ', 'g') AS h FROM pages
+), t AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|em|strong|a|span)>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM a
+), d AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM t
+), s AS (
+  SELECT page_id, url, trim(regexp_replace(t, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS text FROM d
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM s
+"""
+
+
 # DuckDB has no crc32: one entry for each byte by the polynomial's rule, then a fold over the bytes.
 OP5 = """
 WITH poly AS (
@@ -122,4 +137,4 @@ FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
-SQL = {"op4_chat": OP4, "op5_sharding": OP5, "op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_topk": OP9}
+SQL = {"op1_html": OP1, "op4_chat": OP4, "op5_sharding": OP5, "op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_topk": OP9}
