@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import crc_mod, table
 from .oracles import SQL
 
@@ -14,13 +15,13 @@ from .oracles import SQL
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import main_text
 
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, predict
 
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("held_out", crc_mod("doc_id", 5) == 0)
     model = fit(docs, crc_mod("doc_id", 5) != 0)
     return predict(docs, model, ["doc_id", "held_out"])
 
@@ -52,7 +53,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("spans")
+    return decontaminate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("spans")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import tokens
 
-    return tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
