@@ -11,8 +11,9 @@ and decode(skip_special_tokens=False) for files of this kind: NFC, white space
 runs to one space, lower case, a split pattern, byte-level symbols, an
 end-of-word suffix, and special tokens found in the raw text.
 
-Defined cases: a null text counts as empty, which has no tokens; repeated rows
-get equal results; other columns are ignored, whatever they are called.
+Defined cases: a null text counts as empty, which has no tokens; an empty table
+gives no rows; very long texts are encoded whole; repeated rows get equal results;
+ties do not arise, as of equal ranks the first place goes first; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

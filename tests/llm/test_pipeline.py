@@ -56,6 +56,19 @@ def test_stages(spark, sf_dir):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, out.collect()))
 
 
+def test_repeated_rows_ties_and_long_texts(spark, sf_dir, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, lines, other = text(60_000), "\n".join(text(12) for _ in range(6)), text(40)
+    rows = [(1, long), (1, long), (2, long), (3, lines), (3, lines), (4, other), (4, text(40)), (None, text(30)), (5, None), (6, "x " * 30_000), (7, f"{other} more")]
+    spark.createDataFrame([(d, t, "xx", "s", len(t or ""), str(i), "x") for i, (d, t) in enumerate(rows)], CLASH).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of equal rows one stays, of copies the one with the least id; two texts that share an id are two documents, and 7 is near to 4.
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 3, 4, 4, 6]
+    assert max(r.n_tokens for r in got if r.doc_id == 1) >= 60_000
+
+
 def test_empty(spark, sf_dir, tmp_path):
     spark.createDataFrame([], CLASH).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
