@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import SQL as OP4
+from .secrets import ACCESS, ASSIGN, ENCODINGS, HEX
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -85,6 +86,77 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM s
 """
 
 
+_KIND_SQL = r"""SELECT doc_id, {k} AS k, f[i] AS v, {value} AS kept,
+    CAST(list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, regexp_split_to_array(t, '{pattern}') AS g, {group} AS w FROM d))"""
+
+
+def _kind(k: int, pattern: str, value: str = "true", group: str = "NULL") -> str:
+    return _KIND_SQL.format(k=k, pattern=pattern.replace("'", "''"), value=value, group=group.format(pattern.replace("'", "''")))
+
+
+def _tail_sql(z: str) -> str:
+    """The same rational approximation of the normal distribution as in secrets.py."""
+    t = f"(1.0 / (1.0 + 0.2316419 * least(abs({z}), 30.0)))"
+    upper = f"(exp(-pow(least(abs({z}), 30.0), 2) / 2) * 0.3989422804014327 * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"(CASE WHEN {z} < 0 THEN 1.0 - {upper} ELSE {upper} END)"
+
+
+def _two_sided_sql(z: str) -> str:
+    return f"least(1.0, 2.0 * {_tail_sql(f'abs({z})')})"
+
+
+_FITS = "WHEN regexp_full_match(body, '%s') THEN {'e': '%s', 'a': '%s'}"
+_FIT = "CASE " + " ".join(_FITS % (pattern, name, alphabet) for name, pattern, alphabet in ENCODINGS[:-1]) + " ELSE {'e': '%s', 'a': '%s'} END" % ENCODINGS[-1][::2]
+_LN = "-ln(greatest({0}, 1e-300))"
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT doc_id, k, s, s + length(v) AS e FROM (
+  {_kind(0, ASSIGN, "length(w[i]) >= 6", "regexp_extract_all(t, '{}', 2)")} UNION ALL {_kind(1, ACCESS, "length(f[i]) >= 20")} UNION ALL {_kind(2, HEX, "length(f[i]) >= 24")}) WHERE kept
+), tok AS (
+  SELECT doc_id, s, s + length(v) AS e, translate(regexp_replace(v, '=+$', ''), '-_=', '+/+') AS body FROM ({_kind(3, '[A-Za-z0-9+/_=-]{16,}')}) WHERE NOT regexp_full_match(v, '[0-9]+')
+), enc AS (
+  SELECT *, fit.e AS encoding, fit.a AS alphabet, length(fit.a) AS m, length(body) AS n FROM (SELECT *, {_FIT} AS fit FROM tok)
+), code AS (
+  SELECT * EXCLUDE (fit), list_transform(string_split(body, ''), lambda c: instr(alphabet, c) - 1) AS c FROM enc
+), meas AS (
+  SELECT *, CAST(m AS DOUBLE) / n * list_sum(list_transform(list_distinct(c), lambda y: pow(len(list_filter(c, lambda z: z = y)), 2))) - n AS chi,
+    list_sum(list_transform(range(1, n), lambda j: (c[j] - (m - 1) / 2) * (c[j + 1] - (m - 1) / 2))) / ((m * m - 1) / 12) / sqrt(n - 1) AS serial,
+    CAST(len(list_filter(range(1, n), lambda j: (c[j] < m / 2) <> (c[j + 1] < m / 2))) AS DOUBLE) AS turns,
+    length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g'), '[0-9]+', '0', 'g'), '[^aA0]+', '-', 'g')) - 1 AS changes,
+    CAST(m - 1 AS DOUBLE) AS free, CAST(n - 1 AS DOUBLE) AS places, n * greatest(m * 0.0667 - 1, 0.5) AS uneven
+  FROM code WHERE n >= 8
+), z AS (
+  SELECT *, (pow(greatest(chi, 0.0) / free, CAST(1 AS DOUBLE) / 3) - (1.0 - 2.0 / (9.0 * free))) / sqrt(2.0 / (9.0 * free)) AS z1, greatest(abs(turns - places / 2) - 0.5, 0.0) / sqrt(places / 4) AS z2,
+    (free + uneven - chi) / sqrt(2.0 * (free + 2.0 * uneven)) AS z3, (changes - places * 0.25 - 0.5) / sqrt(places * 0.25 * 0.75) AS z4 FROM meas
+), q AS (
+  SELECT *, {_LN.format(_two_sided_sql('z1'))} + {_LN.format(_two_sided_sql('z2'))} + {_LN.format(_two_sided_sql('serial'))} AS x, {_tail_sql('z3')} AS uniform, {_tail_sql('z4')} AS mixed FROM z
+), j AS (
+  SELECT *, {_LN.format('uniform')} + {_LN.format('mixed')} AS y, exp(-x) * (1.0 + x + x * x / 2) >= 0.001 AND encoding <> 'decimal' AS fair FROM q
+), p AS (
+  SELECT doc_id, s, e, n, CASE WHEN NOT fair THEN 1.0 WHEN encoding IN ('lower', 'upper') THEN uniform ELSE exp(-y) * (1.0 + y) END AS p FROM j
+  UNION ALL SELECT doc_id, s, e, n, 1.0 FROM enc WHERE n < 8
+), b AS (
+  SELECT *, CAST(least(greatest(floor(log2(greatest(n, 1) / 16) * 2), 0), 7) AS INTEGER) AS band, CAST(least(floor(-2 * log2(greatest(p, 1e-300))), 63) AS INTEGER) AS bin FROM p
+), h AS (
+  SELECT band, bin, sum(count(*)) OVER (PARTITION BY band ORDER BY bin DESC) AS seen, sum(count(*)) OVER (PARTITION BY band) AS total FROM b GROUP BY band, bin
+), lim AS (
+  SELECT band, min(bin) AS least FROM h WHERE pow(2.0, -bin / 2) * total <= 0.01 * seen GROUP BY band
+), found AS (
+  SELECT doc_id, k, s, e FROM base UNION ALL
+  SELECT doc_id, 3, s, e FROM b JOIN lim USING (band) WHERE bin >= least AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = b.doc_id AND base.s < b.e AND b.s < base.e)
+), named AS (
+  SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e AS span FROM found
+), g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3,
+    string_agg(span, ',' ORDER BY s, k, e) FILTER (k < 3) AS bases, string_agg(span, ',' ORDER BY s, k, e) AS spans FROM named GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, coalesce(n3, 0) AS n_random, sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 # DuckDB has no crc32: one entry for each byte by the polynomial's rule, then a fold over the bytes.
 OP5 = """
 WITH poly AS (
@@ -137,4 +209,4 @@ FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
-SQL = {"op1_html": OP1, "op4_chat": OP4, "op5_sharding": OP5, "op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_topk": OP9}
+SQL = {"op1_html": OP1, "op3_secrets": OP3, "op4_chat": OP4, "op5_sharding": OP5, "op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_topk": OP9}
