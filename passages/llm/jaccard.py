@@ -56,7 +56,7 @@ SMALL_GROUP = 8
 #: Sets in a part of a larger group; two parts meet in a task.
 PART = 1024
 #: Entries that a task gathers before it sends them, and entries of a bucket.
-FLUSH, BUCKET_ENTRIES = 600_000, 400_000
+FLUSH, BUCKET_ENTRIES = 300_000, 400_000
 #: Keys of candidate documents that may be broadcast (16 bytes each); above, texts are shuffled.
 BROADCAST_KEYS = 500_000
 
