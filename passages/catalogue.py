@@ -19,7 +19,7 @@ from .functions import grounding as G
 from .functions import text as X
 from .functions.once import once
 from .functions.vector import cosine, from_blob, to_blob
-from .operators import chunking, match, rank, rerank, windows
+from .operators import chunking, match, nearest, rank, rerank, windows
 from .plans import evaluate
 from .plans.retrieve import score_vectors
 from .session import scratch_dir, spread
@@ -291,10 +291,10 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, CAST(picked AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM step WHERE n = 5 AND picked IS NOT NULL""",
 )
 def mmr_whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MMR over all vectors, from pools that grow until the choice is exact."""
+    """MMR over all vectors, one pass for each of five places."""
     rows = _vectors(spark, sf_dir)
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
-    return rerank.mmr_index(score_vectors(rows, asked, "vec_id"), MMRConfig(0.7, 5), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return nearest.mmr_nearest(spread(rows), asked, "vec_id", MMRConfig(0.7, 5), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 # Windows and documents in part; conversations are the chunks

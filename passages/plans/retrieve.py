@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..functions.vector import cosine, norm
 from ..operators import match, rank, windows
 from ..operators.index import GAP, MATCH_COLUMNS, IndexStore, filtered
-from ..operators.rerank import mmr, mmr_index, window_dedup
+from ..operators.nearest import mmr_nearest, nearest
+from ..operators.rerank import mmr, window_dedup
 from ..schema import CITATION, EngineError, MMRConfig, RetrievalFilter
 from ..sources.embedders import EmbeddingProvider, embed
 
@@ -105,11 +106,10 @@ class Searcher:
             raise EngineError(412, "a search by vectors needs an embedding provider")
         vectors = self.store.read("vectors").where(F.col("index_id") == self.index_id).select("chunk_id", "vec")
         rows = filtered(self.chunks, self.store, where, source).select("chunk_id").join(vectors, "chunk_id")
-        scored = score_vectors(rows, self._query_vectors(queries), "chunk_id")
         if diversify is not None:
-            ranked = mmr_index(scored, diversify, limit)
+            ranked = mmr_nearest(rows, self._query_vectors(queries), "chunk_id", diversify, limit)
         else:
-            ranked = rank.top_by(scored.drop("vec"), "query_id", [F.round("score", rank.PLACES).desc(), F.col("chunk_id").asc()], rank.pool_size(limit))
+            ranked = nearest(rows, self._query_vectors(queries), "chunk_id", rank.pool_size(limit))
         ranked = ranked.select("query_id", "chunk_id", "rank", "score", F.col("score").alias("cosine"), F.lit(0.0).alias("bm25")).join(self.chunks, "chunk_id")
         return self._emitted(ranked, limit, expand, to_parent)
 
