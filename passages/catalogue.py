@@ -218,8 +218,7 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with an id divisible by 50 as queries against all."""
     rows = _vectors(spark, sf_dir)
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
-    top = rank.top_by(score_vectors(rows, asked, "vec_id").drop("vec"), "query_id", [F.round("score", rank.PLACES).desc(), F.col("vec_id").asc()], 10)
-    return top.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return nearest.nearest(spread(rows), asked, "vec_id", 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 _POOL = f"""WITH {_INDEX}, s AS (SELECT doc_id, sum({_SCORE}) AS s FROM post JOIN idf USING (term), st WHERE term IN ({_IN}) GROUP BY doc_id),
