@@ -7,6 +7,7 @@ chunks on the source, so texts of other sources are not gathered.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,12 @@ def _joined(rows: DataFrame, by: list[str], separator: str = "\n\n") -> DataFram
     return grouped.select(*by, F.transform("w", lambda x: x["n_id"]).alias("window_ids"), F.array_join(F.transform("w", lambda x: x["n_text"]), separator).alias("text"), F.size("w").alias("window_size"))
 
 
-def neighbours(hits: DataFrame, chunk_rows: DataFrame, expand: int, by: list[str] | None = None) -> DataFrame:
+def neighbours(hits: DataFrame, chunk_rows: DataFrame, expand: int, by: list[str] | None = None, sent: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """Hits with window_ids and text: the chunks of the source from ``expand`` before to as many after.
 
     Ordinals need not be dense: the range is of ranks within the source only if
-    they are, which holds for chunks as the engine writes them.
+    they are, which holds for chunks as the engine writes them. ``sent`` may
+    mark keys of few hits for a broadcast, so that texts of chunks are not dealt out.
     """
     if expand < 0:
         raise ValueError("expand is 0 or more")
@@ -34,16 +36,16 @@ def neighbours(hits: DataFrame, chunk_rows: DataFrame, expand: int, by: list[str
     near = chunk_rows.select(F.col("source_id"), F.col("ordinal").alias("n_ordinal"), F.col("chunk_id").alias("n_id"), F.col("content").alias("n_text"))
     # One row for each neighbour's ordinal: an equality join, which hash partitioning serves, in place of a range.
     wanted = hits.select(*by, "source_id", F.explode(F.sequence(F.col("ordinal") - expand, F.col("ordinal") + expand)).alias("n_ordinal"))
-    return hits.join(_joined(wanted.join(near, ["source_id", "n_ordinal"]), by), by)
+    return hits.join(_joined(sent(wanted).join(near, ["source_id", "n_ordinal"]), by), by)
 
 
-def parents(hits: DataFrame, chunk_rows: DataFrame, expand: int) -> DataFrame:
+def parents(hits: DataFrame, chunk_rows: DataFrame, expand: int, sent: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """As neighbours, but a hit with a parent has all chunks of that parent for its window."""
     by = ["query_id", "chunk_id"]
     near = chunk_rows.select("source_id", "parent_id", F.col("ordinal").alias("n_ordinal"), F.col("chunk_id").alias("n_id"), F.col("content").alias("n_text"))
     with_parent = hits.where("parent_id IS NOT NULL")
-    own = with_parent.join(_joined(with_parent.select(*by, "source_id", "parent_id").join(near.where("parent_id IS NOT NULL"), ["source_id", "parent_id"]), by), by)
-    return own.unionByName(neighbours(hits.where("parent_id IS NULL"), chunk_rows, expand))
+    own = with_parent.join(_joined(sent(with_parent.select(*by, "source_id", "parent_id")).join(near.where("parent_id IS NOT NULL"), ["source_id", "parent_id"]), by), by)
+    return own.unionByName(neighbours(hits.where("parent_id IS NULL"), chunk_rows, expand, sent=sent))
 
 
 def ascii_lower(text: Column) -> Column:

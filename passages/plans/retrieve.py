@@ -10,11 +10,21 @@ from ..functions.vector import cosine, norm
 from ..operators import match, rank, windows
 from ..operators.index import GAP, MATCH_COLUMNS, IndexStore, filtered
 from ..operators.nearest import mmr_nearest, nearest
+from ..operators.pool import pool, settled
 from ..operators.rerank import mmr, window_dedup
 from ..schema import CITATION, EngineError, MMRConfig, RetrievalFilter
 from ..sources.embedders import EmbeddingProvider, embed
 
 
+#: Rows of written hits that are broadcast; more are dealt out.
+SENT_ROWS = 1 << 19
+
+
+def _sent(hits: DataFrame) -> DataFrame:
+    """Hits as the small side of a join, if they are few."""
+    return F.broadcast(hits) if hits.count() <= SENT_ROWS else hits
+
+
 class Searcher:
     """An index opened for retrieval, as it was when opened."""
 
@@ -34,18 +44,20 @@ class Searcher:
 
     def hits(self, queries: DataFrame, limit: int, where: RetrievalFilter | None = None, source: str | None = None, hierarchical: bool = False) -> DataFrame:
         """The candidate pool: chunks with bm25 and rank; filters come after the scores and before the limit."""
-        scored = rank.bm25(self.posts, self.stats, self.terms(queries), "chunk_id").join(self.chunks, "chunk_id")
-        return self._pooled(filtered(scored, self.store, where, source, hierarchical), limit)
+        allowed = filtered(self.chunks.select("chunk_id", "ingest_seq", "source_id", "ordinal", "page"), self.store, where, source, hierarchical)
+        return self._texts(pool(self.posts.select("chunk_id", "term", "tf", "dl"), self.stats, self.terms(queries), allowed, limit))
 
-    def _pooled(self, scored: DataFrame, k: int) -> DataFrame:
-        order = [F.round("bm25", rank.PLACES).asc(), F.col("ingest_seq").asc(), F.col("source_id").asc(), F.col("ordinal").asc()]
-        return rank.top_by(scored, "query_id", order, k)
+    def _texts(self, found: DataFrame) -> DataFrame:
+        """Written hits with the columns of their chunks; texts of other chunks are not dealt out."""
+        return self.chunks.join(_sent(found), "chunk_id")
 
     def matched(self, expression: str, limit: int, where: RetrievalFilter | None = None, source: str | None = None, hierarchical: bool = True) -> DataFrame:
-        """The pool of one match expression, as query 0."""
+        """The pool of one match expression, as query 0; it is ranked by keys, before texts are read."""
         found = match.search_postings(self.posts, self.stats, "chunk_id", MATCH_COLUMNS, GAP, expression)
-        scored = found.withColumn("query_id", F.lit(0)).join(self.chunks, "chunk_id")
-        return self._pooled(filtered(scored, self.store, where, source, hierarchical), limit)
+        keys = self.chunks.select("chunk_id", "ingest_seq", "source_id", "ordinal", "page")
+        scored = filtered(found.withColumn("query_id", F.lit(0)).join(keys, "chunk_id"), self.store, where, source, hierarchical)
+        order = [F.round("bm25", rank.PLACES).asc(), F.col("ingest_seq").asc(), F.col("source_id").asc(), F.col("ordinal").asc()]
+        return self._texts(settled(rank.top_by(scored, "query_id", order, limit).select("query_id", "chunk_id", "bm25", "rank"), "matched"))
 
     def search(self, expression: str, limit: int = 10, where: RetrievalFilter | None = None, source: str | None = None) -> DataFrame:
         """(source_id, page, excerpt, score, rank) of a match expression."""
@@ -55,10 +67,11 @@ class Searcher:
         return found.select("source_id", "page", windows.snippet(F.col("content"), terms).alias("excerpt"), F.col("bm25").alias("score"), "rank")
 
     def _window(self, ranked: DataFrame, expand: int, to_parent: bool) -> DataFrame:
-        return windows.parents(ranked, self.chunks, expand) if to_parent else windows.neighbours(ranked, self.chunks, expand)
+        return windows.parents(ranked, self.chunks, expand, _sent) if to_parent else windows.neighbours(ranked, self.chunks, expand, sent=_sent)
 
     def _emitted(self, ranked: DataFrame, limit: int, expand: int, to_parent: bool) -> DataFrame:
         """Windows of the ranked hits, de-duplicated, with citations."""
+        ranked = settled(ranked, "ranked")
         wide = self._window(ranked, expand, to_parent)
         kept = window_dedup(wide, limit)
         names = self.store.read("sources").select("source_id", F.col("display_name").alias("source_name"), "file_type")
@@ -92,7 +105,9 @@ class Searcher:
             pooled = pooled.withColumn("vec", F.lit(None).cast("array<float>")).withColumn("cosine", F.lit(None).cast("double"))
         else:
             vectors = self.store.read("vectors").where(F.col("index_id") == self.index_id).select("chunk_id", "vec")
-            pooled = pooled.join(vectors, "chunk_id", "left").join(self._query_vectors(queries), "query_id", "left")
+            pooled = settled(pooled, "pooled")
+            own = vectors.join(_sent(pooled.select("chunk_id").distinct()), "chunk_id")
+            pooled = pooled.join(own, "chunk_id", "left").join(self._query_vectors(queries), "query_id", "left")
             pooled = pooled.withColumn("cosine", F.when(F.col("vec").isNotNull(), cosine(F.col("vec"), F.col("query_vec")))).drop("query_vec")
         fused = rank.fuse(pooled, weight).withColumnRenamed("rank", "pool_rank")
         ranked = rank.top_by(fused, "query_id", [F.round("score", rank.PLACES).desc(), F.col("pool_rank").asc()], rank.pool_size(limit))
@@ -110,8 +125,8 @@ class Searcher:
             ranked = mmr_nearest(rows, self._query_vectors(queries), "chunk_id", diversify, limit)
         else:
             ranked = nearest(rows, self._query_vectors(queries), "chunk_id", rank.pool_size(limit))
-        ranked = ranked.select("query_id", "chunk_id", "rank", "score", F.col("score").alias("cosine"), F.lit(0.0).alias("bm25")).join(self.chunks, "chunk_id")
-        return self._emitted(ranked, limit, expand, to_parent)
+        ranked = ranked.select("query_id", "chunk_id", "rank", "score", F.col("score").alias("cosine"), F.lit(0.0).alias("bm25"))
+        return self._emitted(self._texts(settled(ranked, "nearest")), limit, expand, to_parent)
 
     def retrieve(self, queries: DataFrame, limit: int = 5, expand: int = 1, diversify: MMRConfig | None = None, **options) -> DataFrame:
         """Hybrid with a provider, else lexical (whose scores are negative; diversity does not apply)."""
