@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,14 +16,25 @@ from ..schema import ChunkingConfig
 ROW_PAGES = ("public.comma-separated-values-text", "public.tab-separated-values-text")
 
 
-def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, min_repeat: int = 2) -> DataFrame:
+#: A page with a heading mark.
+HEADED = r"(?m)^[\s\p{Z}]*#{1,6} "
+
+
+def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, min_repeat: int = 2, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pages without running headers and footers.
 
     In sources of ``least_pages`` pages or more, the ``top`` most frequent first
     lines that stand on ``min_repeat`` pages or more are headers, last lines
     likewise footers (ties: the one on the earliest page); leading header and
     trailing footer lines are dropped, and so are blank lines of those pages.
+    ``settle`` writes a small table: then only lines of such sources are counted,
+    and no text is dealt out for sources without running lines.
     """
+    sizes = pages.groupBy("source_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    if settle is not None:
+        sizes = settle(sizes)
+        if sizes.isEmpty():
+            return pages
     rows = pages.withColumn("__lines", X.lines(F.col("text")))
     edge = F.explode(
         F.array(
@@ -31,15 +42,16 @@ def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, mi
             F.struct(F.lit("last").alias("end"), F.when(F.size("__lines") > 0, F.element_at("__lines", -1)).alias("line")),
         )
     )
-    counted = rows.where(~F.col("uti").isin(*ROW_PAGES)).select("source_id", "page", edge.alias("e")).where("e.line IS NOT NULL")
+    long = rows.join(sizes.select("source_id"), "source_id", "left_semi") if settle is not None else rows
+    counted = long.where(~F.col("uti").isin(*ROW_PAGES)).select("source_id", "page", edge.alias("e")).where("e.line IS NOT NULL")
     counts = counted.groupBy("source_id", "e.end", "e.line").agg(F.count("*").alias("n"), F.min("page").alias("at"))
-    sizes = pages.groupBy("source_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     rank = F.row_number().over(Window.partitionBy("source_id", "end").orderBy(F.desc("n"), "at", "line"))
     frequent = counts.where(F.col("n") >= min_repeat).withColumn("rank", rank).where(F.col("rank") <= top)
     running = frequent.join(sizes, "source_id").groupBy("source_id").agg(
         F.collect_list(F.when(F.col("end") == "first", F.col("line"))).alias("__heads"),
         F.collect_list(F.when(F.col("end") == "last", F.col("line"))).alias("__feet"),
     )
+    running = settle(running) if settle is not None else running
     marked = rows.join(running, "source_id", "left")
     # The first line that is no header, and the last that is no footer.
     places = F.sequence(F.lit(0), F.size("__lines") - 1)
@@ -88,11 +100,12 @@ def sections(pages: DataFrame) -> DataFrame:
 
     # Pages without a heading mark, which are most, are one part and are not split.
     whole = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("titles"), F.col("text").alias("body")))
-    cut = F.when(F.col("text").rlike(r"(?m)^[\s\p{Z}]*#{1,6} "), let(let(F.split("text", "\n"), located), parts)).otherwise(whole)
-    rows = pages.select("source_id", "name", "page", once(cut.alias("parts"))).select("source_id", "name", "page", F.explode("parts").alias("p"))
+    cut = F.when(F.col("text").rlike(HEADED), let(let(F.split("text", "\n"), located), parts)).otherwise(whole)
+    names = ["source_id", "name", "page", *[c for c in ("__header",) if c in pages.columns]]
+    rows = pages.select(*names, once(cut.alias("parts"))).select(*names, F.explode("parts").alias("p"))
     title = F.when(F.size("p.titles") > 0, F.array_join("p.titles", " > "))
     parent = F.when(F.col("p.n") > 0, F.concat(F.col("source_id"), F.lit(":p"), F.col("page").cast("string"), F.lit(":s"), F.col("p.n").cast("string")))
-    return rows.select("source_id", "name", "page", F.col("p.n").alias("section"), F.coalesce(title, none).alias("title"), parent.alias("parent_id"), X.trim(F.col("p.body")).alias("body")).where("body <> ''")
+    return rows.select(*names, F.col("p.n").alias("section"), F.coalesce(title, none).alias("title"), parent.alias("parent_id"), X.trim(F.col("p.body")).alias("body")).where("body <> ''")
 
 
 def pack(units: Column, joiner: Column, config: ChunkingConfig = ChunkingConfig()) -> Column:
@@ -149,24 +162,34 @@ def pack(units: Column, joiner: Column, config: ChunkingConfig = ChunkingConfig(
     return let(parts, texts) if overlap else F.transform(parts, lambda p: p["own"])
 
 
-def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
+def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig(), one_page: bool = False) -> DataFrame:
     """(chunk_id, source_id, name, ordinal, page, content, section_title, parent_id, content_hash).
 
     Ordinals run over a source in page and section order; the window that
-    numbers them holds chunk counts of sections, not texts.
+    numbers them meets the texts. If each source has one page (``one_page``), those
+    without a heading are one section, whose numbers need no window and no shuffle.
+    A column ``__header`` of the pages comes along.
     """
+    if one_page:
+        headed = F.coalesce(F.col("text").rlike(HEADED), F.lit(False))
+        return _numbered(pages.where(~headed), config, False).unionByName(_numbered(pages.where(headed), config, True))
+    return _numbered(pages, config, True)
+
+
+def _numbered(pages: DataFrame, config: ChunkingConfig, several: bool) -> DataFrame:
     rows = sections(pages)
     joiner = F.when(X.tableish(F.col("body")), "\n").otherwise(" ")
     texts = once(pack(X.units(F.col("body")), joiner, config).alias("texts"))
-    packed = rows.select("source_id", "name", "page", "section", "title", "parent_id", texts)
+    more = [c for c in ("__header",) if c in pages.columns]
+    packed = rows.select("source_id", "name", "page", "section", "title", "parent_id", *more, texts)
     before = Window.partitionBy("source_id").orderBy("page", "section").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)))
-    flat = numbered.select("source_id", "name", "page", "title", "parent_id", "first", F.posexplode("texts").alias("i", "content"))
+    numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)) if several else F.lit(0).cast("long"))
+    flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "content"))
     ordinal = (F.col("first") + F.col("i")).cast("int")
     digest = X.content_hash(F.col("content"))
     return flat.select(
         X.chunk_id(F.col("source_id"), ordinal, digest).alias("chunk_id"), "source_id", "name", ordinal.alias("ordinal"), "page", "content",
-        F.col("title").alias("section_title"), "parent_id", digest.alias("content_hash"),
+        F.col("title").alias("section_title"), "parent_id", digest.alias("content_hash"), *more,
     )
 
 
@@ -198,7 +221,7 @@ def _asked(context_fn, chunks: list[dict]) -> list[str | None]:
     return out
 
 
-def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cache: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame | None]:
     """Chunks with context_prefix, and the new rows of the prefix cache.
 
     Without a function the rule gives the prefix. With one, the cache is asked
@@ -207,8 +230,9 @@ def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cach
     prompt with the text before and after. A failure or an empty answer falls back to the rule, and what results is cached either way. A cached
     prefix is used even without a function.
     """
-    heads = pages.select("source_id", "page", page_header(F.col("text")).alias("__header"))
-    rows = chunk_rows.join(heads, ["source_id", "page"], "left")
+    rows = chunk_rows
+    if "__header" not in chunk_rows.columns:
+        rows = rows.join(pages.select("source_id", "page", page_header(F.col("text")).alias("__header")), ["source_id", "page"], "left")
     rows = rows.withColumn("__rule", rule_prefix(F.col("name"), F.col("page"), F.col("__header"))).withColumn("__key", X.cache_key(F.col("source_id"), F.col("page"), F.col("content")))
     if cache is not None:
         known = cache.select(F.col("key").alias("__key"), F.col("value").alias("__cached"))
@@ -240,5 +264,6 @@ def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cach
     flat = F.substring(X.trim(F.replace(raw, F.lit("\n"), F.lit(" "))), 1, 600)
     asked = F.when(flat != "", X.clean_prefix(flat) if getattr(context_fn, "prompted", False) else flat)
     rows = rows.withColumn("context_prefix", F.coalesce("__cached", asked, "__rule"))
+    rows = settle(rows)  # chunks and cache have the same answers, each asked for once
     made = rows.where("__cached IS NULL").select(F.col("__key").alias("key"), F.col("context_prefix").alias("value"), F.to_json(F.struct("source_id", "page")).alias("meta"), F.current_timestamp().alias("created_at"))
     return rows.drop("__rule", "__key", "__cached", "__header", "__prompt"), made.dropDuplicates(["key"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, windows
 from ..operators import index as ix
+from ..operators.pool import settled
 from ..session import scratch_dir
 from ..schema import AnswerPolicy, EngineConfig, EngineError, MMRConfig, RetrievalFilter
 from ..sources import loaders
@@ -77,17 +78,19 @@ class Engine:
         inputs = rows if isinstance(rows, DataFrame) else loaders.inputs(self.spark, rows)
         say("loading", 0, None)
         raw = loaders.load(inputs, self.pdf, self.ocr)
-        pages = chunking.strip_running_lines(raw).persist()
-        counts = pages.groupBy("source_id").agg(F.count("*").cast("int").alias("pages"))
-        say("loading", pages.count(), None)
-        made = chunking.chunks(pages, self.config.chunking)
+        if self.pdf or self.ocr:
+            raw = settled(raw, "raw")  # each page is read and recognised once
+        counts = settled(raw.groupBy("source_id").agg(F.count("*").cast("int").alias("pages")), "counts")
+        say("loading", counts.agg(F.sum("pages")).first()[0] or 0, None)
+        pages = chunking.strip_running_lines(raw, settle=lambda df: settled(df, "running"))
+        # The header comes along with its page, and texts are dealt out only for sources of several pages or sections.
+        headed = pages.withColumn("__header", chunking.page_header(F.col("text")))
+        made = chunking.chunks(headed, self.config.chunking, counts.where("pages > 1").isEmpty())
         cache, made_prefixes = self.store.read("prefixes"), None
         if self.config.indexing.use_prefix:
-            made, made_prefixes = chunking.with_prefixes(made, pages, self.config.indexing.context_fn, cache)
+            made, made_prefixes = chunking.with_prefixes(made, pages, self.config.indexing.context_fn, cache, lambda df: settled(df, "prefixed"))
         else:
-            made = made.withColumn("context_prefix", F.lit(""))
-        made = made.persist()
-        say("chunking", made.count(), None)
+            made = made.withColumn("context_prefix", F.lit("")).drop("__header")
         sources = inputs.select(
             "source_id", F.col("name").alias("display_name"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("url"), "uti", file_type(F.col("uti")).alias("file_type")
         ).dropDuplicates(["source_id"]).join(counts, "source_id", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
@@ -96,12 +99,10 @@ class Engine:
             tag_rows = tags.select("source_id", "tag")
         elif tags is not None:
             tag_rows = self.spark.createDataFrame([(s, t) for s, ts in tags.items() for t in ts], "source_id string, tag string")
-        ix.replace_sources(self.store, sources, made, tag_rows, made_prefixes, self.config.indexing.index_text)
+        ix.replace_sources(self.store, sources, made, tag_rows, made_prefixes, self.config.indexing.index_text, lambda rows: say("chunking", rows.count(), None))
         if embed and self.provider is not None:
             say("embedding", ix.backfill(self.store, self.config.index_id, self.provider, None, self.config.indexing.index_text), None)
         out = self.store.read("sources").join(sources.select("source_id"), "source_id", "left_semi").select("source_id", "pages", "chunks")
-        pages.unpersist()
-        made.unpersist()
         return out
 
     def ingest_async(self, rows: DataFrame | Iterable[dict], **options) -> Task:
