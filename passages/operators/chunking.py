@@ -16,6 +16,9 @@ from ..schema import ChunkingConfig
 ROW_PAGES = ("public.comma-separated-values-text", "public.tab-separated-values-text")
 
 
+#: Characters of neighbouring text that a prompt takes.
+CLIP = 800
+
 #: A page with a heading mark.
 HEADED = r"(?m)^[\s\p{Z}]*#{1,6} "
 
@@ -162,21 +165,22 @@ def pack(units: Column, joiner: Column, config: ChunkingConfig = ChunkingConfig(
     return let(parts, texts) if overlap else F.transform(parts, lambda p: p["own"])
 
 
-def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig(), one_page: bool = False) -> DataFrame:
+def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig(), one_page: bool = False, beside: bool = False) -> DataFrame:
     """(chunk_id, source_id, name, ordinal, page, content, section_title, parent_id, content_hash).
 
     Ordinals run over a source in page and section order; the window that
     numbers them meets the texts. If each source has one page (``one_page``), those
     without a heading are one section, whose numbers need no window and no shuffle.
-    A column ``__header`` of the pages comes along.
+    A column ``__header`` of the pages comes along. ``beside`` adds the texts
+    before and after a chunk in its source, clipped, ``__before`` and ``__after``.
     """
     if one_page:
         headed = F.coalesce(F.col("text").rlike(HEADED), F.lit(False))
-        return _numbered(pages.where(~headed), config, False).unionByName(_numbered(pages.where(headed), config, True))
-    return _numbered(pages, config, True)
+        return _numbered(pages.where(~headed), config, False, beside).unionByName(_numbered(pages.where(headed), config, True, beside))
+    return _numbered(pages, config, True, beside)
 
 
-def _numbered(pages: DataFrame, config: ChunkingConfig, several: bool) -> DataFrame:
+def _numbered(pages: DataFrame, config: ChunkingConfig, several: bool, beside: bool = False) -> DataFrame:
     rows = sections(pages)
     joiner = F.when(X.tableish(F.col("body")), "\n").otherwise(" ")
     texts = once(pack(X.units(F.col("body")), joiner, config).alias("texts"))
@@ -184,13 +188,23 @@ def _numbered(pages: DataFrame, config: ChunkingConfig, several: bool) -> DataFr
     packed = rows.select("source_id", "name", "page", "section", "title", "parent_id", *more, texts)
     before = Window.partitionBy("source_id").orderBy("page", "section").rowsBetween(Window.unboundedPreceding, -1)
     numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)) if several else F.lit(0).cast("long"))
-    flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "content"))
+    if beside and not several:  # one section is a whole source: its texts are in the row
+        near = F.transform("texts", lambda t, i: F.struct(t.alias("content"), F.substring(F.get("texts", i - 1), -CLIP, CLIP).alias("__before"), F.substring(F.get("texts", i + 1), 1, CLIP).alias("__after")))
+        flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", once(near.alias("texts")))
+        flat = flat.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "t")).select("*", "t.*")
+        more += ["__before", "__after"]
+    else:
+        flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "content"))
     ordinal = (F.col("first") + F.col("i")).cast("int")
     digest = X.content_hash(F.col("content"))
-    return flat.select(
+    made = flat.select(
         X.chunk_id(F.col("source_id"), ordinal, digest).alias("chunk_id"), "source_id", "name", ordinal.alias("ordinal"), "page", "content",
         F.col("title").alias("section_title"), "parent_id", digest.alias("content_hash"), *more,
     )
+    if beside and several:
+        order = Window.partitionBy("source_id").orderBy("ordinal")
+        made = made.withColumn("__before", F.substring(F.lag("content").over(order), -CLIP, CLIP)).withColumn("__after", F.substring(F.lead("content").over(order), 1, CLIP))
+    return made
 
 
 def page_header(text: Column) -> Column:
@@ -221,14 +235,17 @@ def _asked(context_fn, chunks: list[dict]) -> list[str | None]:
     return out
 
 
-def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cache: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame | None]:
+def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Chunks with context_prefix, and the new rows of the prefix cache.
 
     Without a function the rule gives the prefix. With one, the cache is asked
     first and the function only for what it lacks, an Arrow batch at a time if it
     has ``many(list of dicts)``; one with ``prompted`` set is a model, and gets a
-    prompt with the text before and after. A failure or an empty answer falls back to the rule, and what results is cached either way. A cached
-    prefix is used even without a function.
+    prompt with the text before and after: columns ``__before`` and ``__after`` if
+    there are, else that of the neighbouring rows. A failure or an empty answer
+    falls back to the rule, and what results is cached either way. A cached prefix
+    is used even without a function. To have each answer asked for once, write the
+    chunks and take the cache's rows from what was written, by cache_rows().
     """
     rows = chunk_rows
     if "__header" not in chunk_rows.columns:
@@ -244,7 +261,9 @@ def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cach
 
     if getattr(context_fn, "prompted", False):  # a model: it is asked with the neighbouring text
         order = Window.partitionBy("source_id").orderBy("ordinal")
-        left, right = F.coalesce(F.lag("content").over(order), F.lit("")), F.coalesce(F.lead("content").over(order), F.lit(""))
+        beside = "__before" in rows.columns
+        left, right = (F.col("__before"), F.col("__after")) if beside else (F.lag("content").over(order), F.lead("content").over(order))
+        left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
         rows = rows.withColumn("__prompt", X.clip_prompt(left, F.col("content"), right))
     else:
         rows = rows.withColumn("__prompt", F.lit(None).cast("string"))
@@ -264,6 +283,12 @@ def with_prefixes(chunk_rows: DataFrame, pages: DataFrame, context_fn=None, cach
     flat = F.substring(X.trim(F.replace(raw, F.lit("\n"), F.lit(" "))), 1, 600)
     asked = F.when(flat != "", X.clean_prefix(flat) if getattr(context_fn, "prompted", False) else flat)
     rows = rows.withColumn("context_prefix", F.coalesce("__cached", asked, "__rule"))
-    rows = settle(rows)  # chunks and cache have the same answers, each asked for once
-    made = rows.where("__cached IS NULL").select(F.col("__key").alias("key"), F.col("context_prefix").alias("value"), F.to_json(F.struct("source_id", "page")).alias("meta"), F.current_timestamp().alias("created_at"))
-    return rows.drop("__rule", "__key", "__cached", "__header", "__prompt"), made.dropDuplicates(["key"])
+    made = rows.drop("__rule", "__key", "__cached", "__header", "__prompt", "__before", "__after")
+    return made, cache_rows(made, cache)
+
+
+def cache_rows(chunk_rows: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Rows of the prefix cache for chunks with their prefixes, without those that it has."""
+    key = X.cache_key(F.col("source_id"), F.col("page"), F.col("content"))
+    fresh = chunk_rows.select(key.alias("key"), F.col("context_prefix").alias("value"), F.to_json(F.struct("source_id", "page")).alias("meta"), F.current_timestamp().alias("created_at"))
+    return (fresh if cache is None else fresh.join(cache.select("key"), "key", "left_anti")).dropDuplicates(["key"])

@@ -85,10 +85,11 @@ class Engine:
         pages = chunking.strip_running_lines(raw, settle=lambda df: settled(df, "running"))
         # The header comes along with its page, and texts are dealt out only for sources of several pages or sections.
         headed = pages.withColumn("__header", chunking.page_header(F.col("text")))
-        made = chunking.chunks(headed, self.config.chunking, counts.where("pages > 1").isEmpty())
+        made = chunking.chunks(headed, self.config.chunking, counts.where("pages > 1").isEmpty(), self.config.indexing.use_prefix and getattr(self.config.indexing.context_fn, "prompted", False))
         cache, made_prefixes = self.store.read("prefixes"), None
         if self.config.indexing.use_prefix:
-            made, made_prefixes = chunking.with_prefixes(made, pages, self.config.indexing.context_fn, cache, lambda df: settled(df, "prefixed"))
+            asked = self.config.indexing.context_fn is not None
+            made, made_prefixes = chunking.with_prefixes(made, pages, self.config.indexing.context_fn, cache)[0], (lambda rows: chunking.cache_rows(rows, cache)) if asked else None
         else:
             made = made.withColumn("context_prefix", F.lit("")).drop("__header")
         sources = inputs.select(
