@@ -1,24 +1,28 @@
-"""HTML extraction: page structure, and a suffix array per host for what structure leaves open.
+"""HTML extraction: page structure, and a suffix array per host that every page's text goes through.
 
 A page is read as blocks, each in one of three zones: the article (inside
 ``article``, or ``main`` if a page has no article), chrome (menus, headers,
 footers, asides, forms, adverts, notices, comments and the like, by element,
-role or class), or open. A page with an article has its text from there.
+role or class), or open. Its text is what the array leaves of its article, or of
+its open blocks if it has none. Every page is parsed once, into a written table.
 
-For pages without one, the token streams of a host's pages (open and chrome
+The token streams of a host's pages outside their articles (open and chrome
 blocks) form its suffix array, cut at depth ``DEPTH`` by prefix doubling: the
 suffixes that share their first DEPTH tokens are one interval, and a repeated run
 of DEPTH tokens or more is covered by those that begin in it, however long it is.
 A block of fewer tokens is an interval as a whole, as if marks stood around it.
 Each task sorts its suffixes and counts the pages of each interval, and intervals
-meet by host and name, so a large host is never in one task. Tokens are boilerplate
-if an interval covers them that stands on ``SHARE`` of the host's distinct pages,
-and on ``MIN_PAGES`` of them (on both, if there are two); the unique runs of open
-blocks are the page's text. Every page is parsed once, into a written table.
-
-The array alone does not give right results on pages with an article: copies of
-an article on one host repeat as boilerplate does, and unique adverts do not.
-There the structure decides.
+meet by host and name, so a large host is never in one task. An interval is
+boilerplate if it stands on ``SHARE`` of the host's distinct pages, and on
+``MIN_PAGES`` of them (on both, if there are two). Open tokens that it covers go.
+
+The suffixes of the articles are looked up in that array, all of them. Repetition
+alone is not enough there: copies of an article on one host and the license line of
+all of its articles repeat as boilerplate does, and a headline stands in the menus
+of other pages. So tokens of an article go where an interval of DEPTH tokens covers
+them that is boilerplate outside the articles and also stands in as many distinct
+articles of the host; shorter blocks of an article stay. What is unique and inside
+chrome (an advert, a comment) no array can tell; there the zones decide.
 
 Defined cases: null html is an empty text of 0 characters; broken or unclosed
 markup is read as far as it goes; a null url is a host of its own; repeated
@@ -38,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded_batches, written
+from .common import bounded_batches, forget, written
 
 DEPTH = 8  # a power of two
 MIN_PAGES = 3
 SHARE = 0.2
+#: Bits of the sieve for each interval, and in all at most (32 MB): a full sieve holds back less, but loses nothing.
+SIEVE_BITS, SIEVE_MOST, SIEVE_SHIFTS = 16, 1 << 28, (0, 18, 36)
 
 # Elements of HTML by their role here.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -171,15 +177,31 @@ def _best(parts: list[tuple[int, str]]) -> int:
     return max([z for z, _ in parts if z >= MAIN], default=OPEN)
 
 
+def _windows(first: np.ndarray) -> np.ndarray:
+    """Names of the windows of DEPTH tokens, by prefix doubling, from those of the tokens."""
+    name, step = first, 1
+    while step < DEPTH:
+        name = kernels.mix(name[:-step] * np.uint64(0x9E3779B97F4A7C15) + kernels.mix(name[step:] + np.uint64(step))) if len(name) > step else name[:0]
+        step *= 2
+    return name
+
+
+def _article_windows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, name, place) of all windows of DEPTH tokens inside each text; a null text has none."""
+    for row, end, data, offs in kernels.slices(texts):
+        first, begin = kernels.words(data, offs, kernels.SPACED)
+        name = _windows(first)
+        of = np.repeat(np.arange(row, end), np.diff(begin))
+        at = np.flatnonzero(of[: len(name)] == of[DEPTH - 1 :])
+        yield of[at], name[at].view(np.int64), (at - begin[of[at] - row]) * (2 * DEPTH) + DEPTH
+
+
 def _names(tokens: list[str], short: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Names of the windows of DEPTH tokens, by prefix doubling, and of the short blocks; and the place of each."""
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = kernels.words(*_bytes(tokens), kernels.SPACED)[0]
-    name, step = first, 1
-    while step < DEPTH:
-        name = kernels.mix(name[:-step] * np.uint64(0x9E3779B97F4A7C15) + kernels.mix(name[step:] + np.uint64(step))) if len(name) > step else name[:0]
-        step *= 2
+    name = _windows(first)
     starts = np.array([a for a, _ in short], np.int64)
     sizes = np.array([n for _, n in short], np.int64)
     blocks_ = np.array([kernels.mix(kernels.mix(first[a : a + n] + np.arange(n, dtype=np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0] for a, n in short], np.uint64)
@@ -210,7 +232,7 @@ def _host():
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row of each page, written: its text if an article decides it (else null), and the stream and the names of its intervals."""
+    """One row of each page, written: the text of its article (null: the page has none, but open blocks), or its stream; and the names of its intervals."""
     bounded_batches(pages.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
 
@@ -236,7 +258,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def host_intervals(rows: DataFrame) -> DataFrame:
-    """(host, name): intervals of each host's suffix array that enough of its distinct pages share, from parsed rows."""
+    """(host, name, least): intervals of each host's suffix array that ``least`` or more of its distinct pages share, from parsed rows."""
 
     def intervals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,38 +278,79 @@ def host_intervals(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts[host[start]], pa.string()), pa.array(name[start]), pa.array(count)], names=["host", "name", "n"])
 
     # Rows that repeat are one page, else a page listed three times would be boilerplate.
-    small = rows.select("host", "url", "page", "names", F.col("text").isNull().alias("open_page"))
-    distinct = small.where("page IS NOT NULL").dropDuplicates(["host", "url", "page"])
+    distinct = rows.select("host", "url", "page", "names").where("page IS NOT NULL").dropDuplicates(["host", "url", "page"])
     counted = distinct.where(F.length("names") > 0).select("host", "names").mapInArrow(intervals, "host string, name long, n long")
     shared = counted.groupBy("host", "name").agg(F.sum("n").alias("n")).where("n > 1")
-    # Only hosts with a page that the array decides need theirs.
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.max("open_page").alias("needed")).where("needed").select("host", "pages")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     least = F.greatest(F.least(F.lit(MIN_PAGES), F.col("pages")), F.ceil(F.col("pages") * F.lit(SHARE)))
-    return shared.join(hosts, "host").where(F.col("n") >= least).select("host", "name")
+    return shared.join(hosts.select("host", least.alias("least")), "host").where("n >= least").select("host", "name", "least")
+
+
+def _sieve(intervals: DataFrame) -> np.ndarray:
+    """A Bloom filter of the intervals: a window that it does not hold is in none, so only the others need a join."""
+    bits, least = 64, min(SIEVE_MOST, SIEVE_BITS * intervals.count())
+    while bits < least:
+        bits *= 2
+    key = F.xxhash64("host").bitwiseXOR(F.col("name"))
+    at = intervals.select(F.explode(F.array(*(F.shiftrightunsigned(key, by).bitwiseAND(F.lit(bits - 1)) for by in SIEVE_SHIFTS))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("held")).toArrow()
+    sieve = np.zeros(bits // 64, np.uint64)
+    sieve[words["word"].to_numpy()] = words["held"].to_numpy().view(np.uint64)
+    return sieve
+
+
+def _passes(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
+    found = np.ones(len(key), bool)
+    for by in SIEVE_SHIFTS:
+        at = ((key.view(np.uint64) >> np.uint64(by)) & np.uint64(64 * len(sieve) - 1)).view(np.int64)
+        found &= (sieve[at >> 6] >> (at & 63).view(np.uint64)) & np.uint64(1) == 1
+    return found
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     rows = parsed(pages)
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
-    undecided = rows.where("text IS NULL")
+    known = written(host_intervals(rows).withColumn("interval", F.monotonically_increasing_id()), "intervals")
+    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(known))
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, places = ([np.frombuffer(x, np.int64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            sizes = [len(x) for x in names]
-            if sum(sizes):
-                at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(names)), pa.array(np.concatenate(places))], names=["row", "host", "name", "place"])
-
-    # Intervals of a page meet those that are shared one by one; what comes back to a page is the places covered.
-    windows = undecided.select("row", "host", "names", "places").mapInArrow(spread, "row long, host string, name long, place long")
-    covered = windows.join(host_intervals(rows), ["host", "name"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("covered"))
+            stored = [[np.frombuffer(x or b"", np.int64) for x in batch.column(i).to_pylist()] for i in (5, 6)]
+            found = [(np.repeat(np.arange(batch.num_rows), [len(x) for x in stored[0]]), *map(np.concatenate, stored))] if batch.num_rows else []
+            hosts = batch.column(2).to_numpy()
+            for of, name, place in (*found, *_article_windows(batch.column(4))):
+                held = np.flatnonzero(_passes(sieve.value, hosts[of] ^ name))
+                if len(held):
+                    at = pa.array(of[held])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (0, 1, 3)), pa.array(name[held]), pa.array(place[held])], names=["row", "host", "article", "name", "place"])
+
+    # Of open pages the suffixes of the whole stream, of others those of the article. They meet the intervals one by one;
+    # what comes back to a page is the places covered.
+    is_open = F.col("text").isNull()
+    streams = rows.select("row", "host", F.xxhash64("host").alias("of"), F.when(~is_open, F.xxhash64("text")).alias("article"), "text", F.when(is_open, F.col("names")).alias("names"), "places")
+    windows = streams.mapInArrow(spread, "row long, host string, article long, name long, place long")
+    met = written(windows.join(known, ["host", "name"]).select("row", "place", "article", "interval", "least"), "covered")
+    inside = met.where("article IS NOT NULL")
+    often = inside.groupBy("interval", "least").agg(F.count_distinct("article").alias("n")).where("n >= least").select("interval")
+
+    def places(covered: DataFrame) -> DataFrame:
+        return covered.groupBy("row").agg(F.collect_list("place").alias("covered"))
+
+    # Written, so that its size is known: where it is small, no article is shuffled for it.
+    in_articles = written(places(inside.join(often, "interval", "left_semi")), "covered")
+    forget(known)
 
     def unique_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for tokens, open_, places in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+            for text, tokens, open_, places in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if text is not None and not places:
+                    texts.append(text)
+                    continue
+                if text is not None:
+                    tokens = text.split(" ")
+                    open_ = [True] * len(tokens)
                 gone = np.zeros(len(tokens) + 1, np.int64)
                 at, size = np.divmod(np.array(places or [], np.int64), 2 * DEPTH)
                 np.add.at(gone, at, 1)
@@ -296,6 +359,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(" ".join(t for t, o, g in zip(tokens, open_, gone) if o and not g))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    rest = undecided.join(covered, "row", "left").select("page_id", "url", "tokens", "open", "covered")
-    rest = rest.mapInArrow(unique_runs, f"page_id {kind['page_id']}, url {kind['url']}, text string")
-    return rows.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    candidates = rows.select("row", "page_id", "url", "text", "tokens", "open")
+    of_articles = candidates.where(~is_open).join(in_articles, "row", "left")
+    of_open = candidates.where(is_open).join(places(met.where("article IS NULL")), "row", "left")
+    runs = of_articles.unionByName(of_open).drop("row").mapInArrow(unique_runs, f"page_id {kind['page_id']}, url {kind['url']}, text string")
+    return runs.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

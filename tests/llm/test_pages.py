@@ -91,3 +91,78 @@ def test_array_equals_brute_force(spark):
 def test_class_names():
     page = '<article><p>a</p><section class="form-factor">b</section><div class="related-work">c</div><div class="ad-slot x">d</div><div class="post-comments">e</div><div class="cookie_notice">f</div><div id=newsletter2>g</div><div class="header">h</div><div role="search">i</div></article>'
     assert [t for z, t in blocks(page) if z == 3] == ["a", "b", "c", "h"]
+
+
+def test_array_reaches_into_articles(spark):
+    rng = random.Random(5)
+    notice, license_ = "read all of our stories first by asking for the weekly letter", "all of this may be copied freely under the usual public terms"
+    rows, want = [], {}
+    for i in range(12):
+        head, body = (" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(2))
+        # The notice stands in the articles and outside them, the license only in articles, the headline in one article and on all pages.
+        rows.append((i, f"http://h.example/{i}", f"<article><h2>{{}}</h2><p>{head}</p><h3>Home</h3><p>{notice.title()}</p><p>{body} {license_}</p></article><p>{notice}</p><p>Home</p>", None))
+        want[i] = f"{head} Home {body} {license_}"
+    title = "a headline of nine words that all menus show"
+    rows = [(i, u, h.format(title if i == 4 else "x") + f"<nav>{title}</nav>", c) for i, u, h, c in rows]
+    want = {i: f"{title if i == 4 else 'x'} {t}" for i, t in want.items()}
+    # Copies of one article are one article, wherever its text stands besides.
+    for i in range(20, 26):
+        rows.append((i, f"http://copies.example/{i}", f"<article><p>{notice}</p></article><p>{notice}</p>", None))
+        want[i] = notice
+    got = main_text(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+def whole_pages(rows):
+    """Text of every row from the definitions, articles included."""
+    pages, distinct, outside, inside = [], defaultdict(set), defaultdict(set), defaultdict(set)
+    for _, url, html, _ in rows:
+        host = url.split("/")[2].lower()
+        parts = blocks(html)
+        best = max([z for z, _ in parts if z >= 2], default=None)
+        stream, opened, short = [], [], []
+        for zone, text in parts:
+            if zone < (best or 2):
+                ws = text.split(" ")
+                short += [(len(stream), len(ws))] if len(ws) < 8 else []
+                stream += ws
+                opened += [zone == 1] * len(ws)
+        article = [w for z, t in parts if z == best for w in t.split(" ")]
+        spans = [[(host, tuple(w.lower() for w in ws[a : a + n]), n == 8, a) for a, n in runs] for ws, runs in ((stream, short + [(i, 8) for i in range(len(stream) - 7)]), (article, [(i, 8) for i in range(len(article) - 7)]))]
+        pages.append((host, best, article if best else stream, [True] * len(article) if best else opened, spans))
+        distinct[host].add((url, html))
+        for x in spans[0]:
+            outside[x[:3]].add((url, html))
+        text = " ".join(article)
+        for x in spans[1]:
+            inside[x[:3]].add(text)
+    out = []
+    for host, best, tokens, kept, spans in pages:
+        n = len(distinct[host])
+        least = max(2, min(3, n), -(-n // 5))
+        gone = set()
+        for x in spans[1 if best else 0]:
+            if len(outside[x[:3]]) >= least and (not best or len(inside[x[:3]]) >= least):
+                gone |= set(range(x[3], x[3] + (8 if x[2] else len(x[1]))))
+        out.append(" ".join(t for i, (t, o) in enumerate(zip(tokens, kept)) if o and i not in gone))
+    return out
+
+
+def test_all_pages_equal_brute_force(spark):
+    rng = random.Random(31)
+    runs = [" ".join(f"{'Run' if k % 2 else 'run'}{k}_{i}" for i in range(rng.randint(2, 16))) for k in range(7)]
+    rows = []
+    for host, pages in (("a.example", 40), ("B.example", 2), ("c.example", 1), ("d.example", 15), ("e.example", 4)):
+        for i in range(pages):
+            zones = []
+            for _ in range(2):
+                parts = [f"<p>{r}</p>" for r in rng.sample(runs, rng.randint(0, 5))] + [f"<p>{' '.join(f't{rng.randrange(300)}' for _ in range(rng.randint(0, 30)))} {rng.choice(runs)}</p>"]
+                rng.shuffle(parts)
+                zones.append("".join(parts))
+            tag = rng.choice(["article", "article", "main", "div"])
+            rows.append((len(rows), f"http://{host}/{i}", f"<footer>{zones[0]}</footer><{tag}>{zones[1]}</{tag}>" if rng.random() < 0.7 else f"<{tag}>{zones[1]}</{tag}><div>{zones[0]}</div>", "clash"))
+    rows += [rows[0], rows[0], rows[41], (900, "http://a.example/x", f"<article>{'w ' * 150_000}{runs[3]}</article>{runs[3]}", None), (901, "http://d.example/y", "<article></article>", None)]
+    want = whole_pages(rows)
+    assert sum("<article>" in r[2] and t != " ".join(x for z, x in blocks(r[2]) if z == 3) for r, t in zip(rows, want)) > 10
+    got = main_text(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter((r[0], t) for r, t in zip(rows, want))
