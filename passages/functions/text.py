@@ -7,6 +7,7 @@ plain ASCII.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -76,9 +77,35 @@ def strip_controls(text: Column, placeholders: bool = True) -> Column:
     return F.regexp_replace(text, rf"[[\p{{Cc}}\p{{Cf}}{more}]&&[^\n\t]]", "")
 
 
+_JOINED = re.compile("[-\u2010\u2011]\n(?=(.))", re.S)
+_CONTROL = re.compile(
+    "[\x00-\x08\x0b-\x1f\x7f-\x9f\xad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb\ufffc\uf8ff"
+    "\U000110bd\U000110cd\U00013430-\U00013438\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f]"
+)
+_ASCII_CONTROL = bytes([*range(9), *range(11, 32), 127])
+
+
+def _normal(text: str) -> str:
+    """strip_controls(join_hyphens(newlines(compose()))) of a text."""
+    plain = text.isascii()
+    if not plain:
+        text = re.sub("[\u2028\u2029]", "\n", unicodedata.normalize("NFKC", text))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "-\n" in text or "\u2010\n" in text or "\u2011\n" in text:
+        text = _JOINED.sub(lambda m: "" if unicodedata.category(m[1])[0] in "LM" else m[0], text)
+    return text.encode().translate(None, _ASCII_CONTROL).decode() if plain else _CONTROL.sub("", text)
+
+
+@F.pandas_udf(StringType())
+def _normals(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda x: x if x is None else _normal(x))
+
+
 def normalize(text: Column) -> Column:
-    """Plain text: composed, one kind of newline, words joined over line ends, no controls."""
-    return strip_controls(join_hyphens(newlines(compose(text))))
+    """Plain text: composed, one kind of newline, words joined over line ends, no controls; in one pass."""
+    return _normals(text)
 
 
 def normalize_markdown(text: Column) -> Column:

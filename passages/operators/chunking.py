@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.once import let, once
 from ..schema import ChunkingConfig
+from . import inrow
 
 #: Identifiers whose pages are table rows: they have no running lines.
 ROW_PAGES = ("public.comma-separated-values-text", "public.tab-separated-values-text")
@@ -23,7 +24,7 @@ CLIP = 800
 HEADED = r"(?m)^[\s\p{Z}]*#{1,6} "
 
 
-def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, min_repeat: int = 2, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, min_repeat: int = 2, settle: Callable[[DataFrame], DataFrame] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Pages without running headers and footers.
 
     In sources of ``least_pages`` pages or more, the ``top`` most frequent first
@@ -31,9 +32,10 @@ def strip_running_lines(pages: DataFrame, least_pages: int = 3, top: int = 2, mi
     likewise footers (ties: the one on the earliest page); leading header and
     trailing footer lines are dropped, and so are blank lines of those pages.
     ``settle`` writes a small table: then only lines of such sources are counted,
-    and no text is dealt out for sources without running lines.
+    and no text is dealt out for sources without running lines. ``counts`` has
+    (source_id, pages), if they are known.
     """
-    sizes = pages.groupBy("source_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    sizes = (pages.groupBy("source_id").agg(F.count("*").alias("pages")) if counts is None else counts).where(F.col("pages") >= least_pages)
     if settle is not None:
         sizes = settle(sizes)
         if sizes.isEmpty():
@@ -165,43 +167,38 @@ def pack(units: Column, joiner: Column, config: ChunkingConfig = ChunkingConfig(
     return let(parts, texts) if overlap else F.transform(parts, lambda p: p["own"])
 
 
-def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig(), one_page: bool = False, beside: bool = False) -> DataFrame:
+def chunks(pages: DataFrame, config: ChunkingConfig = ChunkingConfig(), one_page: bool = False, beside: bool = False, header: bool = False) -> DataFrame:
     """(chunk_id, source_id, name, ordinal, page, content, section_title, parent_id, content_hash).
 
     Ordinals run over a source in page and section order; the window that
-    numbers them meets the texts. If each source has one page (``one_page``), those
-    without a heading are one section, whose numbers need no window and no shuffle.
-    A column ``__header`` of the pages comes along. ``beside`` adds the texts
-    before and after a chunk in its source, clipped, ``__before`` and ``__after``.
+    numbers them meets the texts. If each source has one page (``one_page``), a
+    page's chunks are made and numbered in one pass over its text, without window
+    and shuffle. ``header`` adds the page's header, ``__header``, and ``beside`` the
+    texts before and after a chunk in its source, clipped, ``__before`` and ``__after``.
     """
     if one_page:
-        headed = F.coalesce(F.col("text").rlike(HEADED), F.lit(False))
-        return _numbered(pages.where(~headed), config, False, beside).unionByName(_numbered(pages.where(headed), config, True, beside))
-    return _numbered(pages, config, True, beside)
+        more = ", __header string" * header + ", __before string, __after string" * beside
+        run = inrow.chunker(config.max_chars, config.overlap_chars, header, CLIP if beside else 0)
+        return pages.select("source_id", "name", "page", "text").mapInArrow(run, inrow.CHUNK + more)
+    return _numbered(pages.withColumn("__header", page_header(F.col("text"))) if header else pages, config, beside)
 
 
-def _numbered(pages: DataFrame, config: ChunkingConfig, several: bool, beside: bool = False) -> DataFrame:
+def _numbered(pages: DataFrame, config: ChunkingConfig, beside: bool = False) -> DataFrame:
     rows = sections(pages)
     joiner = F.when(X.tableish(F.col("body")), "\n").otherwise(" ")
     texts = once(pack(X.units(F.col("body")), joiner, config).alias("texts"))
     more = [c for c in ("__header",) if c in pages.columns]
     packed = rows.select("source_id", "name", "page", "section", "title", "parent_id", *more, texts)
     before = Window.partitionBy("source_id").orderBy("page", "section").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)) if several else F.lit(0).cast("long"))
-    if beside and not several:  # one section is a whole source: its texts are in the row
-        near = F.transform("texts", lambda t, i: F.struct(t.alias("content"), F.substring(F.get("texts", i - 1), -CLIP, CLIP).alias("__before"), F.substring(F.get("texts", i + 1), 1, CLIP).alias("__after")))
-        flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", once(near.alias("texts")))
-        flat = flat.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "t")).select("*", "t.*")
-        more += ["__before", "__after"]
-    else:
-        flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "content"))
+    numbered = packed.withColumn("first", F.coalesce(F.sum(F.size("texts")).over(before), F.lit(0)))
+    flat = numbered.select("source_id", "name", "page", "title", "parent_id", *more, "first", F.posexplode("texts").alias("i", "content"))
     ordinal = (F.col("first") + F.col("i")).cast("int")
     digest = X.content_hash(F.col("content"))
     made = flat.select(
         X.chunk_id(F.col("source_id"), ordinal, digest).alias("chunk_id"), "source_id", "name", ordinal.alias("ordinal"), "page", "content",
         F.col("title").alias("section_title"), "parent_id", digest.alias("content_hash"), *more,
     )
-    if beside and several:
+    if beside:
         order = Window.partitionBy("source_id").orderBy("ordinal")
         made = made.withColumn("__before", F.substring(F.lag("content").over(order), -CLIP, CLIP)).withColumn("__after", F.substring(F.lead("content").over(order), 1, CLIP))
     return made

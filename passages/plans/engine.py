@@ -77,22 +77,24 @@ class Engine:
         say = progress or (lambda *a: None)
         inputs = rows if isinstance(rows, DataFrame) else loaders.inputs(self.spark, rows)
         say("loading", 0, None)
-        raw = loaders.load(inputs, self.pdf, self.ocr)
+        listed = settled(inputs.drop("text", "bytes"), "listed")  # what needs no text is read from here
+        kinds = loaders.kinds_of(listed)
+        raw = loaders.load(inputs, self.pdf, self.ocr, kinds=kinds)
         if self.pdf or self.ocr:
             raw = settled(raw, "raw")  # each page is read and recognised once
-        counts = settled(raw.groupBy("source_id").agg(F.count("*").cast("int").alias("pages")), "counts")
+        counts = settled((listed if kinds <= loaders.ONE_PAGE else raw).groupBy("source_id").agg(F.count("*").cast("int").alias("pages")), "counts")
         say("loading", counts.agg(F.sum("pages")).first()[0] or 0, None)
-        pages = chunking.strip_running_lines(raw, settle=lambda df: settled(df, "running"))
-        # The header comes along with its page, and texts are dealt out only for sources of several pages or sections.
-        headed = pages.withColumn("__header", chunking.page_header(F.col("text")))
-        made = chunking.chunks(headed, self.config.chunking, counts.where("pages > 1").isEmpty(), self.config.indexing.use_prefix and getattr(self.config.indexing.context_fn, "prompted", False))
+        pages = chunking.strip_running_lines(raw, settle=lambda df: settled(df, "running"), counts=counts)
+        # The header comes along with its page, and texts are dealt out only for sources of several pages.
+        one_page, prefix = counts.where("pages > 1").isEmpty(), self.config.indexing.use_prefix
+        made = chunking.chunks(pages, self.config.chunking, one_page, prefix and getattr(self.config.indexing.context_fn, "prompted", False), prefix)
         cache, made_prefixes = self.store.read("prefixes"), None
         if self.config.indexing.use_prefix:
             asked = self.config.indexing.context_fn is not None
             made, made_prefixes = chunking.with_prefixes(made, pages, self.config.indexing.context_fn, cache)[0], (lambda rows: chunking.cache_rows(rows, cache)) if asked else None
         else:
-            made = made.withColumn("context_prefix", F.lit("")).drop("__header")
-        sources = inputs.select(
+            made = made.withColumn("context_prefix", F.lit(""))
+        sources = listed.select(
             "source_id", F.col("name").alias("display_name"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("url"), "uti", file_type(F.col("uti")).alias("file_type")
         ).dropDuplicates(["source_id"]).join(counts, "source_id", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
         tag_rows = None

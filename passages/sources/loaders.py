@@ -90,11 +90,24 @@ def _parsed(rows: DataFrame, parse: Callable[[bytes], list[tuple[int, str]]]) ->
     return rows.select("source_id", "name", "uti", data.alias("data")).mapInArrow(run, PAGES)
 
 
-def load(rows: DataFrame, pdf: PdfPages | None = None, ocr: Ocr | None = None, check: bool = True) -> DataFrame:
-    """Pages of all inputs. ``check`` fails with 400 if some row has no loader (one small job)."""
-    chosen = F.when(F.col("kind") == "text", F.when(loader_of(F.col("uti")).isNull(), "text").otherwise(loader_of(F.col("uti")))).otherwise(loader_of(F.col("uti")))
-    kinds = {r[0] for r in rows.select("kind", "uti").select(chosen.alias("loader")).distinct().collect()}  # one of a dozen names each; no bytes are read
-    rows = rows.withColumn("loader", chosen)
+#: Loaders that make one page of each input.
+ONE_PAGE = {"text", "markdown", "html", "yaml", "image"}
+
+
+def _loader() -> Column:
+    found = loader_of(F.col("uti"))
+    return F.when((F.col("kind") == "text") & found.isNull(), "text").otherwise(found)
+
+
+def kinds_of(rows: DataFrame) -> set[str | None]:
+    """The loaders of all inputs, a dozen at most, None for what has none."""
+    return {r[0] for r in rows.select(_loader().alias("loader")).distinct().collect()}
+
+
+def load(rows: DataFrame, pdf: PdfPages | None = None, ocr: Ocr | None = None, check: bool = True, kinds: set[str | None] | None = None) -> DataFrame:
+    """Pages of all inputs. ``check`` fails with 400 if some row has no loader (one small job, unless ``kinds`` are known)."""
+    kinds = kinds_of(rows) if kinds is None else kinds
+    rows = rows.withColumn("loader", _loader())
     if check and None in kinds:
         raise EngineError(400, "no loader takes this type of input")
 
