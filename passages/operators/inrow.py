@@ -170,7 +170,7 @@ class _Codes(dict):
 
 
 #: Terms of one sorted run of postings, and different pieces that are remembered.
-RUN_TERMS, PIECES = 1 << 21, 1 << 17
+RUN_TERMS, PIECES = 1 << 20, 1 << 17
 
 POSTING = "term string, chunk_id string, source_id string, tf int, dl int, spots array<int>, __b int"
 

@@ -52,3 +52,26 @@ def test_runs_of_postings_are_sorted(monkeypatch):
     assert len(out) == 30 * 4 and {r["tf"] for r in out if r["term"] == "a"} == {2}
     keys = [(r["__b"], r["term"], r["chunk_id"]) for r in out]
     assert len(set(keys)) == len(keys) and sum(x > y for x, y in zip(keys, keys[1:])) < 10
+
+
+def test_bags_hash_a_word_once(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from passages.sources import embedders
+
+    seen, real = [], hashlib.sha256
+    monkeypatch.setattr(embedders, "_held", {}, raising=False)
+    monkeypatch.setattr(embedders.hashlib, "sha256", lambda data: (seen.append(data), real(data))[1])
+    texts = ["to be or not to be", "", "Be \xc9t\xe9, to"]
+    got = embedders.BagEmbedder(8).embed_batch(texts)
+    assert sorted(seen) == sorted(w.encode() for w in ("to", "be", "or", "not", "\xe9t\xe9"))
+    for text, vec in zip(texts, got):
+        v = np.zeros(8)
+        for w in text.lower().replace(",", "").split():
+            h = real(w.encode()).digest()
+            v[int.from_bytes(h[:4], "big") % 8] += 1 if h[4] & 1 else -1
+        assert vec == (v / np.linalg.norm(v) if v.any() else v).tolist()
+    monkeypatch.setattr(embedders, "HELD_WORDS", 2)
+    assert embedders.BagEmbedder(8).embed_batch(texts) == got
