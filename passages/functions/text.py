@@ -1,8 +1,8 @@
 """Text transforms as Column expressions.
 
-White space is ASCII white space and the Unicode separators. Only compatibility
-composition and accent folding leave the JVM, and only for texts that are not
-plain ASCII.
+White space is ASCII white space and the Unicode separators. Only normalize(),
+which is one pass over a text, and compatibility composition and accent folding
+of texts that are not plain ASCII leave the JVM.
 """
 
 from __future__ import annotations
